@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The analysis this library re-creates is batch only: it has no stream source,
+watermark, windowed aggregation or state. Nothing is built here on purpose;
+the package exists so the layout matches the other libraries of this family.
+"""
