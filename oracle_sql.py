@@ -96,7 +96,7 @@ _THR_HIGH_LINES = "thr AS (SELECT quantile_disc(Recency, 0.75) AS t FROM final)"
 _THR_LOW_LINES = "thr AS (SELECT quantile_disc(Recency, 0.25) AS t FROM final)"
 
 
-def _products(op: str, thr_cte: str) -> tuple[str, str]:
+def _products(op: str, thr_cte: str) -> str:
     cte = (f"{thr_cte},\nproducts AS (SELECT StockCode, count(*) AS \"count\" FROM final "
            f"WHERE CustomerID IN (SELECT CustomerID FROM rfm_churn WHERE Recency {op} (SELECT t FROM thr)) "
            f"GROUP BY StockCode)")
@@ -305,3 +305,69 @@ ORACLE: dict[str, str] = {
     "top_customers": q("SELECT * FROM rfm_churn ORDER BY Monetary DESC, CustomerID LIMIT 5"),
     "top_customers_lowest_recency": q("SELECT * FROM rfm_churn ORDER BY Recency ASC, CustomerID LIMIT 5"),
 }
+
+
+# --- segmentation -------------------------------------------------------------
+
+SEG_IN = "seg_in AS (SELECT CustomerID, Recency, Frequency, Monetary FROM rfm WHERE CustomerID <> 'Unknown')"
+SCALED = ("scaled AS (SELECT *, "
+          + ", ".join(f"round({c} / (SELECT stddev_samp({c}) FROM seg_in), 9) AS {c}_scaled"
+                      for c in ("Recency", "Frequency", "Monetary"))
+          + " FROM seg_in)")
+_LEVELS = "[1.0 / 6, 0.5, 5.0 / 6]"
+CENTERS = ("cq AS (SELECT " + ", ".join(f"quantile_disc({c}_scaled, {_LEVELS}) AS {c[0].lower()}"
+                                          for c in ("Recency", "Frequency", "Monetary")) + " FROM scaled)")
+
+
+def _dist(j: int) -> str:
+    terms = [f"({c}_scaled - (SELECT {c[0].lower()}[{j + 1}] FROM cq)) * ({c}_scaled - (SELECT {c[0].lower()}[{j + 1}] FROM cq))"
+             for c in ("Recency", "Frequency", "Monetary")]
+    return f"({terms[0]} + {terms[1]}) + {terms[2]} AS d{j}"
+
+
+ASSIGNED = (f"{SEG_IN},\n{SCALED},\n{CENTERS},\n"
+            f"dist AS (SELECT *, {_dist(0)}, {_dist(1)}, {_dist(2)} FROM scaled),\n"
+            "assigned AS (SELECT CustomerID, Recency, Frequency, Monetary, Recency_scaled, Frequency_scaled, "
+            "Monetary_scaled, CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) "
+            "AS cluster FROM dist)")
+
+
+def _median_cte(c: str) -> str:
+    return (f"m_{c} AS (SELECT cluster, CASE WHEN lo = hi THEN lo ELSE 0.5 * lo + 0.5 * hi END AS {c}_median FROM ("
+            f"SELECT cluster, max(x) FILTER (WHERE rn = floor((n - 1) / 2)) AS lo, "
+            f"max(x) FILTER (WHERE rn = ceil((n - 1) / 2)) AS hi FROM ("
+            f"SELECT cluster, CAST({c} AS DOUBLE) AS x, "
+            f"row_number() OVER (PARTITION BY cluster ORDER BY CAST({c} AS DOUBLE)) - 1 AS rn, "
+            f"count(*) OVER (PARTITION BY cluster) AS n FROM assigned) GROUP BY cluster))")
+
+
+_STATS_BODY = ("SELECT s.cluster, "
+               + ", ".join(f"min({c}) AS {c}_min, CAST(sum({c}) AS DOUBLE) / count({c}) AS {c}_mean, "
+                           f"any_value(m_{c}.{c}_median) AS {c}_median, max({c}) AS {c}_max"
+                           for c in ("Recency", "Frequency", "Monetary"))
+               + " FROM assigned s "
+               + " ".join(f"JOIN m_{c} ON s.cluster = m_{c}.cluster" for c in ("Recency", "Frequency", "Monetary"))
+               + " GROUP BY s.cluster")
+
+_TOTALS = ("SELECT cluster, count(*) AS CustomerCount, CAST(sum(Recency) AS BIGINT) AS days_since_last_purchase, "
+           "CAST(sum(Frequency) AS BIGINT) AS total_purchases, CAST(sum(Monetary) AS DECIMAL(38,3)) AS total_sales "
+           "FROM assigned GROUP BY cluster")
+_SHARES = ", ".join(f"round(CAST({c} AS DOUBLE) * 100.0 / CAST(sum({c}) OVER () AS DOUBLE), 6) AS {c}_pct"
+                    for c in ("CustomerCount", "days_since_last_purchase", "total_purchases", "total_sales"))
+
+ORACLE.update({
+    "segment_input": q("SELECT * FROM seg_in", SEG_IN),
+    "segment_input_as_written": q("SELECT r.CustomerID, r.Recency, r.Frequency, r.Monetary FROM rfm r "
+                                  "LEFT JOIN cleaned c ON r.CustomerID = c.CustomerID"),
+    "segment_input_count": q("SELECT count(*) AS n_rows FROM seg_in", SEG_IN),
+    "segment_input_count_as_written": q("SELECT count(*) AS n_rows FROM rfm r LEFT JOIN cleaned c "
+                                        "ON r.CustomerID = c.CustomerID"),
+    "scale_features": q("SELECT CustomerID, Recency_scaled, Frequency_scaled, Monetary_scaled FROM scaled",
+                        SEG_IN, SCALED),
+    "segment_assign_fixed": q("SELECT * FROM assigned", ASSIGNED),
+    "segment_sizes_fixed": q('SELECT cluster, count(*) AS "count" FROM assigned GROUP BY cluster', ASSIGNED),
+    "segment_stats_fixed": q(_STATS_BODY, ASSIGNED, *[_median_cte(c) for c in ("Recency", "Frequency", "Monetary")]),
+    "segment_totals_fixed": q(f"SELECT *, {_SHARES} FROM ({_TOTALS})", ASSIGNED),
+    "cluster_display_name": q("SELECT cluster, count(*) AS \"count\", 'Cluster ' || CAST(cluster AS VARCHAR) "
+                              "AS ClusterLabel FROM assigned GROUP BY cluster", ASSIGNED),
+})

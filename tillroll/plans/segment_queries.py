@@ -1,3 +1,85 @@
-"""Segmentation queries (filled in with the k-means operators)."""
+"""Segmentation queries over the test tables.
 
-SEGMENTS: dict = {}
+k-means entries (rows-only checks: the fit depends on initialisation) and the
+``*_fixed`` entries: the same reports over the SQL-checkable assignment to k
+quantile centres (M8).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillroll.operators import profile as P
+from tillroll.operators import segments as S
+from tillroll.plans.prepared import RetailTables
+from tillroll.schemas import KMEANS_BEST_K
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer grain, without the Unknown bucket."""
+    return S.segment_input(RetailTables.from_testdata(spark, sf_dir).rfm(), include_unknown=False)
+
+
+def _input_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line grain (RFM joined to lines), Unknown included."""
+    return S.segment_input(RetailTables.from_testdata(spark, sf_dir).final_v3, include_unknown=True)
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> S.Segmentation:
+    return S.fit_segments(_input(spark, sf_dir), KMEANS_BEST_K)
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.kmeans_segments(_fitted(spark, sf_dir))
+
+
+def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.segment_assign_fixed(_input(spark, sf_dir), KMEANS_BEST_K)
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = S.assemble_features(_input(spark, sf_dir))
+    return a.select("CustomerID", vector_to_array(F.col(S.FEATURES)).alias("features"))
+
+
+def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = _fitted(spark, sf_dir)
+    score = S.silhouette(seg.transform(seg.input))
+    return spark.createDataFrame([(seg.k, float(score))], "k int, silhouette double")
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = _fitted(spark, sf_dir)
+    return S.segment_cards(S.segment_stats(S.kmeans_segments(seg)), S.segment_centers(seg, spark))
+
+
+SEGMENTS: dict[str, Query] = {
+    "segment_input": _input,
+    "segment_input_as_written": _input_as_written,
+    "segment_input_count": lambda s, d: P.row_count(_input(s, d)),
+    "segment_input_count_as_written": lambda s, d: P.row_count(_input_as_written(s, d)),
+    "assemble_features": _assembled,
+    "scale_features": lambda s, d: S.scaled_columns(S.scale_features(_input(s, d))),
+    "kmeans_sweep": lambda s, d: S.kmeans_sweep(_input(s, d)),
+    "silhouette": _silhouette,
+    "pick_k": lambda s, d: S.pick_k(S.kmeans_sweep(_input(s, d))),
+    "kmeans_segments": _clustered,
+    "segment_sizes": lambda s, d: S.segment_sizes(_clustered(s, d)),
+    "segment_stats": lambda s, d: S.segment_stats(_clustered(s, d)),
+    "segment_centers": lambda s, d: S.segment_centers(_fitted(s, d), s),
+    "segment_cards": _cards,
+    "segment_labels": lambda s, d: S.segment_labels(_fitted(s, d), s),
+    "segment_totals": lambda s, d: S.segment_totals(_clustered(s, d)),
+    "segmented_customers": lambda s, d: S.segmented_customers(_clustered(s, d)),
+    "segment_assign_fixed": _fixed,
+    "segment_sizes_fixed": lambda s, d: S.segment_sizes(_fixed(s, d)),
+    "segment_stats_fixed": lambda s, d: S.segment_stats(_fixed(s, d)),
+    "segment_totals_fixed": lambda s, d: S.segment_totals(_fixed(s, d)),
+    "cluster_display_name": lambda s, d: S.with_display_name(S.segment_sizes(_fixed(s, d))),
+}
