@@ -16,10 +16,10 @@ left to AQE, which checks the runtime size of each side against
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.schemas import INVOICE_DATE_FORMAT, PRICE, RAW
+from tillroll.schemas import INVOICE_DATE_FORMAT, PRICE
 
 # --- Fixed values: the dirt rules of the raw adapter -----------------------
 CANCEL_EVERY_ORDER = 25        # returned lines of every 25th order are cancellations
@@ -34,8 +34,21 @@ REPEATED_ORDER = (100, 1)      # order key % 100 == 1 -> whole line delivered tw
 # ---------------------------------------------------------------------------
 
 
+# Declared read schemas (only the columns used): no footer inference per read,
+# and the parquet reader fetches just these columns.
+TABLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                "l_returnflag string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    df = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return df if list(cols) == df.columns else df.select(*cols)
 
 
 def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,37 +85,33 @@ def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _mod_is(c: Column, rule: tuple[int, int]) -> Column:
-    return (c % rule[0]) == rule[1]
-
-
 def raw_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty invoice lines in the RAW layout (InvoiceDate as text)."""
+    """Dirty invoice lines in the RAW layout (InvoiceDate as text).
+
+    The projection is written as SQL expressions: one parse per column instead
+    of one JVM round trip per expression node while the plan is built.
+    """
     s = star_lines(spark, sf_dir)
-    k, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    cancelled = (F.col("l_returnflag") == "R") & ((k % CANCEL_EVERY_ORDER) == 0)
-    kl = k + ln
-    price = F.col("p_retailprice").cast(PRICE)
-    qty = F.col("l_quantity").cast("int")
-    out = s.select(
-        F.when(cancelled, F.concat(F.lit("C"), k.cast("string")))
-         .otherwise(k.cast("string")).alias("InvoiceNo"),
-        F.when(_mod_is(pk, POST_CODE_PART), F.lit("POST"))
-         .when(_mod_is(pk, MANUAL_CODE_PART), F.lit("M"))
-         .otherwise(pk.cast("string")).alias("StockCode"),
-        F.when(_mod_is(pk, NO_DESCRIPTION_PART), F.lit(None).cast("string"))
-         .otherwise(F.col("p_name")).alias("Description"),
-        F.when(cancelled, -qty)
-         .when((kl % NEGATIVE_ONE_LINE) == 0, F.lit(-1))
-         .otherwise(qty).alias("Quantity"),
-        F.date_format("o_orderdate", INVOICE_DATE_FORMAT).alias("InvoiceDate"),
-        F.when((kl % ZERO_PRICE_LINE) == 0, F.lit(0).cast(PRICE))
-         .when((kl % NEGATIVE_PRICE_LINE) == 0, -price)
-         .otherwise(price).cast(PRICE).alias("UnitPrice"),
-        F.when((k % NO_CUSTOMER_ORDER) == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("c_custkey").cast("string")).alias("CustomerID"),
-        F.col("n_name").alias("Country"),
-        F.explode(F.when(_mod_is(k, REPEATED_ORDER), F.array(F.lit(1), F.lit(2)))
-                  .otherwise(F.array(F.lit(1)))).alias("_copy"),
+    cancelled = f"(l_returnflag = 'R' AND l_orderkey % {CANCEL_EVERY_ORDER} = 0)"
+    kl = "(l_orderkey + l_linenumber)"
+    price = f"CAST(p_retailprice AS {PRICE.simpleString()})"
+    rep_mod, rep_rem = REPEATED_ORDER
+    return s.selectExpr(
+        f"CASE WHEN {cancelled} THEN concat('C', CAST(l_orderkey AS STRING)) "
+        f"ELSE CAST(l_orderkey AS STRING) END AS InvoiceNo",
+        f"CASE WHEN l_partkey % {POST_CODE_PART[0]} = {POST_CODE_PART[1]} THEN 'POST' "
+        f"WHEN l_partkey % {MANUAL_CODE_PART[0]} = {MANUAL_CODE_PART[1]} THEN 'M' "
+        f"ELSE CAST(l_partkey AS STRING) END AS StockCode",
+        f"CASE WHEN l_partkey % {NO_DESCRIPTION_PART[0]} = {NO_DESCRIPTION_PART[1]} THEN CAST(NULL AS STRING) "
+        f"ELSE p_name END AS Description",
+        f"CASE WHEN {cancelled} THEN -CAST(l_quantity AS INT) "
+        f"WHEN {kl} % {NEGATIVE_ONE_LINE} = 0 THEN -1 ELSE CAST(l_quantity AS INT) END AS Quantity",
+        f"date_format(o_orderdate, '{INVOICE_DATE_FORMAT}') AS InvoiceDate",
+        f"CAST(CASE WHEN {kl} % {ZERO_PRICE_LINE} = 0 THEN CAST(0 AS {PRICE.simpleString()}) "
+        f"WHEN {kl} % {NEGATIVE_PRICE_LINE} = 0 THEN -{price} ELSE {price} END "
+        f"AS {PRICE.simpleString()}) AS UnitPrice",
+        f"CASE WHEN l_orderkey % {NO_CUSTOMER_ORDER} = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE CAST(c_custkey AS STRING) END AS CustomerID",
+        "n_name AS Country",
+        f"explode(CASE WHEN l_orderkey % {rep_mod} = {rep_rem} THEN array(1, 2) ELSE array(1) END) AS _copy",
     ).drop("_copy")
-    return out.select([F.col(f.name).cast(f.dataType) for f in RAW.fields])
