@@ -200,6 +200,8 @@ ORACLE: dict[str, str] = {
     "profile_negative_quantity_preview": q(_preview("Quantity < 0", ["InvoiceNo", "Quantity"])),
     "profile_negative_price_preview": q(_preview("UnitPrice < 0", ["InvoiceNo", "UnitPrice"])),
     "stockcodes_missing_description": q("SELECT DISTINCT StockCode FROM parsed WHERE Description IS NULL"),
+    "stockcodes_missing_description_count": q("SELECT count(DISTINCT StockCode) AS n_stockcodes FROM parsed "
+                                              "WHERE Description IS NULL"),
     "excluded_code_pairs": q(f"SELECT DISTINCT StockCode, Description FROM c5 WHERE StockCode IN ({EXCLUDED})"),
     "cleaning_report": q(f"""SELECT * FROM (VALUES
         (0, 'raw', {_cnt('raw_retail')}),

@@ -54,6 +54,8 @@ PROFILE: dict[str, Query] = {
     "profile_negative_price_preview":
         _on(lambda t: P.anomaly_preview(_deduplicated(t), "negative_price")),
     "stockcodes_missing_description": _on(lambda t: P.stockcodes_missing_description(t.parsed)),
+    "stockcodes_missing_description_count":
+        _on(lambda t: P.row_count(P.stockcodes_missing_description(t.parsed), "n_stockcodes")),
     "excluded_code_pairs": _on(lambda t: P.excluded_code_pairs(C.clean_upto(t.raw, "positive"))),
     "cleaning_report": _on(lambda t: P.cleaning_report(t.raw)),
     "latest_transaction": _on(lambda t: P.latest_transaction(t.cleaned)),
