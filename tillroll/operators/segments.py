@@ -80,11 +80,16 @@ def scaled_columns(scaled: DataFrame, digits: int = 9) -> DataFrame:
 
 def sql_scaled_columns(df: DataFrame, digits: int = 9) -> DataFrame:
     """Adds x / stddev_samp(x) per metric with built-in aggregates (the same
-    numbers as the StandardScaler, in a form SQL engines can check)."""
+    numbers as the StandardScaler, in a form SQL engines can check).
+
+    The three deviations come from one aggregation job and enter the plan as
+    literals, as the scaler's own statistics do: referenced from several
+    expressions, a scalar subquery would be copied into each of them.
+    """
+    sds = df.agg(*[F.stddev_samp(c).alias(c) for c in RFM_COLUMNS]).first()
     out = [F.col(c) for c in df.columns]
     for c in RFM_COLUMNS:
-        sd = df.select(F.stddev_samp(c)).scalar()
-        out.append(F.round(F.try_divide(F.col(c), sd), digits).alias(f"{c}_scaled"))
+        out.append(F.round(F.try_divide(F.col(c), F.lit(sds[c]).cast("double")), digits).alias(f"{c}_scaled"))
     return df.select(*out)
 
 
@@ -226,12 +231,13 @@ def assign_nearest(df: DataFrame, centers: Sequence[Sequence[Column | float]],
 
 
 def quantile_centers(scaled: DataFrame, k: int,
-                     cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS)) -> list[list[Column]]:
+                     cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS)) -> list[list[float]]:
     """k deterministic starting centres: centre j sits at the (2j+1)/(2k)
-    quantile of every scaled metric (scalar subqueries over the data)."""
+    quantile of every scaled metric. One aggregation job (mergeable quantile
+    sketches); k × metrics numbers come back, like k-means centres do."""
     qs = [(2 * j + 1) / (2 * k) for j in range(k)]
-    per_col = {c: scaled.select(F.percentile_approx(c, qs)).scalar() for c in cols}
-    return [[per_col[c][j] for c in cols] for j in range(k)]
+    row = scaled.agg(*[F.percentile_approx(c, qs).alias(c) for c in cols]).first()
+    return [[float(row[c][j]) for c in cols] for j in range(k)]
 
 
 def segment_assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> DataFrame:
