@@ -77,7 +77,8 @@ def recency_products_as_written(final: DataFrame, high: bool = True,
     thr = quantile_of(final, "Recency", q)
     sel = final.filter(_recency_filter(F.col("Recency"), thr, high))
     per_code = sel.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_m"))
-    per_customer = sel.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("_n"))
+    # lines(c) = Σ_code lines(c, code): from the small aggregate, not another pass over the lines
+    per_customer = per_code.groupBy("CustomerID").agg(F.sum("_m").alias("_n"))
     return (per_code.join(per_customer, "CustomerID")
             .groupBy("StockCode").agg(F.sum(F.col("_m") * F.col("_n")).alias("count")))
 
