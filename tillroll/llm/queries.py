@@ -5,8 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, packing, sharding
-from tillroll.llm.common import table
+from tillroll.llm import decontaminate, language, packing, sharding, toxicity
+from tillroll.llm.common import fold, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +27,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def llm_queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
         "op7_sharding": op7_sharding,
+        "op10_language_id": op10_language_id,
     }
 
 
