@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, language, packing, sharding, toxicity
+from tillroll.llm import decontaminate, language, packing, quality, sharding, toxicity
 from tillroll.llm.common import fold, table
 
 
@@ -27,6 +27,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -39,6 +45,7 @@ def llm_queries() -> dict:
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
         "op7_sharding": op7_sharding,
+        "op8_quality": op8_quality,
         "op10_language_id": op10_language_id,
     }
 
