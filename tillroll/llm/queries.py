@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, language, packing, quality, sharding, toxicity
+from tillroll.llm import decontaminate, jaccard_join, language, packing, quality, sharding, toxicity
 from tillroll.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def llm_queries() -> dict:
         "op1_toxicity": op1_toxicity,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
         "op10_language_id": op10_language_id,
