@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, jaccard_join, language, packing, quality, sharding, toxicity
+from tillroll.llm import decontaminate, jaccard_join, language, packing, quality, sharding, suffix_dedup, toxicity
 from tillroll.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("sequence_length")
 
@@ -46,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
