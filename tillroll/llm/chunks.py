@@ -72,7 +72,7 @@ def unpack_rows(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(b))).read_next_batch()
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 6 << 20) -> DataFrame:
+def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +112,13 @@ def edges_of(n_buckets: int) -> np.ndarray:
 
 
 def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n_buckets: int,
-          answer: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, summary: Callable | None = None) -> DataFrame:
+          answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, summary: Callable | None = None) -> DataFrame:
     """Rows (chunk, bucket, totals): ``answer`` (by default the sum) for each key of the chunk in that range.
 
     ``keys_of``: a chunk's rows -> ascending distinct keys and their non-negative
-    integer values, one row of values for each key. ``answer(sums, own)``: what a
-    chunk gets back for its keys, given the global sums and its own values.
+    integer values, one row of values for each key. ``answer(sums, own, first)``:
+    what a chunk gets back for its keys, given the global sums, its own values and
+    whether it is the first chunk that has the key.
     ``summary(keys, sums)``: extra bytes for a range, in a row with chunk -1.
     """
     lower = edges_of(n_buckets)
@@ -135,15 +136,18 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarra
                                                  names=["bucket", "chunk", "keys", "vals"])
 
     def combine(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
         bucket, chunk = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
         keys = [unpack_sorted(k) for k in t.column("keys").to_pylist()]
         values = [np.stack([unpack(v).astype(np.int64) for v in row], axis=1) for row in t.column("vals").to_pylist()]
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
+        every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        is_first = np.zeros(len(where), bool)
+        is_first[first] = True
         sums = np.stack([np.bincount(where, weights=np.concatenate([v[:, j] for v in values]), minlength=len(every)) for j in range(values[0].shape[1])], axis=1).astype(np.int64)
         out, at = [], 0
         for k, own in zip(keys, values):
             got = sums[where[at:at + len(k)]]
-            got = (answer(got, own) if answer else got).reshape(len(k), -1)
+            got = (answer(got, own, is_first[at:at + len(k)]) if answer else got).reshape(len(k), -1)
             out.append(b"".join(len(x).to_bytes(4, "little") + x for x in (pack(small_ints(got[:, j])) for j in range(got.shape[1]))))
             at += len(k)
         if summary:

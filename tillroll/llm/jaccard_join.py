@@ -92,7 +92,7 @@ def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
         k, found = np.unique(keys, return_counts=True)
         return k, np.minimum(found, 2)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 24 << 20), answer=lambda sums, own: (sums > 1).astype(np.int64))
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 24 << 20), answer=lambda sums, own, first: (sums > 1).astype(np.int64))
 
     def mark(chunk: int, rows: pa.RecordBatch, shared: np.ndarray) -> pa.Table:
         shingles, counts = shingle_sets(rows.column("text"), n)

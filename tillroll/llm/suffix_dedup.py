@@ -4,16 +4,18 @@ Every byte that lies in a string of ``length`` bytes which also starts anywhere
 else, in the same or another document, is removed; matches never cross documents
 and are judged on the input.
 
-1. Equal texts become one text with a multiplicity.
-2. Every window of ``length`` bytes owns an anchor: the gram of ``gram`` bytes in
+1. Every window of ``length`` bytes owns an anchor: the gram of ``gram`` bytes in
    it whose hash is smallest (the leftmost if equal). Equal windows own equal
-   anchors, so only windows whose anchor occurs twice can repeat. Anchors are
+   anchors, so only windows whose anchor occurs twice can repeat. Neighbouring
+   windows with the same anchor form one context. Anchors and whole contexts are
    counted over all texts (``chunks.tally``).
-3. Neighbouring windows with the same repeated anchor form one context. Contexts
-   with equal bytes are merged; contexts are dealt out by anchor, and each group
-   is indexed as a run-length index (``run_index``), whose matching statistics
-   mark the windows that start elsewhere too.
-4. Marked windows go back to their texts and are cut out.
+2. Contexts with a repeated anchor become rows; of equal contexts only one, in
+   the first chunk that has it, carries its bytes, so copies cost a row each and
+   no text. A context that occurs twice repeats whole.
+3. The distinct contexts are dealt out by anchor; the contexts of an anchor are
+   indexed as a run-length index (``run_index``), whose matching statistics mark
+   the windows that start in another context too.
+4. Marked windows go back to all their occurrences and are cut out.
 
 Hot anchors. The anchor of a very common passage may occur in a third of all
 texts. Above ``hot`` occurrences its windows are regrouped in blocks of ``block``
@@ -41,7 +43,7 @@ from tillroll.llm.common import cut
 from tillroll.llm.run_index import RunIndex
 from tillroll.llm.words import TextBatch, U64, _power_tables, mix, ramp
 
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
@@ -113,64 +115,86 @@ def _split_hot(batch: TextBatch, c: Contexts, rows: np.ndarray, length: int, gra
     return row, c.anchor[row] - far, far - near + 1, key
 
 
+def _context_keys(batch: TextBatch, c: Contexts, length: int) -> np.ndarray:
+    """Hash of each context: its bytes, its anchor and the anchor's place."""
+    return mix(batch.hashes(c.first, c.first + c.count + length - 1) ^ mix(c.key ^ (c.anchor - c.first).astype(U64)))
+
+
 def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block: int, group_bytes: int) -> DataFrame:
-    """(chunk, row, start, size): byte ranges of the chunked texts that repeat (they may overlap)."""
+    """(chunk, row, start, spans): byte ranges of the chunked texts that repeat, as (offset, size) pairs from start; they may overlap."""
+    odd = U64(1)
 
     def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        c = Contexts(TextBatch(rows.column("text")), length, gram)
-        many = np.minimum(np.asarray(rows.column("copies")), 2)[c.text]
-        keys, where = np.unique(c.key, return_inverse=True)
-        return keys, np.bincount(where, weights=many, minlength=len(keys)).astype(np.int64)
+        batch = TextBatch(rows.column("text"))
+        c = Contexts(batch, length, gram)
+        return np.unique(np.concatenate([c.key & ~odd, _context_keys(batch, c, length) | odd]), return_counts=True)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 256 << 20), answer=lambda sums, own: np.where(sums > 1, sums, 0))
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 256 << 20),
+                      answer=lambda sums, own, first: np.concatenate([np.where(sums > 1, sums, 0), first[:, None]], axis=1))
 
     def candidates(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
         batch = TextBatch(rows.column("text"))
         c = Contexts(batch, length, gram)
-        keys, where = np.unique(c.key, return_inverse=True)
-        seen = total[where, 0] if len(keys) else np.zeros(0, np.int64)
+        whole = _context_keys(batch, c, length) | odd
+        keys, one, where = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True)
+        n = len(whole)
+        total = total if len(keys) else np.zeros((0, 2), np.int64)
+        seen, copies = total[where[:n], 0], total[where[n:], 0]
+        # of equal contexts, the first one in the first chunk that has it brings the bytes
+        brings = (total[where[n:], 1] > 0) & (one[where[n:]] == np.arange(n, 2 * n))
         warm = np.flatnonzero((seen > 1) & (seen <= hot))
         row, first, count, key = _split_hot(batch, c, np.flatnonzero(seen > hot), length, gram, block)
         row, first, count, key = np.concatenate([warm, row]), np.concatenate([c.first[warm], first]), np.concatenate([c.count[warm], count]), np.concatenate([c.key[warm], key])
-        text = c.text[row]
+        digest = mix(batch.hashes(first, first + count + length - 1) ^ mix((c.anchor[row] - first).astype(U64)))
         data = batch.buf.tobytes()
-        data = [data[a:a + n + length - 1] for a, n in zip(first.tolist(), count.tolist())]
-        return pa.table({"grp": pa.array(key.view(np.int64)), "digest": pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()),
-                         "data": pa.array(data, pa.binary()), "copies": pa.array(np.asarray(rows.column("copies"))[text]),
-                         "chunk": pa.array(np.full(len(row), chunk)), "row": pa.array(text), "start": pa.array(first - batch.starts[text])})
-
-    found = cut(ch.with_totals(chunks, totals, candidates, "grp long, digest binary, data binary, copies long, chunk long, row long, start long"))
-    contexts = found.groupBy("grp", "digest").agg(F.first("data").alias("data"), F.sum("copies").alias("copies"))
-    size = found.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
+        data = [data[a:a + k + length - 1] if b else None for a, k, b in zip(first.tolist(), count.tolist(), brings[row].tolist())]
+        return pa.table({"grp": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "data": pa.array(data, pa.binary()),
+                         "windows": pa.array(count), "copies": pa.array(copies[row]), "chunk": pa.array(np.full(len(row), chunk)),
+                         "row": pa.array(c.text[row]), "start": pa.array(first - batch.starts[c.text[row]])})
+
+    found = cut(ch.with_totals(chunks, totals, candidates, "grp long, digest long, data binary, windows long, copies long, chunk long, row long, start long", 2))
+    contexts = found.filter("data is not null").select("grp", "digest", "data")
+    size = contexts.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
     groups = max(1, math.ceil(size / group_bytes))
 
     def mark(t: pa.Table) -> pa.Table:
         t = t.sort_by("grp")
-        data, copies, group = t.column("data").to_pylist(), np.asarray(t.column("copies")), np.asarray(t.column("grp"))
+        data, group = t.column("data").to_pylist(), np.asarray(t.column("grp"))
         spans: list[list[int]] = [[] for _ in data]
-        sizes = np.array([len(d) for d in data])
-        # whole anchor groups together, about 2 MB an index; a larger group is one index
-        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        load = np.add.reduceat(sizes, edge)
-        part = np.searchsorted(np.cumsum(load), np.cumsum(load), "left") if len(load) == 1 else (np.cumsum(load) - load) // 1_500_000
-        for p in np.unique(part):
-            which = edge[part == p]
-            lo, hi = int(which[0]), int(np.append(edge, len(data))[np.searchsorted(edge, which[-1]) + 1])
-            index = RunIndex(data[lo:hi])
-            long_ = index.matching_statistics() >= length
-            for i in range(lo, hi):
-                a = int(index.starts[i - lo])
-                hit = np.append(long_[a:a + len(data[i]) - length + 1] | (copies[i] > 1), False)
-                step = np.diff(np.concatenate([[0], hit.astype(np.int8)]))
-                for x, y in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
-                    spans[i] += [x, y - x + length - 1]
+        edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(data))
+        # whole groups together, about 1.5 MB an index; a context alone in its group has no match elsewhere
+        several = [(a, z) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()) if z - a > 1]
+        held: list[int] = []
+        size = 0
+        for a, z in [*several, (None, None)]:
+            if held and (a is None or size > 1_500_000):
+                _mark(held, data, spans, length)
+                held, size = [], 0
+            if a is not None:
+                held += range(a, z)
+                size += sum(len(data[i]) for i in range(a, z))
         keep = [i for i, s in enumerate(spans) if s]
-        return pa.table({"grp": t.column("grp").take(pa.array(keep, pa.int64())), "digest": t.column("digest").take(pa.array(keep, pa.int64())),
-                         "spans": pa.array([spans[i] for i in keep], pa.list_(pa.int64()))})
+        at = pa.array(keep, pa.int64())
+        return pa.table({"grp": t.column("grp").take(at), "digest": t.column("digest").take(at), "spans": pa.array([spans[i] for i in keep], pa.list_(pa.int64()))})
 
     marked = (contexts.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(groups))).groupBy("part")
-              .applyInArrow(lambda t: mark(t.drop_columns(["part"])), "grp long, digest binary, spans array<long>"))
-    return found.select("grp", "digest", "chunk", "row", "start").join(marked, ["grp", "digest"]).select("chunk", "row", "start", "spans")
+              .applyInArrow(lambda t: mark(t.drop_columns(["part"])), "grp long, digest long, spans array<long>"))
+    marked = marked.groupBy("grp", "digest").agg(F.first("spans").alias("spans"))
+    places = found.select("grp", "digest", "windows", "copies", "chunk", "row", "start")
+    whole = places.filter("copies > 1").select("chunk", "row", "start", F.array(F.lit(0).cast("long"), F.col("windows") + (length - 1)).alias("spans"))
+    return whole.unionByName(places.filter("copies <= 1").join(marked, ["grp", "digest"]).select("chunk", "row", "start", "spans"))
+
+
+def _mark(which: list[int], data: list[bytes], spans: list[list[int]], length: int) -> None:
+    """Add to spans the (offset, size) of the windows that another of these contexts has too."""
+    index = RunIndex([data[i] for i in which])
+    long_ = index.matching_statistics() >= length
+    for i, a in zip(which, index.starts.tolist()):
+        hit = np.append(long_[a:a + len(data[i]) - length + 1], False)
+        if hit.any():
+            step = np.diff(np.append(0, hit.astype(np.int8)))
+            for x, y in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+                spans[i] += [x, y - x + length - 1]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -185,11 +209,12 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 4 << 20) -> DataFrame:
-    """Per distinct text: (key, n_bytes, n_removed, n_spans, kept_sha256, kept); key is the text's SHA-256, kept its remaining bytes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    chunks = ch.make_chunks(texts)
-    ranges = repeated_ranges(chunks, length, gram, hot, block, group_bytes)
+    """The documents with all their columns and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+
+    The added columns' names must be free; ``text`` is the judged column.
+    """
+    chunks = ch.make_chunks(docs)
+    ranges = repeated_ranges(chunks.select("chunk", "n_bytes", "payload"), length, gram, hot, block, group_bytes)
     back = ranges.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "spans")).alias("found"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +227,19 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
                     spans.setdefault(x["row"], []).extend((x["start"] + a, x["start"] + a + n) for a, n in zip(s[::2], s[1::2]))
                 out = []
                 for i, t in enumerate(rows.column("text")):
-                    data = bytes(t.as_buffer())
+                    data = bytes(t.as_buffer()) if t.is_valid else b""
                     runs = merged(spans.get(i, []))
                     kept = b"".join(data[a:z] for a, z in zip([0, *(z for _, z in runs)], [*(a for a, _ in runs), len(data)]))
                     out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([rows.column("key"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
-                                                 names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                added = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return (chunks.select("chunk", "payload").join(back, "chunk", "left").select("payload", "found")
-            .mapInArrow(apply, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+            .mapInArrow(apply, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
 def dedup_report(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, and the SHA-256 of what is kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
-    return rows.join(cut_repeats(docs, length).drop("kept"), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return cut_repeats(rows, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -11,9 +11,9 @@ the sum over its insults and threats of word weight times factors. A text's mass
 is the sum of its clauses' weights; its score is a logistic of the mass.
 
 Word weights come from a seed lexicon and from labelled texts: a word is learnt
-as an insult if it occurs in significantly more distinct contexts (word before,
-word after) inside toxic than inside clean texts. Counting contexts, not texts,
-keeps words that only near-copies of one toxic text share out of the lexicon.
+as an insult if its distinct contexts (word before, word after) inside toxic
+texts are significantly many for its frequency in clean texts. Counting contexts,
+not texts, keeps words that only near-copies of one toxic text share out.
 
 Bounds: at most ``max_train`` labelled texts (chosen by a hash of the id, so the
 same at every run) train the lexicon, at most ``max_terms`` words are learnt.
@@ -179,7 +179,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int, least_evidence: float = 25.0, least_contexts: int = 4) -> dict[str, float]:
-    """Words whose distinct contexts lie in toxic texts far more often than chance, with log-odds weights."""
+    """Words with far more distinct contexts in toxic texts than their frequency in clean texts suggests, with log-odds weights."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -188,16 +188,20 @@ def learn_lexicon(sample: DataFrame, max_terms: int, least_evidence: float = 25.
             if not len(starts):
                 continue
             h = np.concatenate([[np.uint64(1)], batch.hashes(starts, ends), [np.uint64(2)]])
-            around = h[:-2] * np.uint64(3) + h[2:]
-            text = batch.text_of(starts)
-            y = np.asarray(b.column("y").to_numpy(zero_copy_only=False), dtype=np.int32)[text]
-            key = np.unique(np.stack([h[1:-1], around, y.astype(np.uint64)], axis=1), axis=0, return_index=True)[1]
-            data = batch.buf.tobytes()
-            words = [data[starts[i]:ends[i]].decode("utf-8", "replace") for i in key.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(around[key].view(np.int64)), pa.array(y[key])], names=["word", "around", "y"])
-
-    seen = sample.mapInArrow(contexts, "word string, around long, y int").groupBy("word", "around").agg(F.max("y").alias("y"))
-    by_word = seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+            word, around = h[1:-1], h[:-2] * np.uint64(3) + h[2:]
+            toxic = np.asarray(b.column("y").to_numpy(zero_copy_only=False), dtype=bool)[batch.text_of(starts)]
+            at = np.flatnonzero(toxic)
+            at = at[np.unique(np.stack([word[at], around[at]], axis=1), axis=0, return_index=True)[1]] if len(at) else at
+            _, clean, n = np.unique(word[~toxic], return_index=True, return_counts=True)  # clean words: summed before they travel
+            clean = np.flatnonzero(~toxic)[clean]
+            data, one = batch.buf.tobytes(), np.concatenate([at, clean])
+            words = [data[a:z].decode("utf-8", "replace") for a, z in zip(starts[one].tolist(), ends[one].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([*around[at].view(np.int64).tolist(), *[None] * len(clean)], pa.int64()), pa.array(np.concatenate([np.zeros(len(at), np.int64), n]))],
+                names=["word", "around", "n"])
+
+    seen = sample.mapInArrow(contexts, "word string, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
+    by_word = seen.groupBy("word").agg(F.count("around").alias("a"), F.sum("n").alias("b"))
     both = by_word.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     if not both.a or not both.b:
         return {}

@@ -39,13 +39,13 @@ _powers = {"n": 0, "pow": None, "inv": None}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for key, base in (("pow", _BASE), ("inv", _BASE_INV)):
             t = np.empty(size, dtype=U64)
             t[0] = 1
             done, step = 1, base
             while done < size:  # doubling: t[done:2*done] = t[:done] * base**done
-                t[done:2 * done] = t[:done] * U64(step)
+                t[done:2 * done] = t[:min(done, size - done)] * U64(step)
                 step = step * step % (1 << 64)
                 done *= 2
             _powers[key] = t
@@ -154,7 +154,7 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
 ramp = _ramp
 
 
-def slices(batches, text_col: str = "text", max_bytes: int = 4 << 20):
+def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20):
     """Cut an iterator of record batches so that each holds about max_bytes of text (one row at least)."""
     for b in batches:
         n = b.num_rows
