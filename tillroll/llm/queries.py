@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, jaccard_join, language, packing, quality, sharding, suffix_dedup, toxicity
+from tillroll.llm import decontaminate, jaccard_join, language, multi_index, packing, quality, sharding, suffix_dedup, toxicity
 from tillroll.llm.common import fold, table
 
 
@@ -41,6 +41,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -56,6 +60,7 @@ def llm_queries() -> dict:
         "op6_jaccard_join": op6_jaccard_join,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
+        "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
     }
 
