@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, jaccard_join, language, multi_index, packing, quality, sharding, suffix_dedup, toxicity
+from tillroll.llm import decontaminate, jaccard_join, language, language_model, multi_index, packing, quality, sharding, suffix_dedup, toxicity
 from tillroll.llm.common import fold, table
 
 
@@ -19,6 +20,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, model = language_model.score_corpus(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", (F.col("role") == language_model.TEST).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("sequence_length")
 
@@ -55,6 +62,7 @@ def llm_queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_language_model": op3_language_model,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
