@@ -175,42 +175,33 @@ def item_blocks(items: DataFrame, block_bytes: int, id_col: str, text_col: str):
         yield blocks, [(r.id, r.t) for r in part.collect()]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_bytes: int = 8 << 20,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: hit words, items found and the contamination decision."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = []
+def _scan(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_bytes: int, item_col: str, item_text_col: str):
+    """Yield (number of blocks, block number, broadcast index) for each block of items."""
+    own = docs.select("text")
     for k, (blocks, items_of) in enumerate(item_blocks(items, block_bytes, item_col, item_text_col)):
         index = WindowIndex(items_of, window, shingle)
         index.order_by_rarity(shingle_counts(own, index, "text"))
-        sent = spark.sparkContext.broadcast(index)
-        if blocks == 1:
-            def whole(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                for b in slices(batches):
-                    counts, spans, found = _hits(sent.value, b, "text")
-                    rows = [_row(n, spans.get(i, ()), found.get(i, ())) for i, n in enumerate(counts.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array([r[j] for r in rows], t) for j, t in
-                                                                            enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_())))],
-                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-            return own.mapInArrow(whole, RESULT)
+        yield blocks, k, docs.sparkSession.sparkContext.broadcast(index)
+
 
+def _merged(docs: DataFrame, scans) -> DataFrame:
+    """Results over several blocks of items: (doc_id, digest, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    own = docs.select("doc_id", "text").withColumn("digest", F.sha2("text", 256))
+    hits = None
+    for _, k, sent in scans:
         def part(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 _, spans, found = _hits(sent.value, b, "text")
                 hit = sorted(spans)
+                at = pa.array(hit, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(hit, pa.int64())), b.column("digest").take(pa.array(hit, pa.int64())), pa.array([k] * len(hit), pa.int32()),
+                    [b.column("doc_id").take(at), b.column("digest").take(at), pa.array([k] * len(hit), pa.int32()),
                      pa.array([[x for s in sorted(spans[i]) for x in s] for i in hit], pa.list_(pa.int32())),
                      pa.array([sorted(found[i]) for i in hit], pa.list_(pa.string()))],
                     names=["doc_id", "digest", "block", "spans", "items"])
 
-        parts.append(own.withColumn("digest", F.sha2("text", 256)).mapInArrow(part, _HITS))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+        own_hits = own.mapInArrow(part, _HITS)
+        hits = own_hits if hits is None else hits.unionByName(own_hits)
     hits = (hits.dropDuplicates(["doc_id", "digest", "block"]).groupBy("doc_id", "digest")
             .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")))
 
@@ -220,15 +211,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(batch.counts_per_text(batch.words(ALNUM)[0]))],
                                              names=["doc_id", "digest", "n_words"])
 
-    every = own.withColumn("digest", F.sha2("text", 256)).mapInArrow(n_words, "doc_id long, digest string, n_words long")
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+                            ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
         for b in batches:
-            rows = [(d, n, *_row(n, list(zip((s or [])[::2], (s or [])[1::2])), set(i or ())))
-                    for d, n, s, i in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "items")))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), r)) for r in rows],
-                                             schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-                                                               ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))
-
-    joined = every.alias("e").join(hits.alias("h"), F.col("e.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("e.digest").eqNullSafe(F.col("h.digest")), "left")
-    return joined.select("e.doc_id", "n_words", "spans", "items").mapInArrow(merge, RESULT)
+            rows = [(d, g, n, *_row(n, list(zip((s or [])[::2], (s or [])[1::2])), set(i or ())))
+                    for d, g, n, s, i in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "n_words", "spans", "items")))]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+    every = own.mapInArrow(n_words, "doc_id long, digest string, n_words long").alias("e")
+    same = F.col("e.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("e.digest").eqNullSafe(F.col("h.digest"))
+    return (every.join(hits.alias("h"), same, "left").select("e.doc_id", "e.digest", "n_words", "spans", "items")
+            .mapInArrow(merge, RESULT.replace("n_words", "digest string, n_words")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_bytes: int = 8 << 20,
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: hit words, items found and the contamination decision."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scans = list(_scan(own, items, window, shingle, block_bytes, item_col, item_text_col))
+    if scans[0][0] > 1:
+        return _merged(own, scans).drop("digest")
+    sent = scans[0][2]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            counts, spans, found = _hits(sent.value, b, "text")
+            rows = [_row(n, spans.get(i, ()), found.get(i, ())) for i, n in enumerate(counts.tolist())]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))],
+                                             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return own.mapInArrow(whole, RESULT)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
+    """The documents, all columns, that are not contaminated."""
+    scans = list(_scan(docs, items, window, shingle, block_bytes, "item_id", "text"))
+    if scans[0][0] > 1:  # what a text holds decides, so texts are told apart by their digest
+        bad = _merged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scans).filter("contaminated").select("digest").distinct()
+        return docs.alias("d").join(bad, F.sha2(F.col("d.text"), 256) == F.col("digest"), "left_anti")
+    sent = scans[0][2]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            counts, spans, _ = _hits(sent.value, b, "text")
+            hit = np.array([covered(spans.get(i, ())) for i in range(b.num_rows)], np.int64)
+            yield b.filter(pa.array((hit == 0) | (20 * hit < counts)))
+
+    return docs.mapInArrow(keep, docs.schema)

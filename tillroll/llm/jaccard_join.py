@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import chunks as ch
@@ -200,3 +201,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: i
     of_key = member.select("key", "root").join(smallest, "root").select("key", "component_id")
     return (active.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """The documents, all columns, without those that links join to a smaller doc_id.
+
+    Of rows with equal doc_id and text one stays. Rows without an id cannot stand
+    for a group: they are compared with nothing and stay.
+    """
+    named = docs.filter("doc_id is not null")
+    first = jaccard_components(named, percent, n).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = named.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    twin = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return kept.withColumn("_twin", twin).filter("_twin = 1").drop("_twin").unionByName(docs.filter("doc_id is null"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +71,9 @@ def llm_queries() -> dict:
         "op8_quality": op8_quality,
         "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

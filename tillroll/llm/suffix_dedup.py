@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm import chunks as ch
 from tillroll.llm.common import cut
@@ -209,10 +210,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 4 << 20) -> DataFrame:
-    """The documents with all their columns and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
-
-    The added columns' names must be free; ``text`` is the judged column.
-    """
+    """Per document: doc (a struct of all its columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and kept_text (their whole characters)."""
     chunks = ch.make_chunks(docs)
     ranges = repeated_ranges(chunks.select("chunk", "n_bytes", "payload"), length, gram, hot, block, group_bytes)
     back = ranges.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "spans")).alias("found"))
@@ -230,16 +228,30 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
                     data = bytes(t.as_buffer()) if t.is_valid else b""
                     runs = merged(spans.get(i, []))
                     kept = b"".join(data[a:z] for a, z in zip([0, *(z for _, z in runs)], [*(a for a, _ in runs), len(data)]))
-                    out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-                added = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
+                added = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())))
+                doc = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
+                yield pa.RecordBatch.from_arrays([doc, *added], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(k, t) for k, t in (
+        ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType()), ("kept_text", T.StringType())))])
     return (chunks.select("chunk", "payload").join(back, "chunk", "left").select("payload", "found")
-            .mapInArrow(apply, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+            .mapInArrow(apply, schema))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """The documents, all columns, with their texts cut; ``n_chars``, if there, counts what is left.
+
+    A cut can fall inside a character; what is left of such a character goes too.
+    A text that repeats whole becomes empty; its row stays.
+    """
+    cut_docs = cut_repeats(docs, length)
+    kept = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
+    out = {"text": kept} | ({"n_chars": F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut_docs.select(*[out[c].alias(c) if c in out else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def dedup_report(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, and the SHA-256 of what is kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return cut_repeats(rows, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut_repeats(rows, length).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
