@@ -72,8 +72,12 @@ def unpack_rows(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(b))).read_next_batch()
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder."""
+def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 4 << 20, write: bool = True) -> DataFrame:
+    """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder.
+
+    ``write=False`` only if the rows come straight from files written before, so
+    that a repeated task packs the same rows into the same chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, i = task_partition(), 0
@@ -84,7 +88,8 @@ def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 4 <<
                 names=["chunk", "n_rows", "n_bytes", "payload"])
             i += 1
 
-    return cut(rows.mapInArrow(run, CHUNKS))
+    packed = rows.mapInArrow(run, CHUNKS)
+    return cut(packed) if write else packed
 
 
 def _regroup(batches, size_col: str, chunk_bytes: int):

@@ -6,14 +6,17 @@ either's shingles, so under any order of all shingles their first
 share prefix shingles under every order; the orders' filters are intersected
 before a pair is verified.
 
-1. Two orders that need no counts, by two hashes: a document stays active only
-   if each of its two prefixes holds a shingle of some other document's prefix
-   under the same order (``chunks.tally`` counts them; a unique text ends here).
-2. Active documents with equal sets become one class. Class frequencies of all
-   their shingles are counted; under orders that begin with the rarest shingle
-   (ties by different hashes), a class without a shared prefix shingle ends here.
+1. An order that needs no counts, by hash, with prefixes longer by a quarter of
+   the size: if every prefix takes m more shingles, the first m + 1 common ones lie
+   in both prefixes (m of the smaller partner). Only documents with that many
+   prefix shingles in other documents' prefixes stay active (``chunks.tally``
+   counts them); a unique text ends here. Documents with equal sets are one class,
+   and only its first document carries the set.
+2. Class frequencies of all shingles of the active classes are counted. Two
+   further orders begin with the rarest shingle, ties by different hashes; a class
+   without a shared shingle in either prefix ends here.
 3. Candidate pairs share a prefix shingle under the first rarity order, fit in
-   size, and must share one under each further order; then the sets are compared.
+   size, and must share one under the second; then the sets are compared.
    In the first rounds each shingle's classes are compared with one pivot class
    only, and verified links are merged into components. The last round compares
    every remaining pair of classes with a common prefix shingle that are still in
@@ -56,6 +59,14 @@ class Similarity:
         """How many first shingles a set of this size must index."""
         return size - -(-self.percent * size // 100) + 1
 
+    def spare(self, size):
+        """How many more the longer prefix takes."""
+        return size * (100 - self.percent) // 100
+
+    def least_shared(self, size):
+        """Shingles of the longer prefix that any partner has in its longer prefix: 1 + the smallest partner's spare."""
+        return self.spare(-(-self.percent * size // 100)) + 1
+
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
@@ -71,43 +82,52 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.bincount(text[new], minlength=batch.n).astype(np.int64)
 
 
-def _prefixes(shingles: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix shingles of both hash orders (the second order's marked by a lowest bit of 1), and their text."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    rank = ramp(counts)
-    take = sim.prefix(counts)
-    first = rank < take[text]
-    other = mix(shingles ^ SECOND)
-    order = np.lexsort((other, text))
-    second = rank < take[text]  # text is sorted, so the ranks hold for this order too
-    keys = np.concatenate([shingles[first] & ~np.uint64(1), other[order][second] | np.uint64(1)])
-    return keys, np.concatenate([text[first], text[order][second]])
+def _set_keys(shingles: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    stop = np.cumsum(counts).tolist()
+    return [hashlib.blake2b(shingles[z - n:z].tobytes(), digest_size=16).digest() if n else None for n, z in zip(counts.tolist(), stop)]
+
+
+class _Prefixes:
+    """Long prefixes of a chunk's texts under the hash order, and the keys of their whole sets."""
+
+    def __init__(self, texts: pa.Array, sim: Similarity, n: int):
+        self.shingles, self.counts = shingle_sets(texts, n)
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.least = sim.least_shared(self.counts)
+        take = np.minimum(sim.prefix(self.counts) + sim.spare(self.counts), self.counts)
+        first = ramp(self.counts) < take[text]
+        self.text = text[first]
+        self.set_keys = _set_keys(self.shingles, self.counts)
+        self.with_set = np.flatnonzero(self.counts > 0)
+        whole = np.array([int.from_bytes(self.set_keys[i][:8], "little") for i in self.with_set.tolist()], dtype=np.uint64)
+        # shingles have a lowest bit of 0, whole sets of 1
+        self.keys, self.one, where = np.unique(np.concatenate([self.shingles[first] & ~np.uint64(1), whole | np.uint64(1)]), return_index=True, return_inverse=True)
+        self.prefix_at, self.set_at = where[:len(self.text)], where[len(self.text):]
+        self.found = np.bincount(where, minlength=len(self.keys))
 
 
 def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
-    """All documents; those whose prefixes are shared under both hash orders carry their set and its key."""
+    """All documents with the size of their set; active ones have a key, and the first of each class carries the set."""
 
     def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        shingles, counts = shingle_sets(rows.column("text"), n)
-        keys, text = _prefixes(shingles, counts, sim)
-        k, found = np.unique(keys, return_counts=True)
-        return k, np.minimum(found, 2)
+        p = _Prefixes(rows.column("text"), sim, n)
+        return p.keys, np.minimum(p.found, 2)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 24 << 20), answer=lambda sums, own, first: (sums > 1).astype(np.int64))
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 24 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
 
-    def mark(chunk: int, rows: pa.RecordBatch, shared: np.ndarray) -> pa.Table:
-        shingles, counts = shingle_sets(rows.column("text"), n)
-        keys, text = _prefixes(shingles, counts, sim)
-        known, where = np.unique(keys, return_inverse=True)
-        hit, second = shared[where, 0] > 0 if len(known) else np.zeros(0, bool), (keys & np.uint64(1)) == 1
-        active = np.zeros(len(counts), bool)
-        active[np.intersect1d(text[hit & second], text[hit & ~second])] = True
-        stop = np.cumsum(counts).tolist()
-        sets = [shingles[z - c:z].tobytes() if on else None for on, c, z in zip(active.tolist(), counts.tolist(), stop)]
-        set_keys = [None if s is None else hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(counts), "key": pa.array(set_keys, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+    def mark(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
+        p = _Prefixes(rows.column("text"), sim, n)
+        total = total if len(p.keys) else np.zeros((0, 2), np.int64)
+        shared = np.bincount(p.text[total[p.prefix_at, 0] > 0], minlength=len(p.counts))
+        active = (p.counts > 0) & (shared >= p.least)
+        carries = np.zeros(len(p.counts), bool)
+        carries[p.with_set] = (total[p.set_at, 1] > 0) & (p.one[p.set_at] == len(p.text) + np.arange(len(p.with_set)))
+        stop = np.cumsum(p.counts).tolist()
+        sets = [p.shingles[z - c:z].tobytes() if on else None for on, c, z in zip((active & carries).tolist(), p.counts.tolist(), stop)]
+        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(p.counts), "shingles": pa.array(sets, pa.binary()),
+                         "key": pa.array([k if on else None for k, on in zip(p.set_keys, active.tolist())], pa.binary())}).select(["doc_id", "n_shingles", "key", "shingles"])
 
-    return cut(ch.with_totals(chunks, totals, mark, _ACTIVE))
+    return cut(ch.with_totals(chunks, totals, mark, _ACTIVE, 2))
 
 
 def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -115,7 +135,7 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
 
     ``first``/``second``: the shared shingles of the prefix under two rarity orders.
     """
-    chunks = ch.make_chunks(classes.select("key", "shingles"), "shingles")
+    chunks = ch.make_chunks(classes.select("key", "shingles"), "shingles", write=False)
 
     def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]), return_counts=True)
@@ -143,21 +163,22 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) that share a prefix shingle under the second order too and whose sets are similar enough."""
+    """Pairs (a, b) that share a prefix shingle under the second order too and whose sets are similar enough.
+
+    Sets go to the pairs by ``b`` first: there are few pairs for each b, many for a pivot a.
+    """
     a, b = (classes.select(F.col("key").alias(x), F.col("second").alias(f"p{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (pa_, pb, sa, sb) in enumerate(zip(*(batch.column(c) for c in ("pa", "pb", "sa", "sb")))):
-                if not len(np.intersect1d(np.frombuffer(pa_.as_buffer(), np.uint64), np.frombuffer(pb.as_buffer(), np.uint64), assume_unique=True)):
-                    continue
-                x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                if sim.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            for i, row in enumerate(zip(*(batch.column(c) for c in ("pa", "pb", "sa", "sb")))):
+                pre_a, pre_b, x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in row)
+                if len(np.intersect1d(pre_a, pre_b, assume_unique=True)) and sim.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def _fit(sim: Similarity):
@@ -175,13 +196,13 @@ def links(classes: DataFrame, sim: Similarity, rounds: int = 2) -> DataFrame:
             order = F.struct(F.xxhash64("part", F.lit(r)).alias("h"), "key", "n", "part")
             pivot = own.groupBy("shingle").agg(F.min(order).alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
             pairs = (own.join(pivot.select("shingle", "p"), "shingle").filter("part <> p.part")
-                     .select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")))
+                     .select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")))
         else:
             # a shingle whose classes are all in one component has no open pair
             open_ = own.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
             rest = own.join(open_, "shingle")
             x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}")) for c in "ab")
-            pairs = x.join(y, "shingle").filter("parta < partb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
+            pairs = x.join(y, "shingle").filter("parta < partb").select("a", "b", "na", "nb")
         checked = _verify(pairs.filter(_fit(sim)).select("a", "b").distinct(), classes, sim)
         found = cut(checked if found is None else found.unionByName(checked))
         roots = components(found)
@@ -194,9 +215,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: i
     sim = Similarity(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     active = active_documents(ch.make_chunks(rows), sim, n)
-    classes = cut(active.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles")))
-    roots = links(class_prefixes(classes, sim), sim, rounds)
-    member = classes.select("key", "first_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
+    classes = active.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds)
+    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root")))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_key = member.select("key", "root").join(smallest, "root").select("key", "component_id")
     return (active.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")

@@ -152,6 +152,8 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
     events = (ch.with_totals(held, totals, observe, "bucket long, p2 long, p1 long, n long", 2)
               .groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect())
     weights = learn_weights([tuple(r) for r in events], uniform)
+    if not retained + dropped:
+        weights[:] = (0.0, 0.0, 1.0)
     model = Model(retained + dropped, vocabulary, n_docs.get(RETAINED, 0) + n_docs.get(DELETED, 0), weights)
     smooth = math.log10(model.tokens + 0.5 * (model.vocabulary + 1))
 

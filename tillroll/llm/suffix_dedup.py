@@ -130,7 +130,7 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
         c = Contexts(batch, length, gram)
         return np.unique(np.concatenate([c.key & ~odd, _context_keys(batch, c, length) | odd]), return_counts=True)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 256 << 20),
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 64 << 20),
                       answer=lambda sums, own, first: np.concatenate([np.where(sums > 1, sums, 0), first[:, None]], axis=1))
 
     def candidates(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
