@@ -72,7 +72,7 @@ def unpack_rows(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(b))).read_next_batch()
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 4 << 20, write: bool = True) -> DataFrame:
+def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 2 << 20, write: bool = True) -> DataFrame:
     """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder.
 
     ``write=False`` only if the rows come straight from files written before, so
@@ -143,18 +143,23 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarra
     def combine(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         bucket, chunk = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-        keys = [unpack_sorted(k) for k in t.column("keys").to_pylist()]
-        values = [np.stack([unpack(v).astype(np.int64) for v in row], axis=1) for row in t.column("vals").to_pylist()]
+        keys = [unpack_sorted(k.as_py()) for k in t.column("keys")]
+        size = [len(k) for k in keys]
         every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        del keys
         is_first = np.zeros(len(where), bool)
         is_first[first] = True
-        sums = np.stack([np.bincount(where, weights=np.concatenate([v[:, j] for v in values]), minlength=len(every)) for j in range(values[0].shape[1])], axis=1).astype(np.int64)
+        packed = t.column("vals").to_pylist()
+        sums = np.stack([np.bincount(where, weights=np.concatenate([unpack(row[j]) for row in packed]), minlength=len(every)).astype(np.int64)
+                         for j in range(len(packed[0]))], axis=1)
         out, at = [], 0
-        for k, own in zip(keys, values):
-            got = sums[where[at:at + len(k)]]
-            got = (answer(got, own, is_first[at:at + len(k)]) if answer else got).reshape(len(k), -1)
+        for n, row in zip(size, packed):
+            part = slice(at, at + n)
+            got = sums[where[part]]
+            if answer:
+                got = answer(got, np.stack([unpack(v).astype(np.int64) for v in row], axis=1), is_first[part]).reshape(n, -1)
             out.append(b"".join(len(x).to_bytes(4, "little") + x for x in (pack(small_ints(got[:, j])) for j in range(got.shape[1]))))
-            at += len(k)
+            at += n
         if summary:
             chunk, out = [*chunk, -1], [*out, summary(every, sums)]
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "totals": pa.array(out, pa.binary())})

@@ -38,7 +38,7 @@ class WordIds:
     time, ids do not depend on it).
     """
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -120,7 +120,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_ids(tokenizer_path)
-        for b in slices(batches, text_col, 4 << 20):
+        for b in slices(batches, text_col, 2 << 20):
             flat, counts = model.ids(b.column(text_col))
             stop = np.cumsum(counts)
             narrow = not len(flat) or int(flat.max()) < 1 << 16 and end_id < 1 << 16
