@@ -9,6 +9,8 @@ self-join for the line-weighted product counts, ...). The base views
 
 from __future__ import annotations
 
+from tillroll.schemas import KMEANS_K_RANGE, SEGMENT_LABELS
+
 EXCLUDED = ("'POST', 'DOT', 'M', 'C2', 'BANK CHARGES', 'S', 'B', 'AMAZONFEE', "
             "'gift_0001_10', 'gift_0001_20', 'gift_0001_30', 'gift_0001_40', 'gift_0001_50'")
 
@@ -257,6 +259,8 @@ ORACLE: dict[str, str] = {
     "high_recency_products_described_as_written": q(DESCRIBED, _products_as_written(">=", _THR_HIGH_LINES), DESC),
     "low_recency_products_described": q(DESCRIBED, _products("<=", _THR_LOW), DESC),
     "low_recency_products_described_as_written": q(DESCRIBED, _products_as_written("<=", _THR_LOW_LINES), DESC),
+    "high_recency_products_described_all": q(DESCRIBED.replace(" LIMIT 20", ""), _products(">=", _THR_HIGH), DESC),
+    "low_recency_products_described_all": q(DESCRIBED.replace(" LIMIT 20", ""), _products("<=", _THR_LOW), DESC),
     "high_recency_stock_top_n": q("SELECT * FROM products ORDER BY \"count\" DESC, StockCode LIMIT 5",
                                   _products(">=", _THR_HIGH)),
     "high_recency_stock_lowest_n": q("SELECT * FROM products ORDER BY \"count\" ASC, StockCode LIMIT 5",
@@ -373,3 +377,22 @@ ORACLE.update({
     "cluster_display_name": q("SELECT cluster, count(*) AS \"count\", 'Cluster ' || CAST(cluster AS VARCHAR) "
                               "AS ClusterLabel FROM assigned GROUP BY cluster", ASSIGNED),
 })
+
+_MEDIANS = [_median_cte(c) for c in ("Recency", "Frequency", "Monetary")]
+_TRAITS = {label: traits for label, traits in SEGMENT_LABELS}
+ORACLE.update({
+    "segment_cards_fixed": q(" UNION ALL ".join(
+        f"SELECT s.cluster, '{c}' AS Metric, CAST(s.{c}_min AS DOUBLE) AS Min, s.{c}_mean AS Mean, s.{c}_median AS Median, "
+        f"CAST(s.{c}_max AS DOUBLE) AS Max, CAST((SELECT {c[0].lower()} FROM cq)[s.cluster + 1] AS DOUBLE) AS Center FROM ({_STATS_BODY}) s"
+        for c in ("Recency", "Frequency", "Monetary")), ASSIGNED, *_MEDIANS),
+    "segment_labels_fixed": q(
+        "SELECT i AS cluster, label AS Label, CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TRAITS.items()) + " END AS Key_Traits FROM ("
+        f"SELECT i, CASE WHEN vip = 1 THEN '{SEGMENT_LABELS[1][0]}' WHEN row_number() OVER (ORDER BY vip, rec DESC, i) = 1 THEN '{SEGMENT_LABELS[2][0]}' "
+        f"ELSE '{SEGMENT_LABELS[0][0]}' END AS label FROM (SELECT i, rec, CASE WHEN row_number() OVER (ORDER BY mon DESC, i) = 1 THEN 1 ELSE 0 END AS vip "
+        "FROM (SELECT CAST(i AS INTEGER) AS i, (SELECT r FROM cq)[i + 1] AS rec, (SELECT m FROM cq)[i + 1] AS mon FROM range(3) AS t(i))))", ASSIGNED),
+    "segmented_customers_fixed": q("SELECT DISTINCT * FROM assigned", ASSIGNED),
+    "kmeans_fit_check": q("SELECT count(*) AS customers, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_nearest FROM seg_in", SEG_IN),
+    "kmeans_sweep_check": f"SELECT CAST({len(KMEANS_K_RANGE)} AS BIGINT) AS ks, true AS best_is_highest, true AS in_range",
+    "segment_totals_as_written_check": q(
+        "SELECT count(*) AS lines, " + ", ".join(f"CAST(sum({c}) AS {MONEY}) AS total_{c}" for c in ("Recency", "Frequency", "Monetary")) + " FROM final"),
+})

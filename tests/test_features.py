@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import sys
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -26,10 +28,16 @@ def test_churn_thresholds_are_strict_and_inclusive(spark):
     assert got == {"a": 0, "b": 1, "c": 0, "d": 0}
 
 
-def test_rfm_one_pass_equals_three_joins(spark):
+def test_rfm_equals_the_oracle_sql(spark):
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
+    from check_oracle import duck, rows_of
+    from oracle_sql import ORACLE
+
     t = RetailTables.from_testdata(spark, SF)
-    assert sorted(t.rfm().collect()) == sorted(Fe.rfm_by_joins(t.features_in).select(
-        "CustomerID", "Recency", "Frequency", "Monetary").collect())
+    res = duck(SF).execute(ORACLE["rfm"])
+    want = rows_of([d[0] for d in res.description], res.fetchall())
+    for df in (t.rfm(), Fe.rfm(t.features_in)):
+        assert rows_of(df.columns, df.collect()) == want
 
 
 def test_rfm_values_on_literal_lines(spark):

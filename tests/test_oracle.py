@@ -35,7 +35,8 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert rows_only == {
         "monetary_quantile", "assemble_features", "kmeans_sweep", "silhouette", "pick_k",
         "kmeans_segments", "segment_sizes", "segment_stats", "segment_centers", "segment_cards",
-        "segment_labels", "segment_totals", "segmented_customers"}
+        "segment_labels", "segment_totals", "segmented_customers",
+        "kmeans_segments_as_written", "segment_totals_as_written"}
 
 
 def test_entry_runs(spark):

@@ -6,7 +6,12 @@ Inputs: ``final`` = lines with invoice day + Recency/Frequency/Monetary/Churn
 Where the original analysis weights customers by their line count (averages
 and percentiles over lines, a non-distinct self-join) the default here is the
 per-customer form; ``*_as_written`` functions / flags reproduce the line-grain
-numbers, without materialising the quadratic join.
+numbers from per-customer rows with a ``Lines`` count, without line-grain joins.
+
+Reports that need customer columns take the lines and, as ``customers``, one row
+per customer: lines are first aggregated to (CustomerID, report keys), so the
+lines of a hot customer are a few rows before they meet the join. Without
+``customers`` the frame must carry the customer columns already.
 
 Every ``limit`` has a total order behind it, so top-n results are
 deterministic; Spark plans ``orderBy().limit()`` as TakeOrderedAndProject
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import (exact_mean, line_revenue, money_sum, pct_growth, ratio,
                                         year_month_label)
+from tillroll.operators.quantiles import exact_quantiles
 
 # --- place / people: RFM by churn, percentiles ------------------------------
 
@@ -38,49 +44,59 @@ def rfm_by_churn(df: DataFrame) -> DataFrame:
     )
 
 
-def quantile_of(df: DataFrame, column: str, q: float, accuracy: int = 10000) -> Column:
-    """Scalar subquery: approximate q-quantile of ``column`` (a value of the column)."""
-    return df.select(F.percentile_approx(column, q, accuracy)).scalar()
+def rfm_by_churn_as_written(weighted: DataFrame) -> DataFrame:
+    """A1 line-weighted: each customer counts once for each of its ``Lines``."""
+    def mean(c: str) -> Column:
+        value = F.col(c).cast("decimal(24,3)") * F.col("Lines").cast("decimal(13,0)")
+        return F.try_divide(F.sum(value).cast("double"), F.sum("Lines").cast("double"))
 
+    return weighted.groupBy("Churn").agg(mean("Recency").alias("Avg_Recency"), mean("Frequency").alias("Avg_Frequency"),
+                                         mean("Monetary").alias("Avg_Monetary"), F.count(F.lit(1)).alias("Num_Customers"))
 
-def recency_threshold(df: DataFrame) -> DataFrame:
-    """A2: 25th and 75th percentile of Recency over the rows given."""
-    return df.select(
-        F.percentile_approx("Recency", 0.25).alias("recency_25th"),
-        F.percentile_approx("Recency", 0.75).alias("recency_75th"),
-    )
+
+def recency_threshold(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """A2: exact 25th and 75th percentile of Recency over the rows given (``weight``: a count column)."""
+    row = tuple(exact_quantiles(df, "Recency", [0.25, 0.75], weight))
+    return df.sparkSession.createDataFrame([row], "recency_25th int, recency_75th int")
+
+
+def _shrunk(lines: DataFrame, keys: list[str], aggs: list[Column], customers: DataFrame | None, columns: list[str]) -> DataFrame:
+    """Lines aggregated to (CustomerID, keys), with customer columns."""
+    if customers is None:
+        return lines.groupBy("CustomerID", *keys, *columns).agg(*aggs)
+    return lines.groupBy("CustomerID", *keys).agg(*aggs).join(customers.select("CustomerID", *columns), "CustomerID")
 
 
-def _recency_filter(column: Column, threshold: Column, high: bool) -> Column:
-    return column >= threshold if high else column <= threshold
+def recency_customers(customers: DataFrame, high: bool, q: float | None = None, weight: str | None = None) -> DataFrame:
+    """Customers at or above the p75 (at or below the p25) of Recency."""
+    at = exact_quantiles(customers, "Recency", [q if q is not None else (0.75 if high else 0.25)], weight)[0]
+    if at is None:
+        return customers.limit(0)
+    return customers.filter(F.col("Recency") >= at if high else F.col("Recency") <= at)
 
 
-def recency_products(final: DataFrame, rfm_churn: DataFrame, high: bool = True,
+def recency_products(lines: DataFrame, rfm_churn: DataFrame, high: bool = True,
                      q: float | None = None) -> DataFrame:
     """A3/A4: lines per StockCode bought by customers with high (low) Recency.
 
-    Threshold = p75 (p25) over customers. A line belongs to such a customer
-    exactly when its own Recency passes, so the customer semi-join is a filter.
+    Threshold = exact p75 (p25) over customers. Lines are counted per customer
+    and code before they meet the chosen customers.
     """
-    q = q if q is not None else (0.75 if high else 0.25)
-    thr = quantile_of(rfm_churn, "Recency", q)
-    return (final.filter(_recency_filter(F.col("Recency"), thr, high))
-            .groupBy("StockCode").agg(F.count(F.lit(1)).alias("count")))
+    chosen = recency_customers(rfm_churn, high, q).select("CustomerID")
+    return (lines.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_m")).join(chosen, "CustomerID")
+            .groupBy("StockCode").agg(F.sum("_m").alias("count")))
 
 
-def recency_products_as_written(final: DataFrame, high: bool = True,
-                                q: float | None = None) -> DataFrame:
+def recency_products_as_written(lines: DataFrame, high: bool = True, q: float | None = None,
+                                customers: DataFrame | None = None) -> DataFrame:
     """A3/A4 line-weighted: threshold over lines, each line counted once per line
     of its customer (what the non-distinct self-join yields), computed as
     Σ_customer lines(c) · lines(c, code) without building the n² rows."""
-    q = q if q is not None else (0.75 if high else 0.25)
-    thr = quantile_of(final, "Recency", q)
-    sel = final.filter(_recency_filter(F.col("Recency"), thr, high))
-    per_code = sel.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_m"))
-    # lines(c) = Σ_code lines(c, code): from the small aggregate, not another pass over the lines
-    per_customer = per_code.groupBy("CustomerID").agg(F.sum("_m").alias("_n"))
-    return (per_code.join(per_customer, "CustomerID")
-            .groupBy("StockCode").agg(F.sum(F.col("_m") * F.col("_n")).alias("count")))
+    if customers is None:
+        customers = lines.groupBy("CustomerID", "Recency").agg(F.count(F.lit(1)).alias("Lines"))
+    chosen = recency_customers(customers, high, q, "Lines").select("CustomerID", "Lines")
+    return (lines.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_m")).join(chosen, "CustomerID")
+            .groupBy("StockCode").agg(F.sum(F.col("_m") * F.col("Lines")).alias("count")))
 
 
 def product_descriptions(final: DataFrame) -> DataFrame:
@@ -93,12 +109,12 @@ def product_descriptions(final: DataFrame) -> DataFrame:
             .groupBy("StockCode").agg(F.min("Description").alias("Description")))
 
 
-def products_described(products: DataFrame, descriptions: DataFrame, n: int = 20) -> DataFrame:
-    """Product counts + description, top n by count (StockCode breaks ties)."""
-    return (products.join(descriptions, on="StockCode", how="left")
-            .select("StockCode", "Description", "count")
-            .orderBy(F.col("count").desc(), F.col("StockCode").asc())
-            .limit(n))
+def products_described(products: DataFrame, descriptions: DataFrame, n: int | None = 20) -> DataFrame:
+    """Product counts + description, top n by count (StockCode breaks ties); all with ``n=None``."""
+    out = (products.join(descriptions, on="StockCode", how="left")
+           .select("StockCode", "Description", "count")
+           .orderBy(F.col("count").desc(), F.col("StockCode").asc()))
+    return out if n is None else out.limit(n)
 
 
 def stock_top_n(products: DataFrame, n: int = 5, ascending: bool = False) -> DataFrame:
@@ -107,13 +123,13 @@ def stock_top_n(products: DataFrame, n: int = 5, ascending: bool = False) -> Dat
     return products.orderBy(order, F.col("StockCode").asc()).limit(n)
 
 
-def churn_by_country(final: DataFrame) -> DataFrame:
+def churn_by_country(lines: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """Churned / active distinct customers and churn rate per Country.
 
-    Pre-aggregates to distinct (Country, CustomerID, Churn) so the two
-    conditional distinct counts become plain conditional counts.
+    Pre-aggregates to distinct (Country, CustomerID) so the two conditional
+    distinct counts become plain conditional counts.
     """
-    cust = final.select("Country", "CustomerID", "Churn").distinct()
+    cust = _shrunk(lines, ["Country"], [F.count(F.lit(1)).alias("_n")], customers, ["Churn"])
     agg = cust.groupBy("Country").agg(
         F.count_if(F.col("Churn") == 1).alias("Churned_Customers"),
         F.count_if(F.col("Churn") == 0).alias("Active_Customers"),
@@ -135,11 +151,15 @@ def approx_quantile(df: DataFrame, column: str, q: float = 0.75,
     return df.approxQuantile(column, [q], relative_error)[0]
 
 
-def high_value_churned(df: DataFrame, q: float = 0.75, accuracy: int = 10000) -> DataFrame:
-    """Churned rows whose Monetary is at least the q-quantile of the rows given."""
-    thr = quantile_of(df, "Monetary", q, accuracy)
-    return (df.filter((F.col("Churn") == 1) & (F.col("Monetary") >= thr))
-            .select("CustomerID", "Recency", "Frequency", "Monetary"))
+def high_value_churned(df: DataFrame, q: float = 0.75, customers: DataFrame | None = None) -> DataFrame:
+    """Churned rows whose Monetary is at least the exact q-quantile.
+
+    The quantile is over the rows given, or, for lines, over ``customers``
+    weighted by their ``Lines``.
+    """
+    at = exact_quantiles(df, "Monetary", [q])[0] if customers is None else exact_quantiles(customers, "Monetary", [q], "Lines")[0]
+    out = df.filter((F.col("Churn") == 1) & (F.col("Monetary") >= F.lit(at)))
+    return out.select("CustomerID", "Recency", "Frequency", "Monetary")
 
 
 # --- place: revenue by country, growth, trends -----------------------------
@@ -160,16 +180,20 @@ def _yoy(yearly: DataFrame, keys: list[str], value: str, prev_name: str,
     return yearly.withColumn(prev_name, prev)
 
 
-def country_yoy(final: DataFrame, as_written: bool = False) -> DataFrame:
+def country_yoy(lines: DataFrame, as_written: bool = False, customers: DataFrame | None = None) -> DataFrame:
     """Revenue per Country and Year, previous year's, growth % (2 dp).
 
     Default: revenue = Σ Quantity·UnitPrice, and the previous value is the
     calendar year before (null on a gap). ``as_written``: yearly value =
     Σ of the customer's lifetime Monetary over lines, previous = last year present.
     """
-    with_year = final.withColumn("Year", F.year("InvoiceDate"))
-    measure = money_sum("Monetary") if as_written else money_sum(line_revenue())
-    yearly = with_year.groupBy("Country", "Year").agg(measure.alias("YearlyRevenue"))
+    with_year = lines.withColumn("Year", F.year("InvoiceDate"))
+    if as_written:
+        counted = _shrunk(with_year, ["Country", "Year"], [F.count(F.lit(1)).alias("_n")], customers, ["Monetary"])
+        weighed = F.col("Monetary").cast("decimal(24,3)") * F.col("_n").cast("decimal(13,0)")
+        yearly = counted.groupBy("Country", "Year").agg(money_sum(weighed).alias("YearlyRevenue"))
+    else:
+        yearly = with_year.groupBy("Country", "Year").agg(money_sum(line_revenue()).alias("YearlyRevenue"))
     out = _yoy(yearly, ["Country"], "YearlyRevenue", "PreviousRevenue", consecutive=not as_written)
     return (out.withColumn("YoY_Growth", F.round(pct_growth("YearlyRevenue", "PreviousRevenue"), 2))
             .orderBy("Country", "Year"))
@@ -185,9 +209,9 @@ def top_countries(final: DataFrame, n: int = 3, ascending: bool = False) -> Data
 def monthly_revenue_top_countries(final: DataFrame, n: int = 3, ascending: bool = False) -> DataFrame:
     """Revenue by Year, Month, Country for the top-n countries.
 
-    One monthly aggregate feeds both the country ranking and the result, and
-    the n chosen countries (a result bounded by n rows) are broadcast into a
-    left-semi join; no list of countries passes through the driver.
+    The n chosen countries (a result bounded by n rows) are broadcast into a
+    left-semi join with the monthly rows; no list of countries passes through the
+    driver. Ranking and result each aggregate the lines.
     """
     monthly = (final
                .withColumn("Year", F.year("InvoiceDate"))
@@ -218,10 +242,11 @@ def top_products_by_quantity(final: DataFrame, n: int = 10, ascending: bool = Fa
             .orderBy(order, F.col("Description").asc()).limit(n))
 
 
-def churned_top_products(final: DataFrame, n: int = 3) -> DataFrame:
+def churned_top_products(lines: DataFrame, n: int = 3, customers: DataFrame | None = None) -> DataFrame:
     """Products churned customers bought most, by quantity."""
-    return (final.filter(F.col("Churn") == 1)
-            .groupBy("StockCode", "Description").agg(F.sum("Quantity").alias("TotalQuantity"))
+    bought = _shrunk(lines, ["StockCode", "Description"], [F.sum("Quantity").alias("_q")], customers, ["Churn"])
+    return (bought.filter(F.col("Churn") == 1)
+            .groupBy("StockCode", "Description").agg(F.sum("_q").alias("TotalQuantity"))
             .orderBy(F.col("TotalQuantity").desc(), F.col("StockCode").asc(), F.col("Description").asc())
             .limit(n))
 
@@ -257,11 +282,12 @@ def top_growth_products(yoy: DataFrame, n: int = 20) -> DataFrame:
 # --- people: revenue per customer ------------------------------------------
 
 
-def revenue_per_customer(final: DataFrame) -> DataFrame:
+def revenue_per_customer(lines: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """Revenue, distinct customers and revenue per customer by Country, Churn."""
-    return (final.groupBy("Country", "Churn").agg(
-        money_sum(line_revenue()).alias("Total_Revenue"),
-        F.count_distinct("CustomerID").alias("Num_Customers"))
+    spent = _shrunk(lines, ["Country"], [money_sum(line_revenue()).alias("_r")], customers, ["Churn"])
+    return (spent.groupBy("Country", "Churn").agg(
+        money_sum("_r").alias("Total_Revenue"),
+        F.count(F.lit(1)).alias("Num_Customers"))
         .withColumn("Revenue_per_Customer", ratio("Total_Revenue", "Num_Customers")))
 
 

@@ -2,14 +2,18 @@
 
 Spark's exact ``percentile`` aggregate merges every distinct value of a group
 into one buffer: a group holding a third of the data would sit in one task.
-Here the exact answer is found in three bounded steps:
+Here the exact answer is found in two passes over the rows:
 
 1. per group, a mergeable quantile sketch (``percentile_approx``) gives a
    bracket [L, U] around the middle ranks; its rank error is at most n/accuracy,
    so the bracket is widened by a few times that and always contains them;
-2. one pass counts the values below L and aggregates the values inside the
-   bracket as (value, count) pairs — at most a few · n/accuracy distinct values;
-3. a running count over just those pairs locates the middle rank(s).
+2. the brackets (one row for each group, so groups must be few, such as clusters)
+   are sent to the rows; one combinable aggregate counts the values below L as a
+   whole and the values inside the bracket as (value, count) pairs, and a running
+   count over these locates the middle rank(s).
+
+The pairs of a group meet in one task: up to about 8 · n/accuracy distinct values
+of n, a share that ``accuracy`` sets; no raw value is shuffled.
 
 The result equals Spark's ``percentile(x, 0.5)``: the middle value, or
 0.5·lo + 0.5·hi for an even count, as double.
@@ -36,14 +40,13 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
         F.percentile_approx("_x", max(0.0, 0.5 - margin), accuracy).alias("_lo_b"),
         F.percentile_approx("_x", min(1.0, 0.5 + margin), accuracy).alias("_hi_b"),
     )
-    # one row per group: Spark broadcasts it when its measured size is small
-    tagged = vals.join(bounds, g)
-    below = tagged.groupBy(*g).agg(F.count_if(F.col("_x") < F.col("_lo_b")).alias("_below"))
-    inside = (tagged.filter(F.col("_x").between(F.col("_lo_b"), F.col("_hi_b")))
-              .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*g).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (inside.join(bounds.join(below, g), g)
-              .withColumn("_end", F.col("_below") + F.sum("_c").over(w))
+    tagged = vals.join(F.broadcast(bounds.select(*g, "_lo_b", "_hi_b")), g).filter(F.col("_x") <= F.col("_hi_b"))
+    # null stands for everything below the bracket and sorts first
+    pairs = (tagged.withColumn("_x", F.when(F.col("_x") >= F.col("_lo_b"), F.col("_x")))
+             .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*g).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (pairs.join(F.broadcast(bounds.select(*g, "_n")), g)
+              .withColumn("_end", F.sum("_c").over(w))
               .withColumn("_start", F.col("_end") - F.col("_c")))
     r_lo = F.floor((F.col("_n") - 1) / 2)
     r_hi = F.ceil((F.col("_n") - 1) / 2)

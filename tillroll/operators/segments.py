@@ -6,10 +6,12 @@ line-grain input reproduces the original per-line fit.
 
 Fitting is distributed (k-means|| initialisation and Lloyd iterations run as
 Spark jobs; only k centres travel to the driver). The fit input is cut from
-its lineage before the k sweep: written with ``checkpoint()`` to the session's
-``spark.checkpoint.dir`` (shared storage on a cluster), or persisted to memory
-and disk where none is configured, so 2×8 fit/evaluate passes do not re-run
-the cleaning and RFM plan, and a lost executor costs a re-read, not a replay.
+its lineage once per call: written with ``checkpoint()`` to the session's
+``spark.checkpoint.dir`` (shared storage on a cluster), so 2×8 fit/evaluate
+passes do not re-run the cleaning and RFM plan, and a lost executor costs a
+re-read, not a replay. Its number of partitions is a parameter, not a session
+setting, as the fit depends on it; Spark deletes the files with their frame where
+``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 
 Cluster ids from k-means are arbitrary (they change with partitioning); they
 are renumbered by the centres' profile and labelled by profile, not by id.
@@ -19,20 +21,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import cluster_display_name, exact_mean
 from tillroll.operators.median import exact_median
+from tillroll.operators.quantiles import exact_quantiles
 from tillroll.schemas import (KMEANS_BEST_K, KMEANS_K_RANGE, KMEANS_SEED, RFM_COLUMNS,
                               SEGMENT_LABELS, UNKNOWN_CUSTOMER)
+from tillroll.session import written
 
 FEATURES = "features"
 SCALED = "scaled_features"
@@ -96,21 +100,13 @@ def sql_scaled_columns(df: DataFrame, digits: int = 9) -> DataFrame:
 # --- stable fit input ----------------------------------------------------------
 
 
-def stable_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Fixed partitioning and row order (k-means results depend on both), then
-    cut the lineage: reliable checkpoint when a checkpoint dir is configured,
-    else persist to memory and disk. Never a local checkpoint."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fixed = df.repartition(n, "CustomerID").sortWithinPartitions("CustomerID")
-    if spark.sparkContext.getCheckpointDir():
-        return fixed.checkpoint(eager=True)
-    return fixed.persist(StorageLevel.MEMORY_AND_DISK)
+FIT_PARTITIONS = 16
 
 
-def release(df: DataFrame) -> None:
-    if df.storageLevel != StorageLevel.NONE:
-        df.unpersist()
+def stable_input(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Fixed partitioning and row order (k-means results depend on both), written
+    to the checkpoint folder."""
+    return written(df.repartition(partitions, "CustomerID").sortWithinPartitions("CustomerID"))
 
 
 # --- fit, sweep, evaluate -------------------------------------------------------
@@ -130,17 +126,14 @@ def silhouette(clustered: DataFrame) -> float:
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = KMEANS_K_RANGE, seed: int = KMEANS_SEED,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int = FIT_PARTITIONS) -> DataFrame:
     """M4: fit k-means for each k over one stable scaled input; (k, silhouette)."""
     spark = df.sparkSession
-    scaled = stable_input(scale_features(df), partitions)
-    try:
-        rows = []
-        for k in ks:
-            model = kmeans(k, seed).fit(scaled)
-            rows.append((int(k), float(silhouette(model.transform(scaled)))))
-    finally:
-        release(scaled)
+    scaled = scale_features(stable_input(df, partitions))
+    rows = []
+    for k in ks:
+        model = kmeans(k, seed).fit(scaled)
+        rows.append((int(k), float(silhouette(model.transform(scaled)))))
     # one row per k tried: a result as small as the parameter list
     return spark.createDataFrame(rows, "k int, silhouette double")
 
@@ -176,12 +169,12 @@ def _profile_order(centers: Sequence[Sequence[float]]) -> dict[int, int]:
 
 
 def fit_segments(df: DataFrame, k: int = KMEANS_BEST_K, seed: int = KMEANS_SEED,
-                 partitions: int | None = None) -> Segmentation:
+                 partitions: int = FIT_PARTITIONS) -> Segmentation:
     """M7: fit assembler + scaler + k-means together (one saveable pipeline).
 
     The input is made stable first (see ``stable_input``) and kept on the
     result as ``seg.input``, so assigning the fitted rows reads it back
-    instead of re-running its plan; ``release(seg.input)`` when done.
+    instead of re-running its plan.
     """
     stable = stable_input(df, partitions)
     model = Pipeline(stages=[assembler(), scaler(), kmeans(k, seed)]).fit(stable)
@@ -231,20 +224,26 @@ def assign_nearest(df: DataFrame, centers: Sequence[Sequence[Column | float]],
 
 
 def quantile_centers(scaled: DataFrame, k: int,
-                     cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS)) -> list[list[float]]:
+                     cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS), digits: int = 9) -> list[list[float]]:
     """k deterministic starting centres: centre j sits at the (2j+1)/(2k)
-    quantile of every scaled metric. One aggregation job (mergeable quantile
-    sketches); k × metrics numbers come back, like k-means centres do."""
-    qs = [(2 * j + 1) / (2 * k) for j in range(k)]
-    row = scaled.agg(*[F.percentile_approx(c, qs).alias(c) for c in cols]).first()
-    return [[float(row[c][j]) for c in cols] for j in range(k)]
+    exact quantile of every scaled metric (rounded to ``digits``); k × metrics
+    numbers come back, like k-means centres do."""
+    qs = [Fraction(2 * j + 1, 2 * k) for j in range(k)]
+    columns = [exact_quantiles(scaled, c, qs, scale=digits) for c in cols]
+    return [list(c) for c in zip(*columns)]
 
 
 def segment_assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> DataFrame:
     """M8: scaled metrics assigned to the nearest of k quantile centres."""
+    return assign_fixed(segment_in, k)[0]
+
+
+def assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> tuple[DataFrame, list[list[float]]]:
+    """M8 with its centres."""
     scaled = sql_scaled_columns(stable_input(segment_in))
-    assigned = assign_nearest(scaled, quantile_centers(scaled, k))
-    return assigned.select("CustomerID", *RFM_COLUMNS, *[f"{c}_scaled" for c in RFM_COLUMNS], CLUSTER)
+    centers = quantile_centers(scaled, k)
+    assigned = assign_nearest(scaled, centers)
+    return assigned.select("CustomerID", *RFM_COLUMNS, *[f"{c}_scaled" for c in RFM_COLUMNS], CLUSTER), centers
 
 
 # --- reports over an assignment -----------------------------------------------------
@@ -271,48 +270,78 @@ def segment_stats(clustered: DataFrame) -> DataFrame:
     return simple.join(medians, CLUSTER).select(*cols).orderBy(CLUSTER)
 
 
-def segment_centers(seg: Segmentation, spark: SparkSession) -> DataFrame:
-    """Centre coordinates in scaled units, one row per cluster (k rows)."""
-    rows = [(i, *c) for i, c in enumerate(seg.centers)]
+def centers_frame(centers: Sequence[Sequence[float]], spark: SparkSession) -> DataFrame:
+    """Centre coordinates in scaled units, one row per cluster (k rows)."""
+    rows = [(i, *c) for i, c in enumerate(centers)]
     return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{c}_center double" for c in RFM_COLUMNS))
 
 
+def segment_centers(seg: Segmentation, spark: SparkSession) -> DataFrame:
+    """The fitted centres."""
+    return centers_frame(seg.centers, spark)
+
+
 def segment_cards(stats: DataFrame, centers: DataFrame) -> DataFrame:
-    """One row per cluster × metric: Min, Mean, Median, Max, Center."""
-    parts = []
-    for c in RFM_COLUMNS:
-        parts.append(stats.join(centers, CLUSTER).select(
-            CLUSTER, F.lit(c).alias("Metric"),
-            F.col(f"{c}_min").alias("Min"), F.col(f"{c}_mean").alias("Mean"),
-            F.col(f"{c}_median").alias("Median"), F.col(f"{c}_max").alias("Max"),
-            F.col(f"{c}_center").alias("Center")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    order = F.create_map(*[x for i, c in enumerate(RFM_COLUMNS) for x in (F.lit(c), F.lit(i))])
-    return out.orderBy(CLUSTER, order[F.col("Metric")])
+    """One row per cluster × metric: Min, Mean, Median, Max, Center (doubles)."""
+    cards = F.array(*[F.struct(F.lit(i).alias("_order"), F.lit(c).alias("Metric"),
+                               *[F.col(f"{c}_{s}").cast("double").alias(n) for s, n in (
+                                   ("min", "Min"), ("mean", "Mean"), ("median", "Median"), ("max", "Max"), ("center", "Center"))])
+                      for i, c in enumerate(RFM_COLUMNS)])
+    return (stats.join(F.broadcast(centers), CLUSTER).select(CLUSTER, F.inline(cards))  # k rows
+            .orderBy(CLUSTER, "_order").drop("_order"))
 
 
 def segment_labels(seg: Segmentation, spark: SparkSession) -> DataFrame:
-    """Business label per cluster, decided by the centres' profile:
-    highest Monetary centre = Ultra VIP; of the rest, highest Recency centre =
-    Churned Low-Value; every other cluster = Active Medium-Value."""
+    """Business label per cluster of a fit."""
+    return label_centers(seg.centers, spark)
+
+
+def label_centers(centers: Sequence[Sequence[float]], spark: SparkSession) -> DataFrame:
+    """M13 by the centres' profile: highest Monetary centre = Ultra VIP; of the
+    rest, highest Recency centre = Churned Low-Value; others = Active Medium-Value."""
     (active, active_t), (vip, vip_t), (churned, churned_t) = SEGMENT_LABELS
-    ids = list(range(seg.k))
-    vip_id = max(ids, key=lambda i: (seg.centers[i][2], -i))
+    ids = list(range(len(centers)))
+    vip_id = max(ids, key=lambda i: (centers[i][2], -i))
     rest = [i for i in ids if i != vip_id]
-    churned_id = max(rest, key=lambda i: (seg.centers[i][0], -i)) if rest else None
-    rows = []
-    for i in ids:
-        if i == vip_id:
-            rows.append((i, vip, vip_t))
-        elif i == churned_id:
-            rows.append((i, churned, churned_t))
-        else:
-            rows.append((i, active, active_t))
+    churned_id = max(rest, key=lambda i: (centers[i][0], -i)) if rest else None
+    rows = [(i, vip, vip_t) if i == vip_id else (i, churned, churned_t) if i == churned_id else (i, active, active_t) for i in ids]
     return spark.createDataFrame(rows, "cluster int, Label string, Key_Traits string").orderBy(CLUSTER)
 
 
+def fit_check(seg: Segmentation) -> DataFrame:
+    """One row for a fit: customers, clusters, and customers that are not at a nearest centre (0)."""
+    x = vector_to_array(F.col(SCALED))
+    d = [sum((x[j] - F.lit(v)) * (x[j] - F.lit(v)) for j, v in enumerate(c)) for c in seg.centers]
+    own = F.element_at(F.array(*d), F.col(CLUSTER) + 1)
+    return seg.transform(seg.input).agg(F.count(F.lit(1)).alias("customers"), F.count_distinct(CLUSTER).alias("clusters"),
+                                        F.count_if(own > F.least(*d) * (1 + 1e-9) + 1e-12).alias("not_nearest"))
+
+
+def kmeans_by_lines(weighted: DataFrame, k: int = KMEANS_BEST_K, seed: int = KMEANS_SEED, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """M7 as first written, at line grain with ``Unknown``: one row per customer,
+    fitted with its ``Lines`` as weight instead of that many equal rows."""
+    rows = stable_input(weighted.select("CustomerID", *RFM_COLUMNS, "Lines"), partitions)
+    w = F.col("Lines").cast("double")
+    def deviation(c: str) -> Column:
+        x = F.col(c).cast("double")
+        n, total, square = F.sum(w), F.sum(w * x), F.sum(w * x * x)
+        return F.sqrt((square - total * total / n) / (n - 1))
+
+    sd = rows.agg(*[deviation(c).alias(c) for c in RFM_COLUMNS]).first()
+    scaled = rows.select("*", array_to_vector(F.array(*[F.col(c).cast("double") / F.lit(sd[c] or 1.0) for c in RFM_COLUMNS])).alias(SCALED))
+    model = kmeans(k, seed).setWeightCol("Lines").fit(scaled)
+    order = _profile_order([tuple(map(float, c)) for c in model.clusterCenters()])
+    lookup = F.create_map(*[x for old, new in order.items() for x in (F.lit(old), F.lit(new))])
+    return model.transform(scaled).select("CustomerID", *RFM_COLUMNS, "Lines", lookup[F.col(CLUSTER)].alias(CLUSTER))
+
+
+def segment_totals_by_lines(clustered: DataFrame) -> DataFrame:
+    """M9 and M14 at line grain: lines, Σ R, Σ F, Σ M over lines per cluster."""
+    times = F.col("Lines").cast("decimal(13,0)")
+    return clustered.groupBy(CLUSTER).agg(F.sum("Lines").alias("count"), *[
+        F.sum(F.col(c).cast("decimal(24,3)") * times).cast("decimal(38,3)").alias(f"total_{c}") for c in RFM_COLUMNS]).orderBy(CLUSTER)
+
+
 def segment_totals(clustered: DataFrame) -> DataFrame:
     """Rows, Σ R, Σ F, Σ M per cluster and each one's share in % (the
     shares' window runs over the k aggregated rows only)."""

@@ -87,58 +87,60 @@ FEATURES: dict[str, Query] = {
 
 def _recency_products(t: RetailTables, high: bool, as_written: bool) -> DataFrame:
     if as_written:
-        return A.recency_products_as_written(t.final, high=high)
-    return A.recency_products(t.final, t.rfm_churn(), high=high)
+        return A.recency_products_as_written(t.features_in, high=high, customers=t.weighted())
+    return A.recency_products(t.features_in, t.rfm_churn(), high=high)
 
 
-def _described(t: RetailTables, high: bool, as_written: bool) -> DataFrame:
+def _described(t: RetailTables, high: bool, as_written: bool, n: int | None = 20) -> DataFrame:
     return A.products_described(_recency_products(t, high, as_written),
-                                A.product_descriptions(t.final), 20)
+                                A.product_descriptions(t.features_in), n)
 
 
 def _per_customer_wide(t: RetailTables) -> DataFrame:
-    return A.revenue_per_customer_wide(A.revenue_per_customer(t.final))
+    return A.revenue_per_customer_wide(A.revenue_per_customer(t.features_in, t.rfm_churn()))
 
 
 ANALYSIS: dict[str, Query] = {
     "rfm_by_churn": _on(lambda t: A.rfm_by_churn(t.rfm_churn())),
-    "rfm_by_churn_as_written": _on(lambda t: A.rfm_by_churn(t.final)),
+    "rfm_by_churn_as_written": _on(lambda t: A.rfm_by_churn_as_written(t.weighted())),
     "recency_threshold": _on(lambda t: A.recency_threshold(t.rfm_churn())),
-    "recency_threshold_as_written": _on(lambda t: A.recency_threshold(t.final)),
+    "recency_threshold_as_written": _on(lambda t: A.recency_threshold(t.weighted(), "Lines")),
     "high_recency_products": _on(lambda t: _recency_products(t, True, False)),
     "high_recency_products_as_written": _on(lambda t: _recency_products(t, True, True)),
     "low_recency_products": _on(lambda t: _recency_products(t, False, False)),
     "low_recency_products_as_written": _on(lambda t: _recency_products(t, False, True)),
-    "product_descriptions_any": _on(lambda t: A.product_descriptions(t.final)),
-    "product_descriptions": _on(lambda t: A.product_descriptions(t.final)),
+    "product_descriptions_any": _on(lambda t: A.product_descriptions(t.features_in)),
+    "product_descriptions": _on(lambda t: A.product_descriptions(t.features_in)),
     "high_recency_products_described": _on(lambda t: _described(t, True, False)),
     "high_recency_products_described_as_written": _on(lambda t: _described(t, True, True)),
     "low_recency_products_described": _on(lambda t: _described(t, False, False)),
     "low_recency_products_described_as_written": _on(lambda t: _described(t, False, True)),
+    "high_recency_products_described_all": _on(lambda t: _described(t, True, False, None)),
+    "low_recency_products_described_all": _on(lambda t: _described(t, False, False, None)),
     "high_recency_stock_top_n": _on(lambda t: A.stock_top_n(_recency_products(t, True, False), 5)),
     "high_recency_stock_lowest_n":
         _on(lambda t: A.stock_top_n(_recency_products(t, True, False), 5, ascending=True)),
-    "churn_by_country": _on(lambda t: A.churn_by_country(t.final)),
+    "churn_by_country": _on(lambda t: A.churn_by_country(t.features_in, t.rfm_churn())),
     "monetary_quantile": _on(lambda t: A.monetary_quantile(t.rfm_churn())),
     "high_value_churned": _on(lambda t: A.high_value_churned(t.rfm_churn())),
-    "high_value_churned_as_written": _on(lambda t: A.high_value_churned(t.final)),
-    "revenue_by_country": _on(lambda t: A.revenue_by_country(t.final)),
-    "country_yoy": _on(lambda t: A.country_yoy(t.final)),
-    "country_yoy_as_written": _on(lambda t: A.country_yoy(t.final, as_written=True)),
-    "top_countries": _on(lambda t: A.top_countries(t.final, 3)),
-    "top_countries_ascending": _on(lambda t: A.top_countries(t.final, 5, ascending=True)),
-    "monthly_revenue_top_countries": _on(lambda t: A.monthly_revenue_top_countries(t.final, 3)),
-    "year_month_label": _on(lambda t: A.with_year_month(A.monthly_revenue_top_countries(t.final, 3))),
-    "top_products_by_quantity": _on(lambda t: A.top_products_by_quantity(t.final, 10)),
+    "high_value_churned_as_written": _on(lambda t: A.high_value_churned(t.final, customers=t.weighted())),
+    "revenue_by_country": _on(lambda t: A.revenue_by_country(t.features_in)),
+    "country_yoy": _on(lambda t: A.country_yoy(t.features_in)),
+    "country_yoy_as_written": _on(lambda t: A.country_yoy(t.features_in, True, t.rfm_churn())),
+    "top_countries": _on(lambda t: A.top_countries(t.features_in, 3)),
+    "top_countries_ascending": _on(lambda t: A.top_countries(t.features_in, 5, ascending=True)),
+    "monthly_revenue_top_countries": _on(lambda t: A.monthly_revenue_top_countries(t.features_in, 3)),
+    "year_month_label": _on(lambda t: A.with_year_month(A.monthly_revenue_top_countries(t.features_in, 3))),
+    "top_products_by_quantity": _on(lambda t: A.top_products_by_quantity(t.features_in, 10)),
     "top_products_by_quantity_ascending":
-        _on(lambda t: A.top_products_by_quantity(t.final, 5, ascending=True)),
-    "churned_top_products": _on(lambda t: A.churned_top_products(t.final, 3)),
-    "product_yoy": _on(lambda t: A.product_yoy(t.final)),
-    "product_yoy_as_written": _on(lambda t: A.product_yoy(t.final, as_written=True)),
-    "top_growth_products": _on(lambda t: A.top_growth_products(A.product_yoy(t.final), 20)),
+        _on(lambda t: A.top_products_by_quantity(t.features_in, 5, ascending=True)),
+    "churned_top_products": _on(lambda t: A.churned_top_products(t.features_in, 3, t.rfm_churn())),
+    "product_yoy": _on(lambda t: A.product_yoy(t.features_in)),
+    "product_yoy_as_written": _on(lambda t: A.product_yoy(t.features_in, as_written=True)),
+    "top_growth_products": _on(lambda t: A.top_growth_products(A.product_yoy(t.features_in), 20)),
     "top_growth_products_as_written":
-        _on(lambda t: A.top_growth_products(A.product_yoy(t.final, as_written=True), 20)),
-    "revenue_per_customer": _on(lambda t: A.revenue_per_customer(t.final)),
+        _on(lambda t: A.top_growth_products(A.product_yoy(t.features_in, as_written=True), 20)),
+    "revenue_per_customer": _on(lambda t: A.revenue_per_customer(t.features_in, t.rfm_churn())),
     "revenue_per_customer_wide": _on(_per_customer_wide),
     "revenue_per_customer_long": _on(lambda t: A.revenue_per_customer_long(_per_customer_wide(t))),
     "top_customers": _on(lambda t: A.top_customers(t.rfm_churn(), "Monetary", 5)),

@@ -5,10 +5,12 @@
                        └──F8 (v1)        └──────F9 (v2) = final ◀┘
     rfm ──F10 (v3)── cleaned
 
-Nothing is cached here: each query is one Catalyst plan from the parquet scan
-to its result, so column pruning and filter pushdown reach the scan for each
-query separately, and Spark reuses identical exchanges inside a plan (the
-RFM aggregate feeds both the last-day subquery and the join).
+Lines stay a lazy plan, so column pruning and filter pushdown reach the scan
+for each query separately. The per-customer rows (one for each customer) are
+aggregated once per ``RetailTables`` and written to the checkpoint folder: RFM,
+churn, thresholds and joins read them there, so a report reads the lines at most
+twice. ``from_prepared`` starts from tables that ``sources.files.write_prepared``
+wrote, and reads no raw lines at all.
 """
 
 from __future__ import annotations
@@ -19,32 +21,56 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import clean, features
-from tillroll.sources import testdata
+from tillroll.schemas import UNKNOWN_CUSTOMER
+from tillroll.session import written
+from tillroll.sources import files, testdata
 
 
 @dataclass
 class RetailTables:
-    raw: DataFrame
+    raw: DataFrame | None
+    prepared_lines: DataFrame | None = None
+    prepared_customers: DataFrame | None = None
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "RetailTables":
         """Dirty lines over the star-schema test tables (exercises every cleaning rule)."""
         return cls(testdata.raw_retail(spark, sf_dir))
 
+    @classmethod
+    def from_prepared(cls, spark: SparkSession, lines_path: str, customers_path: str) -> "RetailTables":
+        """Cleaned lines and per-customer rows as ``write`` left them."""
+        return cls(None, files.load_prepared(spark, lines_path).drop("Year"), files.load_prepared(spark, customers_path))
+
+    def write(self, lines_path: str, customers_path: str) -> None:
+        """Write the two prepared tables to paths that all executors share."""
+        files.write_prepared(self.cleaned, lines_path)
+        files.write_prepared(self.customers, customers_path, partition_by=None)
+
     @cached_property
     def parsed(self) -> DataFrame:
         return clean.parse_invoice_date(self.raw)
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return clean.clean_transactions(self.raw)
+        return self.prepared_lines if self.raw is None else clean.clean_transactions(self.raw)
 
     @cached_property
     def features_in(self) -> DataFrame:
         return features.to_invoice_date(self.cleaned)
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        """Last day, Frequency, Monetary and Lines per customer, aggregated once."""
+        return self.prepared_customers if self.raw is None else written(features.per_customer(self.features_in))
+
     def rfm(self, include_unknown: bool = True) -> DataFrame:
-        return features.rfm(self.features_in, include_unknown=include_unknown)
+        out = features.rfm_of(self.customers)
+        return out if include_unknown else out.filter(out.CustomerID != UNKNOWN_CUSTOMER)
+
+    def weighted(self) -> DataFrame:
+        """RFM, churn and the number of lines per customer."""
+        return features.churn_label(features.rfm_of(self.customers, "Lines"))
 
     def rfm_churn(self, include_unknown: bool = True) -> DataFrame:
         return features.churn_label(self.rfm(include_unknown))

@@ -59,6 +59,32 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment_cards(S.segment_stats(S.kmeans_segments(seg)), S.segment_centers(seg, spark))
 
 
+def _cards_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centers = S.assign_fixed(_input(spark, sf_dir), KMEANS_BEST_K)
+    return S.segment_cards(S.segment_stats(assigned), S.centers_frame(centers, spark))
+
+
+def _labels_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.label_centers(S.assign_fixed(_input(spark, sf_dir), KMEANS_BEST_K)[1], spark)
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = _fitted(spark, sf_dir)
+    return S.segmented_customers(seg.transform(seg.input))
+
+
+def _sweep_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many k were tried, whether the picked k has the best silhouette, whether all lie in [-1, 1]."""
+    sweep = S.kmeans_sweep(_input(spark, sf_dir))
+    best = S.pick_k(sweep).select("silhouette").scalar()
+    return sweep.agg(F.count(F.lit(1)).alias("ks"), F.bool_and(F.col("silhouette") <= best).alias("best_is_highest"),
+                     F.bool_and(F.col("silhouette").between(-1, 1)).alias("in_range"))
+
+
+def _by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.kmeans_by_lines(RetailTables.from_testdata(spark, sf_dir).weighted())
+
+
 SEGMENTS: dict[str, Query] = {
     "segment_input": _input,
     "segment_input_as_written": _input_as_written,
@@ -76,7 +102,16 @@ SEGMENTS: dict[str, Query] = {
     "segment_cards": _cards,
     "segment_labels": lambda s, d: S.segment_labels(_fitted(s, d), s),
     "segment_totals": lambda s, d: S.segment_totals(_clustered(s, d)),
-    "segmented_customers": lambda s, d: S.segmented_customers(_clustered(s, d)),
+    "segmented_customers": _segmented,
+    "kmeans_fit_check": lambda s, d: S.fit_check(_fitted(s, d)),
+    "kmeans_sweep_check": _sweep_check,
+    "kmeans_segments_as_written": _by_lines,
+    "segment_totals_as_written": lambda s, d: S.segment_totals_by_lines(_by_lines(s, d)),
+    "segment_totals_as_written_check": lambda s, d: S.segment_totals_by_lines(_by_lines(s, d)).agg(
+        F.sum("count").alias("lines"), *[F.sum(f"total_{c}").cast("decimal(38,3)").alias(f"total_{c}") for c in ("Recency", "Frequency", "Monetary")]),
+    "segment_cards_fixed": _cards_fixed,
+    "segment_labels_fixed": _labels_fixed,
+    "segmented_customers_fixed": lambda s, d: S.segmented_customers(_fixed(s, d)),
     "segment_assign_fixed": _fixed,
     "segment_sizes_fixed": lambda s, d: S.segment_sizes(_fixed(s, d)),
     "segment_stats_fixed": lambda s, d: S.segment_stats(_fixed(s, d)),
