@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, jaccard_join, language, language_model, multi_index, packing, quality, sharding, suffix_dedup, toxicity
 from tillroll.llm.common import fold, table
+from tillroll.llm.oracle import ORACLE
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ def llm_queries() -> dict:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
