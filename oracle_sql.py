@@ -9,7 +9,7 @@ self-join for the line-weighted product counts, ...). The base views
 
 from __future__ import annotations
 
-from tillroll.schemas import KMEANS_K_RANGE, SEGMENT_LABELS
+from tillroll.schemas import COLUMN_ROLES, KMEANS_K_RANGE, RAW, SEGMENT_LABELS
 
 EXCLUDED = ("'POST', 'DOT', 'M', 'C2', 'BANK CHARGES', 'S', 'B', 'AMAZONFEE', "
             "'gift_0001_10', 'gift_0001_20', 'gift_0001_30', 'gift_0001_40', 'gift_0001_50'")
@@ -396,3 +396,40 @@ ORACLE.update({
     "segment_totals_as_written_check": q(
         "SELECT count(*) AS lines, " + ", ".join(f"CAST(sum({c}) AS {MONEY}) AS total_{c}" for c in ("Recency", "Frequency", "Monetary")) + " FROM final"),
 })
+
+# --- all-text lines with malformed fields ---------------------------------------
+
+_K = "CAST(replace(InvoiceNo, 'C', '') AS BIGINT)"
+TEXT_BASE = BASE.replace("FROM raw_retail),\nc2", "FROM typed),\nc2").replace("parsed AS (", f"""raw_text AS (
+  SELECT InvoiceNo, StockCode, Description,
+    CASE WHEN {_K} % 307 = 0 THEN 'two' WHEN {_K} % 211 = 0 THEN '0' ELSE CAST(Quantity AS VARCHAR) END AS Quantity,
+    CASE WHEN {_K} % 503 = 0 THEN '31/31/2010 8:00' ELSE InvoiceDate END AS InvoiceDate,
+    CASE WHEN {_K} % 401 = 0 THEN 'free' ELSE CAST(UnitPrice AS VARCHAR) END AS UnitPrice, CustomerID, Country
+  FROM raw_retail),
+typed AS (SELECT * REPLACE (TRY_CAST(Quantity AS INTEGER) AS Quantity, TRY_CAST(UnitPrice AS DECIMAL(18,3)) AS UnitPrice) FROM raw_text),
+parsed AS (""", 1)
+
+
+def _text_q(body: str) -> str:
+    return f"WITH {TEXT_BASE}\n{body}"
+
+
+def _bad(column: str, converted: str) -> str:
+    return _cnt("raw_text", f"{column} IS NOT NULL AND {converted} IS NULL")
+
+
+_BAD_QUANTITY, _BAD_PRICE = _bad("Quantity", "TRY_CAST(Quantity AS INTEGER)"), _bad("UnitPrice", "TRY_CAST(UnitPrice AS DECIMAL(18,3))")
+_BAD_DATE = _bad("InvoiceDate", "try_strptime(InvoiceDate, '%m/%d/%Y %H:%M')")
+ORACLE.update({
+    "load_transactions_csv": q("SELECT * FROM raw_retail"),
+    "load_text_csv": _text_q("SELECT * FROM raw_text"),
+    "prepared_rfm_churn": ORACLE["churn_label"],
+    "prepared_churn_by_country": ORACLE["churn_by_country"],
+    "prepared_country_yoy": ORACLE["country_yoy"],
+    "profile_schema_text": _text_q("SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{f.name}', 'string', '{'timestamp_ntz' if f.name == 'InvoiceDate' else f.dataType.simpleString()}', '{COLUMN_ROLES.get(f.name, 'attribute')}', "
+        f"'{f.metadata.get('comment', '')}', " + {"Quantity": _BAD_QUANTITY, "UnitPrice": _BAD_PRICE, "InvoiceDate": _BAD_DATE}.get(f.name, "CAST(0 AS BIGINT)") + ")"
+        for i, f in enumerate(RAW.fields)) + ") AS t(position, column_name, stored_type, target_type, role, meaning, unconvertible)"),
+    "cleaning_report_text": _text_q(ORACLE["cleaning_report"][ORACLE["cleaning_report"].index("SELECT * FROM (VALUES"):].replace(
+        "raw_retail", "typed").replace(") AS t(step_no", f", (8, 'malformed_quantity', {_BAD_QUANTITY}), (9, 'malformed_price', {_BAD_PRICE})) AS t(step_no")),
+})

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.schemas import EXCLUDED_STOCKCODES, INVOICE_DATE_FORMAT, UNKNOWN_CUSTOMER
+from tillroll.schemas import EXCLUDED_STOCKCODES, INVOICE_DATE_FORMAT, PRICE, UNKNOWN_CUSTOMER
 
 
 def parse_invoice_date(df: DataFrame, fmt: str = INVOICE_DATE_FORMAT) -> DataFrame:
@@ -27,6 +27,13 @@ def parse_invoice_date(df: DataFrame, fmt: str = INVOICE_DATE_FORMAT) -> DataFra
     return df.withColumn("InvoiceDate", ts)
 
 
+def typed(raw_text: DataFrame) -> DataFrame:
+    """All-text lines with Quantity and UnitPrice as numbers; a malformed field becomes null
+    (``profile.cleaning_report_text`` counts them)."""
+    return (raw_text.withColumn("Quantity", F.col("Quantity").try_cast("int"))
+            .withColumn("UnitPrice", F.col("UnitPrice").try_cast(PRICE)))
+
+
 def drop_missing_description(df: DataFrame) -> DataFrame:
     """Drop lines without a product description."""
     return df.filter(F.col("Description").isNotNull())

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.columns import is_cancelled, null_count
 from tillroll.operators import clean
-from tillroll.schemas import COLUMN_ROLES, EXCLUDED_STOCKCODES, INVOICE_DATE_FORMAT, RAW
+from tillroll.schemas import COLUMN_ROLES, EXCLUDED_STOCKCODES, INVOICE_DATE_FORMAT, PRICE, RAW
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -145,6 +145,16 @@ def cleaning_report(raw: DataFrame, codes: Sequence[str] = EXCLUDED_STOCKCODES)
             .orderBy("step_no"))
 
 
+def cleaning_report_text(raw_text: DataFrame, codes: Sequence[str] = EXCLUDED_STOCKCODES) -> DataFrame:
+    """P10 from all-text lines: the report over the typed lines, and how many
+    Quantity and UnitPrice fields were malformed (null after typing)."""
+    bad = raw_text.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(n) for c, t, n in (
+        ("Quantity", "int", "malformed_quantity"), ("UnitPrice", PRICE, "malformed_price"))])
+    steps = F.create_map(F.lit("malformed_quantity"), F.lit(8), F.lit("malformed_price"), F.lit(9))
+    extra = bad.unpivot([], ["malformed_quantity", "malformed_price"], "step", "rows").select(steps[F.col("step")].alias("step_no"), "step", "rows")
+    return cleaning_report(clean.typed(raw_text), codes).unionByName(extra).orderBy("step_no")
+
+
 def latest_transaction(df: DataFrame) -> DataFrame:
     """The last invoice day in the data."""
     return df.agg(F.max(F.to_date("InvoiceDate")).alias("latest_date"))

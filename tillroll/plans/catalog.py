@@ -8,6 +8,7 @@ forms (per-customer grain, calendar-year growth).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from tillroll.operators import clean as C
 from tillroll.operators import features as Fe
 from tillroll.operators import profile as P
 from tillroll.plans.prepared import RetailTables
-from tillroll.sources import files
+from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources import files, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +36,27 @@ def _deduplicated(t: RetailTables) -> DataFrame:
     return C.clean_upto(t.raw, "deduplicate")
 
 
+def _through_csv(spark: SparkSession, sf_dir: str, text: bool) -> DataFrame:
+    """The raw lines written as CSV to the shared checkpoint folder and loaded from there."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}.csv"
+    lines = testdata.raw_text_retail(spark, sf_dir) if text else testdata.raw_retail(spark, sf_dir)
+    lines.write.option("header", True).csv(path)
+    return files.load_text(spark, path) if text else files.load_transactions(spark, path)
+
+
+def _through_prepared(spark: SparkSession, sf_dir: str) -> RetailTables:
+    """Tables read back from the prepared files that ``RetailTables.write`` leaves."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepared-{uuid.uuid4().hex}"
+    _t(spark, sf_dir).write(f"{folder}/lines", f"{folder}/customers")
+    return RetailTables.from_prepared(spark, f"{folder}/lines", f"{folder}/customers")
+
+
 SOURCES: dict[str, Query] = {
+    "load_transactions_csv": lambda s, d: _through_csv(s, d, False),
+    "load_text_csv": lambda s, d: _through_csv(s, d, True),
+    "prepared_rfm_churn": lambda s, d: _through_prepared(s, d).rfm_churn(),
+    "prepared_churn_by_country": lambda s, d: (lambda t: A.churn_by_country(t.features_in, t.rfm_churn()))(_through_prepared(s, d)),
+    "prepared_country_yoy": lambda s, d: A.country_yoy(_through_prepared(s, d).features_in),
     "load_transactions": _on(lambda t: t.raw),
     "preview": _on(lambda t: files.preview(t.raw, 5)),
 }
@@ -58,6 +80,8 @@ PROFILE: dict[str, Query] = {
         _on(lambda t: P.row_count(P.stockcodes_missing_description(t.parsed), "n_stockcodes")),
     "excluded_code_pairs": _on(lambda t: P.excluded_code_pairs(C.clean_upto(t.raw, "positive"))),
     "cleaning_report": _on(lambda t: P.cleaning_report(t.raw)),
+    "profile_schema_text": lambda s, d: P.profile_schema(testdata.raw_text_retail(s, d)),
+    "cleaning_report_text": lambda s, d: P.cleaning_report_text(testdata.raw_text_retail(s, d)),
     "latest_transaction": _on(lambda t: P.latest_transaction(t.cleaned)),
 }
 

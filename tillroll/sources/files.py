@@ -20,16 +20,27 @@ DEFAULT_COLLECT_LIMIT = 10_000
 
 
 def load_transactions(spark: SparkSession, path: str, fmt: str = "csv",
-                      schema: T.StructType = RAW) -> DataFrame:
+                      schema: T.StructType = RAW, corrupt_column: str | None = None) -> DataFrame:
     """Read raw invoice lines (header CSV by default) with a declared schema.
 
     A malformed CSV field becomes null (PERMISSIVE mode) rather than failing
-    the job; nulls are then counted by the profile queries.
+    the job. ``corrupt_column`` keeps the whole text of such a line; to count
+    malformed fields column by column, read with ``load_text`` and use
+    ``profile.profile_schema`` and ``profile.cleaning_report_text``.
     """
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if corrupt_column:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    return reader.schema(schema).csv(path)
+
+
+def load_text(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
+    """Read a header CSV of raw invoice lines with every declared column as text."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    return spark.read.schema(text).option("header", True).csv(path)
 
 
 def load_prepared(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -115,3 +115,23 @@ def raw_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_name AS Country",
         f"explode(CASE WHEN l_orderkey % {rep_mod} = {rep_rem} THEN array(1, 2) ELSE array(1) END) AS _copy",
     ).drop("_copy")
+
+
+# --- Fixed values: malformed fields of the all-text form, by invoice number ---
+BAD_QUANTITY_INVOICE = (307, "two")
+BAD_PRICE_INVOICE = (401, "free")
+BAD_DATE_INVOICE = (503, "31/31/2010 8:00")
+ZERO_QUANTITY_INVOICE = 211
+# ---------------------------------------------------------------------------
+
+
+def raw_text_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines with every column as text, as a file delivers them, some fields malformed."""
+    k = "CAST(replace(InvoiceNo, 'C', '') AS BIGINT)"
+    return raw_retail(spark, sf_dir).selectExpr(
+        "InvoiceNo", "StockCode", "Description",
+        f"CASE WHEN {k} % {BAD_QUANTITY_INVOICE[0]} = 0 THEN '{BAD_QUANTITY_INVOICE[1]}' "
+        f"WHEN {k} % {ZERO_QUANTITY_INVOICE} = 0 THEN '0' ELSE CAST(Quantity AS STRING) END AS Quantity",
+        f"CASE WHEN {k} % {BAD_DATE_INVOICE[0]} = 0 THEN '{BAD_DATE_INVOICE[1]}' ELSE InvoiceDate END AS InvoiceDate",
+        f"CASE WHEN {k} % {BAD_PRICE_INVOICE[0]} = 0 THEN '{BAD_PRICE_INVOICE[1]}' ELSE CAST(UnitPrice AS STRING) END AS UnitPrice",
+        "CustomerID", "Country")
