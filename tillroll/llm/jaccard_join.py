@@ -15,8 +15,9 @@ before a pair is verified.
 2. Class frequencies of all shingles of the active classes are counted. Two
    further orders begin with the rarest shingle, ties by different hashes; a class
    without a shared shingle in either prefix ends here.
-3. Candidate pairs share a prefix shingle under the first rarity order, fit in
-   size, and must share one under the second; then the sets are compared.
+3. Candidate pairs share a prefix shingle under the first rarity order, meet the
+   size and positional bounds there, and must share one under the second; then the
+   sets are compared.
    In the first rounds each shingle's classes are compared with one pivot class
    only, and verified links are merged into components. The last round compares
    every remaining pair of classes with a common prefix shingle that are still in
@@ -133,7 +134,8 @@ def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
 def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
     """Classes that share a prefix shingle under the rarity orders: (key, n, first, second, shingles).
 
-    ``first``/``second``: the shared shingles of the prefix under two rarity orders.
+    ``first``/``second``: the shared shingles of the prefix under two rarity
+    orders, the first with their places in the whole ordered set.
     """
     chunks = ch.make_chunks(classes.select("key", "shingles"), "shingles", write=False)
 
@@ -152,14 +154,16 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
             parts = []
             for tie in (own, mix(own ^ SECOND)):
                 p = np.lexsort((tie, df))[:take]
-                parts.append(np.sort(own[p[df[p] > 1]]))
-            if all(len(p) for p in parts):
-                out.append((key, len(own), parts[0].view(np.int64).tolist(), parts[1].tobytes(), raw))
+                at = np.flatnonzero(df[p] > 1)
+                parts.append((own[p[at]], at))
+            if all(len(p) for p, _ in parts):
+                (first, at), (second, _) = parts
+                out.append((key, len(own), [{"shingle": int(x), "at": int(i)} for x, i in zip(first.view(np.int64).tolist(), at.tolist())], np.sort(second).tobytes(), raw))
         cols = list(zip(*out)) or [()] * 5
-        return pa.table({"key": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.list_(pa.int64())),
+        return pa.table({"key": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32())]))),
                          "second": pa.array(cols[3], pa.binary()), "shingles": pa.array(cols[4], pa.binary())})
 
-    return cut(ch.with_totals(chunks, totals, choose, "key binary, n long, first array<long>, second binary, shingles binary"))
+    return cut(ch.with_totals(chunks, totals, choose, "key binary, n long, first array<struct<shingle: long, at: int>>, second binary, shingles binary"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -182,35 +186,49 @@ def _verify(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _fit(sim: Similarity):
-    return (100 * F.least("na", "nb") >= sim.percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    """Size bound, and the positional bound: if the shingle is the first common one,
+    no more can be common than what either set has from there on. A similar pair
+    meets it at its first common shingle."""
+    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return ((F.lit(100 + sim.percent) * rest >= F.lit(sim.percent) * (F.col("na") + F.col("nb")))
+            & (F.lit(100) * F.least("na", "nb") >= F.lit(sim.percent) * F.greatest("na", "nb")))
 
 
-def links(classes: DataFrame, sim: Similarity, rounds: int = 2) -> DataFrame:
+def links(classes: DataFrame, sim: Similarity, rounds: int = 3) -> DataFrame:
     """(node, root) of the classes' components."""
-    index = classes.select("key", "n", F.explode("first").alias("shingle"))
-    found, parts = None, classes.select("key", F.col("key").alias("part"))
+    index = classes.select("key", "n", F.explode("first").alias("x")).select("key", "n", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at"))
+    found, parts = None, None
     for r in range(rounds + 1):
-        own = cut(index.join(parts, "key")) if r else index.withColumn("part", F.col("key"))
+        own = index.withColumn("part", F.col("key")).withColumn("alone", F.lit(True)) if parts is None else cut(index.join(parts, "key"))
+        by_shingle = own.groupBy("shingle")
         if r < rounds:
-            # pivot of a shingle: the class whose salted hash is smallest; its rows are one for each shingle
-            order = F.struct(F.xxhash64("part", F.lit(r)).alias("h"), "key", "n", "part")
-            pivot = own.groupBy("shingle").agg(F.min(order).alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+            # pivot of a shingle: the class whose hash is smallest, first one for all its shingles, later (of the classes in components, if any)
+            # another for each shingle; there is one pair for each index row at most
+            salt = F.xxhash64("key", "shingle", F.lit(r)) if r else F.xxhash64("key")
+            order = F.struct("alone", salt.alias("h"), "key", "n", "at", "part")
+            pivot = by_shingle.agg(F.min(order).alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
             pairs = (own.join(pivot.select("shingle", "p"), "shingle").filter("part <> p.part")
-                     .select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")))
+                     .select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.at").alias("ia"), F.col("at").alias("ib"))
+                     .filter(_fit(sim)))
         else:
             # a shingle whose classes are all in one component has no open pair
-            open_ = own.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
-            rest = own.join(open_, "shingle")
-            x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}")) for c in "ab")
-            pairs = x.join(y, "shingle").filter("parta < partb").select("a", "b", "na", "nb")
-        checked = _verify(pairs.filter(_fit(sim)).select("a", "b").distinct(), classes, sim)
+            open_ = by_shingle.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
+            earlier = classes.select("key", F.posexplode("first").alias("i", "x"), "first").select(
+                "key", F.col("x.shingle").alias("shingle"), F.slice("first.shingle", F.lit(1), F.col("i")).alias("before"))
+            rest = cut(own.join(open_, "shingle").join(earlier, ["key", "shingle"]))
+            x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}"), F.col("at").alias(f"i{c}"),
+                                F.col("before").alias(f"before{c}")) for c in "ab")
+            # a pair comes out once, at its first common shingle
+            pairs = x.join(y, "shingle").filter("parta < partb").filter(_fit(sim)).filter(~F.arrays_overlap("beforea", "beforeb"))
+        checked = _verify(pairs.select("a", "b").distinct(), classes, sim)
         found = cut(checked if found is None else found.unionByName(checked))
         roots = components(found)
-        parts = classes.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part"))
+        parts = (classes.select("key").join(roots, F.col("key") == F.col("node"), "left")
+                 .select("key", F.coalesce("root", "key").alias("part"), F.col("root").isNull().alias("alone")))
     return roots
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 3) -> DataFrame:
     """One row per document: size of its shingle set and the smallest doc_id that similarity links reach."""
     sim = Similarity(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
