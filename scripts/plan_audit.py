@@ -2,7 +2,9 @@
 
 usage: python scripts/plan_audit.py [sf_dir]
 Prints one line per query: exchanges, sort-merge / broadcast joins, scans,
-and any cross join, nested-loop join or Python evaluation (expected: none).
+and any cross join, nested-loop join or Python evaluation (expected: none in
+the retail queries), any sort-merge join on CustomerID alone under a line scan,
+and more than two scans of the lines.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowE
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from tillroll.session import local_session
-    import __spark_entry__ as E
 
     spark = local_session(cpus=4, memory="7g")
     flagged = 0
-    for name, fn in E.queries().items():
+    from tillroll.plans.catalog import all_queries
+
+    for name, fn in all_queries().items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         bad = [b for b in BAD if b in plan]
+        final = plan.split("== Initial Plan ==")[0]
+        if final.count("lineitem.parquet") > 2:
+            bad.append(f"lines read {final.count('lineitem.parquet')} times")
+        if "lineitem.parquet" in final and re.search(r"SortMergeJoin \[CustomerID#\d+\]", final) and "partial_" not in final:
+            bad.append("raw lines joined on CustomerID")
         flagged += bool(bad)
         print(f"{name:48s} exchanges={len(re.findall(r'Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition', plan)):2d} "
               f"smj={plan.count('SortMergeJoin'):2d} bhj={plan.count('BroadcastHashJoin'):2d} "
