@@ -1,6 +1,6 @@
 """Exact global counts for the keys of each chunk of rows.
 
-A chunk is a few MB of rows packed into one compressed record, written once to
+A chunk is about a MB of rows packed into one compressed record, written once to
 the checkpoint folder. ``tally`` answers, for every key of every chunk, the sum
 of the key's values over all chunks:
 
@@ -72,7 +72,7 @@ def unpack_rows(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(b))).read_next_batch()
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 2 << 20, write: bool = True) -> DataFrame:
+def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 1 << 20, write: bool = True) -> DataFrame:
     """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder.
 
     ``write=False`` only if the rows come straight from files written before, so

@@ -114,7 +114,7 @@ def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
         p = _Prefixes(rows.column("text"), sim, n)
         return p.keys, np.minimum(p.found, 2)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 12 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 6 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
 
     def mark(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
         p = _Prefixes(rows.column("text"), sim, n)
@@ -142,7 +142,7 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
     def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]), return_counts=True)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 12 << 20))
+    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 6 << 20))
 
     def choose(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]

@@ -136,7 +136,7 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
     held = ch.make_chunks(rows.filter(F.col("role") == DELETED))
     rest = ch.make_chunks(rows.filter(F.col("role") != DELETED)).withColumn("chunk", F.col("chunk") + F.lit(1 << 62))
     chunks = held.unionByName(rest)
-    totals = cut(ch.tally(chunks, _keys_of, ch.bucket_count(chunks, 6 << 20), summary=_summary))
+    totals = cut(ch.tally(chunks, _keys_of, ch.bucket_count(chunks, 4 << 20), summary=_summary))
     parts = [np.frombuffer(r.totals, "<i8") for r in totals.filter("chunk = -1").select("totals").collect()]  # four numbers for each key range
     retained, dropped, vocabulary, seen = np.sum(parts, axis=0).tolist() if parts else (0, 0, 0, 0)
     n_docs = {r.role: r.n for r in rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
