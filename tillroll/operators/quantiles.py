@@ -2,8 +2,9 @@
 
 The column's range is cut into ``BINS`` equal bins and the weights of each bin
 are summed (a combinable aggregate); only the bin that holds the wanted rank is
-cut again, until a bin is one value. Each pass brings at most ``BINS`` rows to the
-driver; three or four passes cover any money column. The answer does not depend
+cut again, until a bin is one value. Each pass, one job for all quantiles asked,
+brings at most ``BINS`` rows for each of them to the driver; three or four passes
+cover any money column. The answer does not depend
 on the number of rows or partitions. The input is scanned once a pass, so give a
 table or written rows, not a long plan.
 """
@@ -36,19 +37,24 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], weight: str
     ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n")).first()
     if not ends.n:
         return [None] * len(qs)
-    out = []
-    for q in qs:
-        rank = max(1, math.ceil((q if isinstance(q, Fraction) else Fraction(str(q))) * ends.n))
-        lo, hi, below = int(ends.lo), int(ends.hi), 0
-        while lo < hi:
-            step = -(-(hi - lo + 1) // BINS)
-            bin_ = F.floor((F.col("v") - F.lit(lo).cast(T.DecimalType(38, 0))) / F.lit(step).cast(T.DecimalType(20, 0))) if step > 1 else F.col("v") - F.lit(lo).cast(T.DecimalType(38, 0))
-            counts = rows.filter(F.col("v").between(lo, hi)).groupBy(bin_.cast("long").alias("b")).agg(F.sum("w").alias("w")).collect()
-            for b, w in sorted((r.b, r.w) for r in counts):
-                if below + w >= rank:
-                    lo, hi = lo + b * step, min(hi, lo + b * step + step - 1)
+    whole_type = T.DecimalType(38, 0)
+    rank = [max(1, math.ceil((q if isinstance(q, Fraction) else Fraction(str(q))) * ends.n)) for q in qs]
+    # of each q: the range its value lies in, and the weight below the range
+    lo, hi, below = [int(ends.lo)] * len(qs), [int(ends.hi)] * len(qs), [0] * len(qs)
+    while open_ := [i for i in range(len(qs)) if lo[i] < hi[i]]:
+        step = {i: -(-(hi[i] - lo[i] + 1) // BINS) for i in open_}
+        bins = [F.when(F.col("v").between(lo[i], hi[i]), F.struct(F.lit(i).alias("i"), F.floor(
+            (F.col("v") - F.lit(lo[i]).cast(whole_type)) / F.lit(step[i]).cast(T.DecimalType(20, 0))).cast("long").alias("b"))) for i in open_]
+        counts = (rows.select("w", F.explode(F.array_compact(F.array(*bins))).alias("x")).groupBy("x.i", "x.b")
+                  .agg(F.sum("w").alias("w")).collect())
+        for i in open_:
+            for b, w in sorted((r.b, r.w) for r in counts if r.i == i):
+                if below[i] + w >= rank[i]:
+                    lo[i], hi[i] = lo[i] + b * step[i], min(hi[i], lo[i] + b * step[i] + step[i] - 1)
                     break
-                below += w
-        value = Decimal(lo).scaleb(-digits)
+                below[i] += w
+    out = []
+    for v in lo:
+        value = Decimal(v).scaleb(-digits)
         out.append(value if isinstance(kind, T.DecimalType) else float(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else int(value))
     return out
