@@ -21,7 +21,6 @@ buckets together. A null id is in no test fold and so trains.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
