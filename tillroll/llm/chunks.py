@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import cut, task_partition
-from tillroll.llm.words import slices
+from tillroll.llm.words import give_back, slices
 
 CHUNKS = "chunk long, n_rows long, n_bytes long, payload binary"
 
@@ -139,6 +139,7 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
                                                   pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
                                                  names=["bucket", "chunk", "keys", "vals"])
+        give_back()
 
     def combine(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -160,6 +161,7 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarra
                 got = answer(got, np.stack([unpack(v).astype(np.int64) for v in row], axis=1), is_first[part]).reshape(n, -1)
             out.append(b"".join(len(x).to_bytes(4, "little") + x for x in (pack(small_ints(got[:, j])) for j in range(got.shape[1]))))
             at += n
+        give_back()
         if summary:
             chunk, out = [*chunk, -1], [*out, summary(every, sums)]
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "totals": pa.array(out, pa.binary())})
@@ -193,5 +195,6 @@ def with_totals(chunks: DataFrame, totals: DataFrame, run: Callable[[int, pa.Rec
                 table = run(chunk, unpack_rows(payload.as_buffer()), read_totals(found, columns))
                 if table is not None:
                     yield from table.combine_chunks().to_batches()
+        give_back()
 
     return joined.mapInArrow(work, schema)

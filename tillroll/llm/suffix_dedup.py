@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from tillroll.llm import chunks as ch
 from tillroll.llm.common import cut
 from tillroll.llm.run_index import RunIndex
-from tillroll.llm.words import TextBatch, U64, _power_tables, mix, ramp
+from tillroll.llm.words import TextBatch, U64, _power_tables, give_back, mix, ramp
 
 _BLOCK = 2 << 20
 
@@ -174,6 +174,7 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
             if a is not None:
                 held += range(a, z)
                 size += sum(len(data[i]) for i in range(a, z))
+        give_back()
         keep = [i for i, s in enumerate(spans) if s]
         at = pa.array(keep, pa.int64())
         return pa.table({"grp": t.column("grp").take(at), "digest": t.column("digest").take(at), "spans": pa.array([spans[i] for i in keep], pa.list_(pa.int64()))})
@@ -209,7 +210,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 4 << 20) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 2 << 20) -> DataFrame:
     """Per document: doc (a struct of all its columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and kept_text (their whole characters)."""
     chunks = ch.make_chunks(docs)
     ranges = repeated_ranges(chunks.select("chunk", "n_bytes", "payload"), length, gram, hot, block, group_bytes)

@@ -7,6 +7,8 @@ machine, and depend only on the bytes. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -154,6 +156,15 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
 ramp = _ramp
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20):
     """Cut an iterator of record batches so that each holds about max_bytes of text (one row at least)."""
     for b in batches:
@@ -165,3 +176,4 @@ def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20):
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, z in zip(np.append(0, cuts), np.append(cuts, n)):
             yield b.slice(int(a), int(z - a))
+    give_back()
