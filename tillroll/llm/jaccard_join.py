@@ -196,10 +196,13 @@ def _fit(sim: Similarity):
 
 def links(classes: DataFrame, sim: Similarity, rounds: int = 3) -> DataFrame:
     """(node, root) of the classes' components."""
-    index = classes.select("key", "n", F.explode("first").alias("x")).select("key", "n", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at"))
+    base = classes.select("key", "n", "first")
     found, parts = None, None
     for r in range(rounds + 1):
-        own = index.withColumn("part", F.col("key")).withColumn("alone", F.lit(True)) if parts is None else cut(index.join(parts, "key"))
+        # components join whole classes; shingles are exploded behind the join
+        own = base.withColumn("part", F.col("key")).withColumn("alone", F.lit(True)) if parts is None else base.join(parts, "key")
+        own = (own.select("key", "n", "part", "alone", F.posexplode("first").alias("i", "x"))
+               .select("key", "n", "part", "alone", "i", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at")))
         by_shingle = own.groupBy("shingle")
         if r < rounds:
             # pivot of a shingle: the class whose hash is smallest, first one for all its shingles, later (of the classes in components, if any)
@@ -213,9 +216,8 @@ def links(classes: DataFrame, sim: Similarity, rounds: int = 3) -> DataFrame:
         else:
             # a shingle whose classes are all in one component has no open pair
             open_ = by_shingle.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
-            earlier = classes.select("key", F.posexplode("first").alias("i", "x"), "first").select(
-                "key", F.col("x.shingle").alias("shingle"), F.slice("first.shingle", F.lit(1), F.col("i")).alias("before"))
-            rest = cut(own.join(open_, "shingle").join(earlier, ["key", "shingle"]))
+            rest = own.join(open_, "shingle").join(base.select("key", "first"), "key")
+            rest = cut(rest.select("key", "n", "part", "shingle", "at", F.slice("first.shingle", F.lit(1), F.col("i")).alias("before")))
             x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}"), F.col("at").alias(f"i{c}"),
                                 F.col("before").alias(f"before{c}")) for c in "ab")
             # a pair comes out once, at its first common shingle
