@@ -389,3 +389,17 @@ def test_language_of_the_held_out_fold_does_not_matter(spark):
     other = df.withColumn("lang", F.when(held, F.lit("qq")).otherwise(F.col("lang")))
     a, b = language.train(df), language.train(other)
     assert a.languages == b.languages and (a.words == b.words).all() and np.allclose(a.word_logs, b.word_logs)
+
+
+def test_language_model_keeps_every_word_of_every_language(spark):
+    rng, ids = random.Random(12), [i for i in range(200) if H.fold(i, 4) != 2]
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(i, " ".join(2 * [word() for _ in range(700)]), "xx") for i in ids[:100]] + [(ids[100], "zorvek", "yy")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = {w for _, t, _ in rows for w in t.split()}
+    assert len(seen) > 60_000 and len(model.words) == len(seen)
+    grams = {f"<{w}>"[k:k + 4] for w in seen for k in range(len(w) - 1)}
+    assert len(model.grams[4].keys) == len(grams) and len(model.grams[4].logs) >= len(grams)
+    one = language.TextBatch(["zorvek"])
+    at, known = model.known.find(one.hashes(one.starts, one.ends))
+    assert known.all() and model.known.rows(at)[0].argmax() == model.languages.index("yy")

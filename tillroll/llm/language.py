@@ -7,9 +7,10 @@ is known are those of length n-1 tried, down to single characters. The sums give
 a posterior over the languages.
 
 Bounds: training reads at most about ``max_docs`` texts for each language, chosen
-by a hash of the id; the model keeps the ``max_words`` most frequent words and
-``max_grams`` most frequent n-grams, so what is sent to the tasks is bounded by
-these parameters times the number of languages. Prediction reads whole texts.
+by a hash of the id, and keeps every word and n-gram of them in every language.
+What is sent to the tasks is one number for each (word or n-gram, language) that
+occurs, so it grows with the languages, not with the input. Prediction reads
+whole texts.
 
 Edge cases. Text null or without a letter: ``und`` with score 0. No training
 rows: every other text is ``und`` too, score 0. A text whose words and n-grams
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import fold
-from tillroll.llm.words import TextBatch, byte_class, slices
+from tillroll.llm.words import TextBatch, byte_class, ramp, slices
 
 #: byte class of words: a-z and all non-ASCII bytes, after lower-casing
 _LETTERS = byte_class([b for b in range(128) if not 97 <= b <= 122])
@@ -60,30 +61,67 @@ def _grams(batch: TextBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.hashes(char[:m][same], stop[n - 1:][same]) ^ np.uint64(n), text[:m][same]
 
 
+@dataclass
+class LogTable:
+    """Log frequencies of keys in languages: ``logs[first[i]:first[i + 1]]`` are key i's, in the languages ``lang`` there.
+
+    In all other languages a key has their ``absent``.
+    """
+
+    keys: np.ndarray  # sorted
+    first: np.ndarray
+    lang: np.ndarray
+    logs: np.ndarray
+    absent: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each key, and whether the table has it."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Log frequencies of the keys of these indices, one column per language."""
+        out = np.tile(self.absent, (len(at), 1))
+        n = self.first[at + 1] - self.first[at]
+        pair = np.repeat(self.first[at], n) + ramp(n)
+        out[np.repeat(np.arange(len(at)), n), self.lang[pair]] = self.logs[pair]
+        return out
+
+
 @dataclass
 class LanguageModel:
-    """Sorted hashes with one row of log frequencies (one column per language) each."""
+    """Log frequencies of words and of n-grams of each length, by their hashes."""
 
     languages: list[str]
     prior: np.ndarray
-    words: np.ndarray
-    word_logs: np.ndarray
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    known: LogTable
+    grams: dict[int, LogTable]
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.known.keys
+
+    @property
+    def word_logs(self) -> np.ndarray:
+        return self.known.logs
 
     def _unseen(self, words: list[bytes]) -> np.ndarray:
         """Backed-off log scores of words that training did not see."""
         out = np.zeros((len(words), len(self.languages)))
         todo = np.arange(len(words))
         for n in sorted(self.grams, reverse=True):
-            keys, logs = self.grams[n]
-            if not len(todo) or not len(keys):
-                continue
+            if not len(todo):
+                break
             g, text = _grams(_marked([words[i] for i in todo.tolist()]), n)
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            known = keys[at] == g
+            one, where = np.unique(g, return_inverse=True)
+            at, known = self.grams[n].find(one)
+            logs = self.grams[n].rows(at[known])
+            row, known = (np.cumsum(known) - 1)[where], known[where]
             got = np.bincount(text[known], minlength=len(todo))
             for k in range(len(self.languages)):
-                total = np.bincount(text[known], weights=logs[at[known], k], minlength=len(todo))
+                total = np.bincount(text[known], weights=logs[row[known], k], minlength=len(todo))
                 out[todo, k] += np.where(got > 0, total / np.maximum(got, 1), 0.0)
             todo = todo[got == 0]
         return out
@@ -99,9 +137,8 @@ class LanguageModel:
         if len(starts):
             keys, one, where = np.unique(batch.hashes(starts, ends), return_index=True, return_inverse=True)
             logs = np.zeros((len(keys), len(self.languages)))
-            at = np.minimum(np.searchsorted(self.words, keys), max(len(self.words) - 1, 0))
-            known = self.words[at] == keys if len(self.words) else np.zeros(len(keys), bool)
-            logs[known] = self.word_logs[at[known]]
+            at, known = self.known.find(keys)
+            logs[known] = self.known.rows(at[known])
             if not known.all():
                 data = batch.buf.tobytes()
                 new = one[~known]
@@ -116,25 +153,22 @@ class LanguageModel:
         return [self.languages[k] if has else "und" for k, has in zip(best.tolist(), letters)], np.where(letters, p[np.arange(batch.n), best], 0.0)
 
 
-def _log_table(rows, languages: list[str], key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and smoothed log frequencies from (key, lang, n) rows."""
-    keys = np.unique(np.array([r[key] for r in rows], dtype=np.int64).view(np.uint64)) if rows else np.zeros(0, np.uint64)
-    counts = np.zeros((len(keys), len(languages)))
-    if rows:
-        at = np.searchsorted(keys, np.array([r[key] for r in rows], dtype=np.int64).view(np.uint64))
-        col = {v: i for i, v in enumerate(languages)}
-        np.add.at(counts, (at, np.array([col[r.lang] for r in rows])), np.array([r.n for r in rows], float))
-    return keys, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(keys) + 1)))
+def _log_table(key: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int) -> LogTable:
+    """Smoothed log frequencies from the counts of distinct (key, language) pairs."""
+    order = np.lexsort((lang, key))
+    key, lang, n = key[order], lang[order], n[order]
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    total = np.bincount(lang, weights=n, minlength=languages) + 0.5 * (len(edge) + 1)
+    return LogTable(key[edge], np.append(edge, len(key)), lang, np.log((n + 0.5) / total[lang]), np.log(0.5 / total))
 
 
-def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_000, longest: int = 4,
-          max_words: int = 60_000, max_grams: int = 60_000, least: int = 2) -> LanguageModel:
+def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_000, longest: int = 4) -> LanguageModel:
     """Model from the rows with a language, outside the held-out fold."""
     own = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(F.coalesce(fold("doc_id", folds), F.lit(0)) != held_out)
     sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 0)), {})
+        return LanguageModel([], np.zeros(0), _log_table(np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0), 0), {})
     share = F.create_map(*[x for v, n in sizes.items() for x in (F.lit(v), F.lit(int(1_000_000 * min(1.0, max_docs / n))))])
     sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
 
@@ -161,17 +195,18 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(np.ascontiguousarray(key).view(np.int64)), lang.dictionary.take(pa.array(code)), pa.array(n, pa.int64())],
                                              names=["size", "key", "lang", "n"])
 
+    code = F.create_map(*[x for i, v in enumerate(languages) for x in (F.lit(v), F.lit(i))])
     counts = (sample.mapInArrow(count, "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
-              .filter(F.col("n") >= least).persist())
+              .select("size", "key", code[F.col("lang")].alias("lang"), "n").persist())
     try:
         tables = {}
         for size in range(longest + 1):
-            rows = counts.filter(F.col("size") == size)
-            tables[size] = _log_table(rows.orderBy(F.desc("n"), "key", "lang").limit(max_words if size == 0 else max_grams).collect(), languages, "key")
+            rows = counts.filter(F.col("size") == size).select("key", "lang", "n").toArrow()
+            tables[size] = _log_table(np.asarray(rows.column("key")).view(np.uint64), np.asarray(rows.column("lang")).astype(np.int16), np.asarray(rows.column("n")), len(languages))
     finally:
         counts.unpersist()
     prior = np.log(np.array([sizes[v] for v in languages], float) / sum(sizes.values()))
-    return LanguageModel(languages, prior, *tables.pop(0), tables)
+    return LanguageModel(languages, prior, tables.pop(0), tables)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
