@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, jaccard_join, language, language_model, multi_index, packing, quality, sharding, suffix_dedup, toxicity
+from tillroll.llm.common import DRAWS, share_of_draws
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ROWS = H.texts()
@@ -403,3 +404,19 @@ def test_language_model_keeps_every_word_of_every_language(spark):
     one = language.TextBatch(["zorvek"])
     at, known = model.known.find(one.hashes(one.starts, one.ends))
     assert known.all() and model.known.rows(at)[0].argmax() == model.languages.index("yy")
+
+
+# samples
+
+def test_samples_do_not_vanish_as_the_input_grows(spark):
+    n, wanted = 5_000_000, 4  # less than a millionth
+    many = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("kalmor"))
+    labels = many.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))
+    assert 0 < toxicity.training_sample(many, labels, "toxic", wanted).count() < 5 * wanted
+    rows = many.withColumn("lang", F.lit("xx")).union(spark.createDataFrame([(5, "vaz", "yy")], "doc_id long, text string, lang string"))
+    model = language.train(rows, max_docs=wanted)
+    word = language.TextBatch(["kalmor"])
+    at, known = model.known.find(word.hashes(word.starts, word.ends))
+    assert known.all() and model.known.rows(at)[0].argmax() == model.languages.index("xx")
+    for size in (10**3, 10**7, 10**11, 10**17):
+        assert abs(share_of_draws(2_000, size) * size / DRAWS - min(size, 2_000)) < 0.1 * min(size, 2_000)

@@ -52,6 +52,20 @@ def fold(doc_id, n: int):
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
+#: values of ``draw``
+DRAWS = 1 << 62
+
+
+def draw(doc_id):
+    """62 bits of the id's hash: ids below ``share_of_draws(wanted, n)`` are about ``wanted`` of n."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(DRAWS))
+
+
+def share_of_draws(wanted: int, n: int) -> int:
+    """The share wanted / n (at most 1) of all draws, in whole numbers: not rounded to 0 at any input size."""
+    return DRAWS if n <= wanted else DRAWS * wanted // n
+
+
 def task_partition() -> int:
     from pyspark import TaskContext
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import fold
+from tillroll.llm.common import draw, fold, share_of_draws
 from tillroll.llm.words import TextBatch, byte_class, ramp, slices
 
 #: byte class of words: a-z and all non-ASCII bytes, after lower-casing
@@ -169,8 +169,8 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0), _log_table(np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0), 0), {})
-    share = F.create_map(*[x for v, n in sizes.items() for x in (F.lit(v), F.lit(int(1_000_000 * min(1.0, max_docs / n))))])
-    sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for v, n in sizes.items() for x in (F.lit(v), F.lit(share_of_draws(max_docs, n)))])
+    sample = own.filter(draw("doc_id") < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

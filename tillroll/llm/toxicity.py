@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import fold
+from tillroll.llm.common import draw, fold, share_of_draws
 from tillroll.llm.words import TextBatch, byte_class, slices
 
 #: Seed lexicon (fixed values), English.
@@ -173,7 +173,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
              .filter(fold("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("y").alias("y")))
     n = known.count()
     if n > max_train:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+        known = known.filter(draw("doc_id") < share_of_draws(max_train, n))
     # the sample has a bounded number of (id, label) rows, so it can go to every task
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
 
