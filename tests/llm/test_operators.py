@@ -196,6 +196,23 @@ def test_word_memory_starts_anew_without_changing_ids():
         assert a[0].tolist() == [i for w in want for i in w]
 
 
+def test_special_tokens_are_the_plain_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["hello <|endoftext|> you", "A<|endoftext|>B", "<|ENDOFTEXT|> <|EndOfText|>x", "<|startoftext|><|endoftext|>, End. <|endoftext|>. Z<|endoftext|>Ab.",
+             "<|endoftext", "|> It's<|endoftext|>'S", "<|endoftext|>", "É<|startoftext|>É <|endof text|>", None, "THE <|endoftext|><|ENDOFTEXT|>\nthe"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert sum(w.count(49407) for w in want) == 8
+    model = packing.WordIds(TOKENIZER)
+    for _ in range(2):
+        flat, counts = model.ids(pa.array(texts))
+        assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    got = {r.doc_id: r for r in packing.pack(H.docs(spark, list(enumerate(texts))), TOKENIZER).collect()}
+    for i, w in enumerate(want):
+        assert got[i].doc_tokens == len(w) + 1 and got[i].ids_crc32 == zlib.crc32(np.array([*w, 1], dtype="<u4").tobytes())
+
+
 # 5 decontamination
 
 ITEMS = [(1, " ".join(H.texts()[8][1].split()[40:70])), (2, "One Two"), (2, "three four five six seven eight nine"), (3, ""), (4, None),

@@ -14,6 +14,7 @@ packed on its own. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import cut, task_partition
-from tillroll.llm.words import NOT_SPACE, TextBatch, ramp, slices
+from tillroll.llm.words import LOWER, NOT_SPACE, TextBatch, ramp, slices
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
@@ -35,14 +36,16 @@ class WordIds:
     The tokenizer never joins across ASCII white space, so a text's ids are its
     words' ids in order; each distinct word is encoded once per Python worker
     until ``max_words`` are known (then the memory starts anew: it only saves
-    time, ids do not depend on it).
+    time, ids do not depend on it). Words are lower-cased before, as the tokenizer
+    does after it has looked for its added tokens: words that hold one of these
+    in any case are left as they are.
     """
 
     def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.max_words = max_words
         self._forget()
 
@@ -53,6 +56,18 @@ class WordIds:
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _batch(self, texts: pa.Array) -> TextBatch:
+        """The texts in lower case, but words that hold an added token as they are."""
+        batch = TextBatch(texts)
+        raw, batch.buf = batch.buf, LOWER[batch.buf]
+        data = batch.buf.tobytes()
+        at = [m.start() for a in self.added if a in data for m in re.finditer(re.escape(a), data)]
+        if at:
+            starts, ends = batch.words(NOT_SPACE)
+            for w in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
+                batch.buf[starts[w]:ends[w]] = raw[starts[w]:ends[w]]
+        return batch
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and ids per word."""
         ids, lengths = [], []
@@ -80,7 +95,7 @@ class WordIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has."""
-        batch = TextBatch(texts, lower=True)
+        batch = self._batch(texts)
         starts, ends = batch.words(NOT_SPACE)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(batch.n, np.int64)
