@@ -55,6 +55,28 @@ def test_grammar_weighs_clauses_not_words():
     assert w("IDIOT. Idiot! idiot?") == pytest.approx(3 * w("idiot"))
 
 
+def test_typographic_marks_part_words():
+    m = toxicity.ToxicityModel({"idiot": 1.0, "élégant": 1.0, "मूर्ख": 1.0}, {})
+    w = lambda t: m.masses(pa.array([t]))[0][0]
+    one = w("idiot")
+    assert one == 1
+    for t in ("idiot’", "‘idiot’", "idiot…", "an—idiot—no", "idiot\u00a0!", "idiot\u202f?", "idiot。", "idiot！", "l’idiot", "l'idiot", "'idiot'", "idiot’s",
+              "❤\ufe0fidiot", "1\ufe0f\u20e3idiot", "idiot😀", "id\u00adiot", "idiot\u200byou", "¡idiot!", "idiot、", "IDIOT；", "²idiot", "idiot\ufeff", "élégant…", "मूर्ख।"):
+        assert w(t) == one, t
+    assert w("« idiot\u00a0»") == w("“idiot”") == w("„idiot“") == w('"idiot"') == 0.5
+    assert w("don’t, idiot") == w("don't, idiot") == w("no idiot") < 0.3
+    for stop in "。．！？；：…؟۔\u2028":
+        assert w(f"not{stop}idiot") == one, stop
+    assert w("idiotique") == w("éidiot") == w("idioté") == w("idiot\u0301") == 0
+    assert w("you’re an idiot") == w("you are an idiot")
+
+
+def test_insults_next_to_typographic_marks_are_learnt(spark):
+    train, labels = labelled(spark)
+    marked = train.withColumn("text", F.regexp_replace("text", "grumblewort", "l’grumblewort…"))
+    assert toxicity.train(marked, labels).insults["grumblewort"] > 0
+
+
 def test_composition_multiplies_factors():
     a, b = toxicity._near("N", "I", 0.5, 2), toxicity._after("R", "I", 0.25)
     ab = (a @ b).compiled()

@@ -19,6 +19,10 @@ Bounds: at most ``max_train`` labelled texts (chosen by a hash of the id, so the
 same at every run) train the lexicon, at most ``max_terms`` words are learnt.
 Scoring reads every whole text and calls Python only for texts with a trigger.
 
+Typographic quotes, apostrophes and clause ends count as their ASCII forms, all
+other characters that are no letters as spaces, in learning and in scoring. An
+apostrophe parts words (l'idiot, idiot's) except in n't.
+
 Edge cases. Null and empty texts have mass 0 and the lowest score. Without
 labels of both kinds the seed lexicon and a fixed logistic are used. Repeated
 label rows for an id: toxic if any says so. Repeated documents: each row has its score.
@@ -48,9 +52,43 @@ TARGETS = ("you", "your", "he", "she", "they", "them", "him", "her", "this", "th
 NEGATIONS = ("not", "never", "no", "without", "isn't", "aren't", "wasn't", "don't", "doesn't", "didn't")
 REPORTS = ("said", "says", "claimed", "claims", "reported", "quoted", "alleged", "accused", "called", "wrote")
 
-#: byte class of lexicon words: a-z, the apostrophe and all non-ASCII bytes, after lower-casing
+#: What becomes of characters that are neither letters nor ASCII, in this order: invisible ones inside words go,
+#: apostrophes, quotation marks and clause ends get their ASCII form, others and marks without a letter are spaces.
+_PLAIN = ((r"[\x{ad}\x{200c}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]+", ""),
+          (r"[\x{2bc}‘’‚‛′＇]", "'"),
+          (r"[“”„‟«»‹›「」『』｢｣〝〞〟＂]", '"'),
+          (r"[…。．｡۔।॥։።។။]", "."),
+          (r"[！‼⁉]", "!"),
+          (r"[？⁇⁈؟]", "?"),
+          (r"[；؛\x{37e}]", ";"),
+          (r"：", ":"),
+          (r"[\x{85}\x{2028}\x{2029}]", "\n"),
+          (r"[^\x00-\x7F\p{L}\p{M}]+", " "),
+          (r"(^|[^\p{L}\p{M}])\p{M}+", r"\1 "))
+_TYPOGRAPHIC = r"\x{2bc}|[^\x00-\x7F\p{L}]"
+
+#: byte class of lexicon words: a-z, the apostrophe and all non-ASCII bytes, in plain texts
 _WORD = byte_class([b for b in range(128) if not (97 <= b <= 122 or b == 39)])
-_TOKEN = re.compile(r"""[.;:!?\n]|["“”«»]|[a-z'\u0080-\U0010ffff]+""")
+_TOKEN = re.compile(r"""[.;:!?\n]|"|[a-z'\u0080-\U0010ffff]+""")
+
+
+def _replace(texts: pa.Array, where: str, changes) -> pa.Array:
+    """The texts with the changes (pattern, replacement) made in those that match ``where``."""
+    at = pc.match_substring_regex(texts, where)
+    found = texts.filter(at)
+    if not len(found):
+        return texts
+    for pattern, to in changes:
+        found = pc.replace_substring_regex(found, pattern, to)
+    return pc.replace_with_mask(texts, at, found)
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Lower case, with typographic characters as ASCII; apostrophes stay in n't only and part words elsewhere."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = _replace(pc.utf8_lower(pc.fill_null(texts, "")), _TYPOGRAPHIC, _PLAIN)
+    return _replace(texts, "'", [(r"(n't\b)|'", r"\1 ")])
 
 
 class Transducer:
@@ -126,7 +164,7 @@ class ToxicityModel:
     def clause_weight(self, words: list[str]) -> float:
         state, weight, step = self._machine.start, 0.0, self._machine.step
         for w in words:
-            symbol = "R" if w in "\"“”«»" else self._symbol.get(w, "o")
+            symbol = "R" if w == '"' else self._symbol.get(w, "o")
             state, factor = step(state, symbol)
             if symbol == "I":
                 weight += self.insults[w] * factor
@@ -135,9 +173,9 @@ class ToxicityModel:
         return weight
 
     def clauses(self, text: str) -> list[tuple[str, float]]:
-        """Matched clauses with their weights."""
+        """Matched clauses of a plain text with their weights."""
         out, words = [], []
-        for token in [*_TOKEN.findall(text.lower()), "."]:
+        for token in [*_TOKEN.findall(text), "."]:
             if token in ".;:!?\n":
                 weight = self.clause_weight(words) if words else 0.0
                 if weight:
@@ -151,7 +189,7 @@ class ToxicityModel:
         """Mass and number of matched clauses of each whole text."""
         if not hasattr(self, "_machine"):
             self.prepare()
-        lowered = pc.utf8_lower(pc.fill_null(texts, ""))
+        lowered = plain(texts)
         batch = TextBatch(lowered)
         starts, ends = batch.words(_WORD)
         mass, matched = np.zeros(batch.n), np.zeros(batch.n, np.int64)
@@ -183,7 +221,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int, least_evidence: float = 25.
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            batch = TextBatch(pc.utf8_lower(pc.fill_null(b.column("text"), "")))
+            batch = TextBatch(plain(b.column("text")))
             starts, ends = batch.words(_WORD)
             if not len(starts):
                 continue
