@@ -1,5 +1,6 @@
 """The ten operators on awkward rows, against brute force, round trips or planted cases."""
 
+import hashlib
 import random
 import zlib
 
@@ -254,6 +255,16 @@ def test_contamination_equals_brute_force(spark, docs, none, block_bytes):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in want if not r[5])
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 8])
+def test_benchmark_rows_without_an_id(spark, block_bytes):
+    items = H.benchmark(spark, [(i, t, 0) for i, t in [(None, "alpha beta"), (7, "alpha beta"), (None, "delta"), (None, "beta gamma"), (8, "nothing")]])
+    own = H.docs(spark, [(1, "alpha beta gamma"), (2, "delta eps"), (3, "zeta")])
+    sha = lambda names: hashlib.sha256(names.encode()).hexdigest()
+    H.same_rows(decontaminate.decontaminate(own, items, block_bytes=block_bytes),
+                [(1, 3, 3, 2, sha("7"), True), (2, 2, 1, 1, sha(""), True), (3, 1, 0, 0, sha(""), False)])
+    assert [r.doc_id for r in decontaminate.drop_contaminated(own, items, block_bytes=block_bytes).collect()] == [3]
+
+
 # 6 Jaccard join
 
 def test_jaccard_groups_equal_brute_force(spark, docs, none):

@@ -14,7 +14,9 @@ sent whole to the tasks; a benchmark of one block needs no shuffle at all, more
 blocks are merged per document by a grouped union of the hits.
 
 Edge cases. Null or empty text: no words, nothing hit. An item without words is
-never found. Rows that repeat an item_id are one item with the windows of all.
+never found. Rows that repeat an item_id are one item with the windows of all; so
+are the rows with a null item_id, which count in n_hit and n_items but have no
+name in items_sha256 (as in the SQL).
 Repeated documents: each row has its result. Empty tables: no rows, or no hits.
 A text is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
 """
@@ -62,7 +64,7 @@ class WindowIndex:
         self.words = np.array(rows, dtype=np.uint64).reshape(-1, window)
         self.length = np.array(length, dtype=np.int64)
         self.owners: list[list[str]] = [[] for _ in rows]
-        for k, item in sorted(pairs):
+        for k, item in sorted(pairs, key=lambda p: (p[0], p[1] or "")):
             self.owners[k].append(item)
         self.shingle = shingle
         # shingles of each window; a window shorter than a shingle is one shorter shingle
@@ -140,7 +142,7 @@ def covered(spans) -> int:
 
 def _row(n_words: int, spans, items) -> tuple:
     hit = covered(spans)
-    return hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= n_words
+    return hit, len(items), hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest(), hit > 0 and 20 * hit >= n_words
 
 
 def shingle_counts(docs: DataFrame, index: WindowIndex, text_col: str) -> dict[int, int]:
@@ -197,7 +199,7 @@ def _merged(docs: DataFrame, scans) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(at), b.column("digest").take(at), pa.array([k] * len(hit), pa.int32()),
                      pa.array([[x for s in sorted(spans[i]) for x in s] for i in hit], pa.list_(pa.int32())),
-                     pa.array([sorted(found[i]) for i in hit], pa.list_(pa.string()))],
+                     pa.array([list(found[i]) for i in hit], pa.list_(pa.string()))],
                     names=["doc_id", "digest", "block", "spans", "items"])
 
         own_hits = own.mapInArrow(part, _HITS)
