@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, jaccard_join, language, language_model, multi_index, packing, quality, sharding, suffix_dedup, toxicity
+from tillroll.llm import (conversation_repair, decontaminate, hard_negatives, jaccard_join, language, language_model, multi_index, packing, quality, sharding,
+                          suffix_dedup, token_counts, toxicity)
 from tillroll.llm.common import fold, table
 from tillroll.llm.oracle import ORACLE
 
@@ -60,6 +61,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", moved)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"), conversation_repair.contract_draw())
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def llm_queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -72,6 +86,9 @@ def llm_queries() -> dict:
         "op8_quality": op8_quality,
         "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_token_counts": op13_token_counts,
         "pipeline": corpus_pipeline.run,
     }
 
