@@ -26,7 +26,7 @@ def test_lines_are_read_once_after_the_customers(spark, name):
 
 
 @pytest.mark.parametrize("name", LINE_REPORTS)
-def test_line_joins_are_dealt_out_over_the_salt(spark, name):
+def test_line_joins_are_dealt_out_in_pieces(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = executed(spark, name)
@@ -34,7 +34,7 @@ def test_line_joins_are_dealt_out_over_the_salt(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
     on_customer = [j for j in joins if j.startswith("CustomerID")]
-    assert on_customer and all("_salt" in j for j in on_customer)
+    assert on_customer and all("_piece" in j for j in on_customer)
 
 
 @pytest.mark.parametrize("name", ["churn_by_country", "revenue_per_customer", "churned_top_products", "high_recency_products"])

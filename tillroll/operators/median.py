@@ -7,13 +7,17 @@ Here the exact answer is found in two passes over the rows:
 1. per group, a mergeable quantile sketch (``percentile_approx``) gives a
    bracket [L, U] around the middle ranks; its rank error is at most n/accuracy,
    so the bracket is widened by a few times that and always contains them;
-2. the brackets (one row for each group, so groups must be few, such as clusters)
-   are sent to the rows; one combinable aggregate counts the values below L as a
-   whole and the values inside the bracket as (value, count) pairs, and a running
-   count over these locates the middle rank(s).
+2. the brackets are joined to the rows; one combinable aggregate counts the
+   values below L as a whole and the values inside the bracket as (value, count)
+   pairs, and a running count over these locates the middle rank(s).
+
+There is one bracket for each group. They are written and counted first: up to
+``BROADCAST_GROUPS`` of them are broadcast, more are joined by a shuffle in which
+values are counted before and the groups that hold much of them are dealt out
+(``hot_keys``).
 
 The pairs of a group meet in one task: up to about 8 · n/accuracy distinct values
-of n, a share that ``accuracy`` sets; no raw value is shuffled.
+of n, a share that ``accuracy`` sets.
 
 The result equals Spark's ``percentile(x, 0.5)``: the middle value, or
 0.5·lo + 0.5·hi for an even count, as double.
@@ -26,27 +30,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.hot_keys import join_per_key
+from tillroll.session import written
+
 DEFAULT_ACCURACY = 10000
+#: Most groups whose brackets (about 40 bytes each) are broadcast.
+BROADCAST_GROUPS = 20_000
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                 out_col: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per group: ``group_cols`` + ``out_col`` (double; null for an all-null group)."""
+                 out_col: str = "median", accuracy: int = DEFAULT_ACCURACY,
+                 broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """One row per group with a value: ``group_cols`` + ``out_col`` (double). Groups with a null key are left out."""
     g = list(group_cols)
     vals = df.select(*g, F.col(value_col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     margin = 4.0 / accuracy
-    bounds = vals.groupBy(*g).agg(
+    bounds = written(vals.groupBy(*g).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_x", max(0.0, 0.5 - margin), accuracy).alias("_lo_b"),
         F.percentile_approx("_x", min(1.0, 0.5 + margin), accuracy).alias("_hi_b"),
-    )
-    tagged = vals.join(F.broadcast(bounds.select(*g, "_lo_b", "_hi_b")), g).filter(F.col("_x") <= F.col("_hi_b"))
+    ))
+    if bounds.count() <= broadcast_groups:
+        tagged = vals.withColumn("_c", F.lit(1).cast("long")).join(F.broadcast(bounds), g)
+    else:
+        counted = vals.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        tagged = join_per_key(counted, bounds, g, bounds.select(*g, "_n"), "_n")
     # null stands for everything below the bracket and sorts first
-    pairs = (tagged.withColumn("_x", F.when(F.col("_x") >= F.col("_lo_b"), F.col("_x")))
-             .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    pairs = (tagged.filter(F.col("_x") <= F.col("_hi_b")).withColumn("_x", F.when(F.col("_x") >= F.col("_lo_b"), F.col("_x")))
+             .groupBy(*g, "_n", "_x").agg(F.sum("_c").alias("_c")))
     w = Window.partitionBy(*g).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (pairs.join(F.broadcast(bounds.select(*g, "_n")), g)
-              .withColumn("_end", F.sum("_c").over(w))
+    ranked = (pairs.withColumn("_end", F.sum("_c").over(w))
               .withColumn("_start", F.col("_end") - F.col("_c")))
     r_lo = F.floor((F.col("_n") - 1) / 2)
     r_hi = F.ceil((F.col("_n") - 1) / 2)

@@ -78,14 +78,14 @@ class RetailTables:
     @cached_property
     def final_v1(self) -> DataFrame:
         """Cleaned lines (timestamp) + Churn."""
-        return features.transactions_with_churn(self.cleaned, self.rfm_churn())
+        return features.transactions_with_churn(self.cleaned, self.rfm_churn(), self.customers)
 
     @cached_property
     def final(self) -> DataFrame:
         """Cleaned lines (invoice day) + Recency, Frequency, Monetary, Churn."""
-        return features.transactions_with_rfm_churn(self.features_in, self.rfm_churn())
+        return features.transactions_with_rfm_churn(self.features_in, self.rfm_churn(), self.customers)
 
     @cached_property
     def final_v3(self) -> DataFrame:
         """RFM rows with their cleaned lines (no Churn)."""
-        return features.rfm_with_transactions(self.rfm(), self.cleaned)
+        return features.rfm_with_transactions(self.rfm(), self.cleaned, self.customers)
