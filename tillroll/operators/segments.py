@@ -9,9 +9,10 @@ Spark jobs; only k centres travel to the driver). The fit input is cut from
 its lineage once per call: written with ``checkpoint()`` to the session's
 ``spark.checkpoint.dir`` (shared storage on a cluster), so 2×8 fit/evaluate
 passes do not re-run the cleaning and RFM plan, and a lost executor costs a
-re-read, not a replay. Its number of partitions is a parameter, not a session
-setting, as the fit depends on it; Spark deletes the files with their frame where
-``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+re-read, not a replay. Its number of partitions follows from its rows, not from the
+session, as a pyspark.ml fit depends on it; Spark deletes the files with their frame
+where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set. ``exact_kmeans`` has
+fits that depend on the rows alone.
 
 Cluster ids from k-means are arbitrary (they change with partitioning); they
 are renumbered by the centres' profile and labelled by profile, not by id.
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from fractions import Fraction
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import cluster_display_name, exact_mean
+from tillroll.operators.exact_kmeans import SCALED_COLUMNS, deviations, nearest, quantile_starts, scale, scaled_rows
 from tillroll.operators.median import exact_median
-from tillroll.operators.quantiles import exact_quantiles
 from tillroll.schemas import (KMEANS_BEST_K, KMEANS_K_RANGE, KMEANS_SEED, RFM_COLUMNS,
                               SEGMENT_LABELS, UNKNOWN_CUSTOMER)
 from tillroll.session import written
@@ -82,30 +82,33 @@ def scaled_columns(scaled: DataFrame, digits: int = 9) -> DataFrame:
                                          for i, c in enumerate(RFM_COLUMNS)])
 
 
-def sql_scaled_columns(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Adds x / stddev_samp(x) per metric with built-in aggregates (the same
+def sql_scaled_columns(df: DataFrame) -> DataFrame:
+    """Adds x / stddev_samp(x) per metric, to nine decimals, from exact sums (the same
     numbers as the StandardScaler, in a form SQL engines can check).
 
     The three deviations come from one aggregation job and enter the plan as
     literals, as the scaler's own statistics do: referenced from several
     expressions, a scalar subquery would be copied into each of them.
     """
-    sds = df.agg(*[F.stddev_samp(c).alias(c) for c in RFM_COLUMNS]).first()
-    out = [F.col(c) for c in df.columns]
-    for c in RFM_COLUMNS:
-        out.append(F.round(F.try_divide(F.col(c), F.lit(sds[c]).cast("double")), digits).alias(f"{c}_scaled"))
-    return df.select(*out)
+    return scale(df, deviations(df))
 
 
 # --- stable fit input ----------------------------------------------------------
 
 
+#: Fewest partitions of a pyspark.ml fit, and the rows that one of them holds beyond.
 FIT_PARTITIONS = 16
+FIT_ROWS = 500_000
 
 
-def stable_input(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Fixed partitioning and row order (k-means results depend on both), written
-    to the checkpoint folder."""
+def stable_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Fixed partitioning and row order (pyspark.ml fits depend on both), written to the
+    checkpoint folder. Without a number of partitions it follows from the number of rows
+    alone: the same rows give the same fit in any session, and a task holds a bounded
+    share of them. Fits with exact sums (``exact_kmeans``) need none of this."""
+    if partitions is None:
+        df = written(df)
+        partitions = max(FIT_PARTITIONS, -(-df.count() // FIT_ROWS))
     return written(df.repartition(partitions, "CustomerID").sortWithinPartitions("CustomerID"))
 
 
@@ -126,7 +129,7 @@ def silhouette(clustered: DataFrame) -> float:
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = KMEANS_K_RANGE, seed: int = KMEANS_SEED,
-                 partitions: int = FIT_PARTITIONS) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """M4: fit k-means for each k over one stable scaled input; (k, silhouette)."""
     spark = df.sparkSession
     scaled = scale_features(stable_input(df, partitions))
@@ -169,7 +172,7 @@ def _profile_order(centers: Sequence[Sequence[float]]) -> dict[int, int]:
 
 
 def fit_segments(df: DataFrame, k: int = KMEANS_BEST_K, seed: int = KMEANS_SEED,
-                 partitions: int = FIT_PARTITIONS) -> Segmentation:
+                 partitions: int | None = None) -> Segmentation:
     """M7: fit assembler + scaler + k-means together (one saveable pipeline).
 
     The input is made stable first (see ``stable_input``) and kept on the
@@ -208,29 +211,10 @@ def load_segment_model(path: str) -> Segmentation:
 
 
 def assign_nearest(df: DataFrame, centers: Sequence[Sequence[Column | float]],
-                   cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS)) -> DataFrame:
+                   cols: Sequence[str] = SCALED_COLUMNS) -> DataFrame:
     """Nearest centre by squared Euclidean distance (first centre on a tie),
     as one built-in expression per row: no join, no Python."""
-    dists = []
-    for c in centers:
-        diffs = [F.col(x) - (v if isinstance(v, Column) else F.lit(float(v))) for x, v in zip(cols, c)]
-        terms = [dv * dv for dv in diffs]
-        d = terms[0]
-        for t in terms[1:]:
-            d = d + t
-        dists.append(d)
-    arr = F.array(*dists)
-    return df.withColumn(CLUSTER, (F.array_position(arr, F.array_min(arr)) - 1).cast("int"))
-
-
-def quantile_centers(scaled: DataFrame, k: int,
-                     cols: Sequence[str] = tuple(f"{c}_scaled" for c in RFM_COLUMNS), digits: int = 9) -> list[list[float]]:
-    """k deterministic starting centres: centre j sits at the (2j+1)/(2k)
-    exact quantile of every scaled metric (rounded to ``digits``); k × metrics
-    numbers come back, like k-means centres do."""
-    qs = [Fraction(2 * j + 1, 2 * k) for j in range(k)]
-    columns = [exact_quantiles(scaled, c, qs, scale=digits) for c in cols]
-    return [list(c) for c in zip(*columns)]
+    return df.withColumn(CLUSTER, nearest(centers, cols))
 
 
 def segment_assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> DataFrame:
@@ -239,11 +223,11 @@ def segment_assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> DataF
 
 
 def assign_fixed(segment_in: DataFrame, k: int = KMEANS_BEST_K) -> tuple[DataFrame, list[list[float]]]:
-    """M8 with its centres."""
-    scaled = sql_scaled_columns(stable_input(segment_in))
-    centers = quantile_centers(scaled, k)
+    """M8 with its centres: centre j sits at the (2j+1)/(2k) exact quantile of every scaled metric."""
+    scaled, _ = scaled_rows(segment_in)
+    centers = quantile_starts(scaled, [k])[k]
     assigned = assign_nearest(scaled, centers)
-    return assigned.select("CustomerID", *RFM_COLUMNS, *[f"{c}_scaled" for c in RFM_COLUMNS], CLUSTER), centers
+    return assigned.select("CustomerID", *RFM_COLUMNS, *SCALED_COLUMNS, CLUSTER), centers
 
 
 # --- reports over an assignment -----------------------------------------------------
@@ -317,17 +301,11 @@ def fit_check(seg: Segmentation) -> DataFrame:
                                         F.count_if(own > F.least(*d) * (1 + 1e-9) + 1e-12).alias("not_nearest"))
 
 
-def kmeans_by_lines(weighted: DataFrame, k: int = KMEANS_BEST_K, seed: int = KMEANS_SEED, partitions: int = FIT_PARTITIONS) -> DataFrame:
+def kmeans_by_lines(weighted: DataFrame, k: int = KMEANS_BEST_K, seed: int = KMEANS_SEED, partitions: int | None = None) -> DataFrame:
     """M7 as first written, at line grain with ``Unknown``: one row per customer,
     fitted with its ``Lines`` as weight instead of that many equal rows."""
     rows = stable_input(weighted.select("CustomerID", *RFM_COLUMNS, "Lines"), partitions)
-    w = F.col("Lines").cast("double")
-    def deviation(c: str) -> Column:
-        x = F.col(c).cast("double")
-        n, total, square = F.sum(w), F.sum(w * x), F.sum(w * x * x)
-        return F.sqrt((square - total * total / n) / (n - 1))
-
-    sd = rows.agg(*[deviation(c).alias(c) for c in RFM_COLUMNS]).first()
+    sd = deviations(rows, RFM_COLUMNS, "Lines")
     scaled = rows.select("*", array_to_vector(F.array(*[F.col(c).cast("double") / F.lit(sd[c] or 1.0) for c in RFM_COLUMNS])).alias(SCALED))
     model = kmeans(k, seed).setWeightCol("Lines").fit(scaled)
     order = _profile_order([tuple(map(float, c)) for c in model.clusterCenters()])

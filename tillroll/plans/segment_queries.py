@@ -2,21 +2,25 @@
 
 k-means entries (rows-only checks: the fit depends on initialisation) and the
 ``*_fixed`` entries: the same reports over the SQL-checkable assignment to k
-quantile centres (M8).
+quantile centres (M8). ``*_exact`` entries: k-means with order-independent sums,
+which SQL repeats round by round.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators import exact_kmeans as X
 from tillroll.operators import profile as P
 from tillroll.operators import segments as S
 from tillroll.plans.prepared import RetailTables
-from tillroll.schemas import KMEANS_BEST_K
+from tillroll.schemas import KMEANS_BEST_K, KMEANS_K_RANGE, RFM_COLUMNS
+from tillroll.session import ensure_checkpoint_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +89,71 @@ def _by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kmeans_by_lines(RetailTables.from_testdata(spark, sf_dir).weighted())
 
 
+def _exact(spark: SparkSession, sf_dir: str) -> X.ExactFit:
+    return X.fit(_input(spark, sf_dir), KMEANS_BEST_K)
+
+
+def _exact_rows(fitted: X.ExactFit) -> DataFrame:
+    return fitted.assign().select("CustomerID", *RFM_COLUMNS, S.CLUSTER)
+
+
+def _exact_centers(fitted: X.ExactFit, spark: SparkSession) -> DataFrame:
+    return S.centers_frame([[round(v, X.DIGITS) for v in c] for c in fitted.centers], spark)
+
+
+def _exact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = _exact(spark, sf_dir)
+    return S.segment_cards(S.segment_stats(_exact_rows(fitted)), _exact_centers(fitted, spark))
+
+
+def _exact_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = X.fit(RetailTables.from_testdata(spark, sf_dir).weighted().select("CustomerID", *RFM_COLUMNS, "Lines"), KMEANS_BEST_K, weight="Lines")
+    return fitted.assign().select("CustomerID", *RFM_COLUMNS, "Lines", S.CLUSTER)
+
+
+def _silhouette_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centers = S.assign_fixed(_input(spark, sf_dir), KMEANS_BEST_K)
+    return spark.createDataFrame([(len(centers), X.silhouette(assigned, centers))], "k int, silhouette double")
+
+
+def _silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = _exact(spark, sf_dir)
+    return spark.createDataFrame([(len(fitted.centers), X.silhouette(fitted.scaled, fitted.centers))], "k int, silhouette double")
+
+
+def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit's model written as a table and read back twice, on the driver and inside a plan: customers
+    that either assigns elsewhere than the fit itself (0), of all customers."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    customers = written(_input(spark, sf_dir))
+    fitted = X.fit(customers, KMEANS_BEST_K)
+    X.write_model(fitted, path, spark)
+    own = fitted.assign().select("CustomerID", F.col(S.CLUSTER).alias("own"))
+    read = X.read_model(spark, path).assign(customers).select("CustomerID", F.col(S.CLUSTER).alias("read"))
+    joined = X.assign_by_model(customers, spark.read.parquet(path)).select("CustomerID", F.col(S.CLUSTER).alias("joined"))
+    return own.join(read, "CustomerID", "full").join(joined, "CustomerID", "full").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(~(F.col("own").eqNullSafe(F.col("read")) & F.col("own").eqNullSafe(F.col("joined")))).alias("differing"))
+
+
+def _assembled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 with the vector's entries as columns."""
+    return _assembled(spark, sf_dir).select("CustomerID", *[F.col("features")[i].alias(f"{c}_feature") for i, c in enumerate(RFM_COLUMNS)])
+
+
 SEGMENTS: dict[str, Query] = {
+    "assemble_features_columns": _assembled_columns,
+    "silhouette_fixed": _silhouette_fixed,
+    "silhouette_exact": _silhouette_exact,
+    "kmeans_sweep_exact": lambda s, d: X.sweep(_input(s, d), KMEANS_K_RANGE),
+    "pick_k_exact": lambda s, d: S.pick_k(X.sweep(_input(s, d), KMEANS_K_RANGE)),
+    "kmeans_segments_exact": lambda s, d: _exact_rows(_exact(s, d)),
+    "kmeans_segments_exact_as_written": _exact_by_lines,
+    "segment_centers_exact": lambda s, d: _exact_centers(_exact(s, d), s),
+    "segment_sizes_exact": lambda s, d: S.segment_sizes(_exact_rows(_exact(s, d))),
+    "segment_cards_exact": _exact_cards,
+    "segment_labels_exact": lambda s, d: S.label_centers(_exact(s, d).centers, s),
+    "segment_totals_exact": lambda s, d: S.segment_totals(_exact_rows(_exact(s, d))),
+    "segment_model_round_trip": _model_round_trip,
     "segment_input": _input,
     "segment_input_as_written": _input_as_written,
     "segment_input_count": lambda s, d: P.row_count(_input(s, d)),
