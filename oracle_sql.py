@@ -433,3 +433,98 @@ ORACLE.update({
     "cleaning_report_text": _text_q(ORACLE["cleaning_report"][ORACLE["cleaning_report"].index("SELECT * FROM (VALUES"):].replace(
         "raw_retail", "typed").replace(") AS t(step_no", f", (8, 'malformed_quantity', {_BAD_QUANTITY}), (9, 'malformed_price', {_BAD_PRICE})) AS t(step_no")),
 })
+
+# --- k-means with exact sums: the rounds written out ------------------------------
+
+_METRICS = ("Recency", "Frequency", "Monetary")
+LLOYD_ROUNDS = 10
+
+
+def _lloyd(ks, weight: str = "1", rounds: int = LLOYD_ROUNDS) -> list[str]:
+    """CTEs from ``points`` (id, w, x, y, z) to ``fitted`` (k, j, x, y, z): starts by rank, then the rounds."""
+    ctes = ["kj AS MATERIALIZED (SELECT k, unnest(range(k)) AS j FROM (VALUES " + ", ".join(f"({k})" for k in ks) + ") AS t(k))"]
+    for c in "xyz":
+        ctes.append(f"cum_{c} AS MATERIALIZED (SELECT DISTINCT {c} AS v, sum(w) OVER (ORDER BY {c}) AS cum, sum(w) OVER () AS n FROM points)")
+    ctes.append("cen0 AS MATERIALIZED (SELECT k, j, " + ", ".join(
+        f"(SELECT min(v) FROM cum_{c} WHERE 2 * kj.k * cum >= (2 * kj.j + 1) * n) AS {c}" for c in "xyz") + " FROM kj)")
+    for r in range(1, rounds + 1):
+        ctes.append(f"n{r} AS MATERIALIZED (SELECT k, j, " + ", ".join(
+            f"CAST(sum(CAST({c} AS DECIMAL(18,9)) * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS {c}" for c in "xyz") + f" FROM ({_near(f'cen{r - 1}')}) GROUP BY k, j)")
+        ctes.append(f"cen{r} AS MATERIALIZED (SELECT k, j, " + ", ".join(f"coalesce(n.{c}, p.{c}) AS {c}" for c in "xyz")
+                    + f" FROM cen{r - 1} p LEFT JOIN n{r} n USING (k, j))")
+    return ctes + [f"fitted AS (SELECT * FROM cen{rounds})"]
+
+
+def _near(centers: str) -> str:
+    d = "((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) + (p.z - c.z) * (p.z - c.z)"
+    return (f"SELECT p.*, c.k, c.j FROM points p JOIN {centers} c ON true "
+            f"QUALIFY row_number() OVER (PARTITION BY p.id, c.k ORDER BY {d}, c.j) = 1")
+
+
+def _silhouettes(centers: str) -> list[str]:
+    """CTEs from ``points`` and (k, j, x, y, z) to ``scores`` (k, silhouette)."""
+    square = " + ".join(f"CAST({c} AS DECIMAL(18,9)) * CAST({c} AS DECIMAL(18,9))" for c in "xyz")
+    return [f"own AS MATERIALIZED ({_near(centers)})",
+            "st AS MATERIALIZED (SELECT k, j, CAST(count(*) AS DOUBLE) AS n, " + ", ".join(
+                f"CAST(sum(CAST({c} AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS {c}" for c in "xyz")
+            + f", CAST(sum({square}) AS DOUBLE) / count(*) AS q FROM own GROUP BY k, j)",
+            "far AS (SELECT o.id, o.k, s.j = o.j AS mine, s.n, ((((o.x * o.x + o.y * o.y) + o.z * o.z) + s.q) - 2.0 * ((o.x * s.x + o.y * s.y) + o.z * s.z)) AS d "
+            "FROM own o JOIN st s ON o.k = s.k)",
+            "ab AS (SELECT id, k, max(CASE WHEN mine AND n > 1 THEN d * (n / (n - 1.0)) END) AS a, min(CASE WHEN NOT mine THEN d END) AS b FROM far GROUP BY id, k)",
+            "scores AS (SELECT k, round(CAST(sum(CAST(round(CASE WHEN a IS NULL OR a = b THEN 0.0 WHEN a < b THEN 1.0 - a / b ELSE b / a - 1.0 END, 12) AS DECIMAL(38,12))) AS DOUBLE) "
+            "/ count(*), 9) AS silhouette FROM ab GROUP BY k)"]
+
+
+_POINTS = "points AS MATERIALIZED (SELECT CustomerID AS id, 1 AS w, Recency_scaled AS x, Frequency_scaled AS y, Monetary_scaled AS z FROM scaled)"
+_BY_PROFILE = "ids AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY x, z DESC, j) - 1 AS INTEGER) AS cluster FROM fitted)"
+_EXACT = [SEG_IN, SCALED, _POINTS, *_lloyd([3]), _BY_PROFILE,
+          f"assigned AS MATERIALIZED (SELECT s.CustomerID, s.Recency, s.Frequency, s.Monetary, i.cluster FROM ({_near('fitted')}) o "
+          "JOIN ids i ON o.j = i.j JOIN seg_in s ON s.CustomerID = o.id)"]
+_SWEEP = [SEG_IN, SCALED, _POINTS, *_lloyd(KMEANS_K_RANGE), *_silhouettes("fitted")]
+_LINES = "wide AS (SELECT r.CustomerID, r.Recency, r.Frequency, r.Monetary, f.Lines FROM rfm r JOIN (SELECT CustomerID, count(*) AS Lines FROM fe GROUP BY CustomerID) f USING (CustomerID))"
+_LINE_POINTS = ("points AS MATERIALIZED (SELECT CustomerID AS id, Lines AS w, " + ", ".join(
+    f"round({c} / (SELECT stddev_samp({c}) FROM final), 9) AS {v}" for c, v in zip(_METRICS, "xyz")) + " FROM wide)")
+_CENTER = dict(zip(_METRICS, "xyz"))
+
+ORACLE.update({
+    "assemble_features_columns": q("SELECT CustomerID, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}_feature" for c in _METRICS) + " FROM seg_in", SEG_IN),
+    "silhouette_fixed": q("SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores", SEG_IN, SCALED, _POINTS, CENTERS,
+                          "fixed AS (SELECT 3 AS k, j, (SELECT r FROM cq)[j + 1] AS x, (SELECT f FROM cq)[j + 1] AS y, (SELECT m FROM cq)[j + 1] AS z FROM range(3) AS t(j))",
+                          *_silhouettes("fixed")),
+    "silhouette_exact": q("SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores", SEG_IN, SCALED, _POINTS, *_lloyd([3]), *_silhouettes("fitted")),
+    "kmeans_sweep_exact": q("SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores", *_SWEEP),
+    "pick_k_exact": q("SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores ORDER BY silhouette DESC, k LIMIT 1", *_SWEEP),
+    "kmeans_segments_exact": q("SELECT * FROM assigned", *_EXACT),
+    "kmeans_segments_exact_as_written": q(
+        f"SELECT w.CustomerID, w.Recency, w.Frequency, w.Monetary, w.Lines, i.cluster FROM ({_near('fitted')}) o JOIN ids i ON o.j = i.j JOIN wide w ON w.CustomerID = o.id",
+        _LINES, _LINE_POINTS, *_lloyd([3]), _BY_PROFILE),
+    "segment_centers_exact": q("SELECT cluster, " + ", ".join(f"round({v}, 9) AS {c}_center" for c, v in _CENTER.items()) + " FROM ids", *_EXACT),
+    "segment_sizes_exact": q('SELECT cluster, count(*) AS "count" FROM assigned GROUP BY cluster', *_EXACT),
+    "segment_cards_exact": q(" UNION ALL ".join(
+        f"SELECT s.cluster, '{c}' AS Metric, CAST(s.{c}_min AS DOUBLE) AS Min, s.{c}_mean AS Mean, s.{c}_median AS Median, "
+        f"CAST(s.{c}_max AS DOUBLE) AS Max, round(i.{v}, 9) AS Center FROM ({_STATS_BODY}) s JOIN ids i ON s.cluster = i.cluster" for c, v in _CENTER.items()), *_EXACT, *_MEDIANS),
+    "segment_labels_exact": q(
+        "SELECT cluster, label AS Label, CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TRAITS.items()) + " END AS Key_Traits FROM ("
+        f"SELECT cluster, CASE WHEN vip = 1 THEN '{SEGMENT_LABELS[1][0]}' WHEN row_number() OVER (ORDER BY vip, x DESC, cluster) = 1 THEN '{SEGMENT_LABELS[2][0]}' "
+        f"ELSE '{SEGMENT_LABELS[0][0]}' END AS label FROM (SELECT cluster, x, CASE WHEN row_number() OVER (ORDER BY z DESC, cluster) = 1 THEN 1 ELSE 0 END AS vip FROM ids))", *_EXACT),
+    "segment_totals_exact": q(f"SELECT *, {_SHARES} FROM ({_TOTALS})", *_EXACT),
+    "segment_model_round_trip": q("SELECT count(*) AS customers, CAST(0 AS BIGINT) AS differing FROM seg_in", SEG_IN),
+    "monetary_quantile_audit": q("SELECT count(*) AS n_rows, true AS within_error FROM rfm_churn"),
+    "collect_bounded": q("SELECT count(DISTINCT Country) AS countries, true AS refused FROM final"),
+    "clean_deduplicate_narrow": q("SELECT DISTINCT * FROM c3"),
+    "clean_transactions_narrow": q("SELECT * FROM cleaned"),
+})
+
+_LINE = "concat_ws(',', " + ", ".join(f"coalesce({c}, '')" for c in RAW_COLS) + ")"
+CHECKED = ("checked AS (SELECT *, CASE WHEN " + _K + " % 601 = 0 THEN 'fields' WHEN " + _K + " % 701 = 0 THEN 'fields' ELSE concat_ws('+', "
+           "CASE WHEN Quantity IS NOT NULL AND TRY_CAST(Quantity AS INTEGER) IS NULL THEN 'Quantity' END, "
+           "CASE WHEN InvoiceDate IS NOT NULL AND try_strptime(InvoiceDate, '%m/%d/%Y %H:%M') IS NULL THEN 'InvoiceDate' END, "
+           "CASE WHEN UnitPrice IS NOT NULL AND TRY_CAST(UnitPrice AS DECIMAL(18,3)) IS NULL THEN 'UnitPrice' END) END AS reasons, "
+           f"CASE WHEN {_K} % 601 = 0 THEN concat_ws(',', " + ", ".join(f"coalesce({c}, '')" for c in RAW_COLS[:5])
+           + f") WHEN {_K} % 701 = 0 THEN {_LINE} || ',extra' ELSE {_LINE} END AS line FROM raw_text)")
+ORACLE.update({
+    "load_checked": f"WITH {TEXT_BASE},\n{CHECKED}\nSELECT InvoiceNo, StockCode, Description, CAST(Quantity AS INTEGER) AS Quantity, InvoiceDate, "
+                    "CAST(UnitPrice AS DECIMAL(18,3)) AS UnitPrice, CustomerID, Country FROM checked WHERE reasons = ''",
+    "quarantine_counts": f"WITH {TEXT_BASE},\n{CHECKED}\nSELECT reason, count(*) AS lines FROM (SELECT unnest(string_split(reasons, '+')) AS reason FROM checked WHERE reasons <> '') GROUP BY reason",
+    "quarantine_lines": f"WITH {TEXT_BASE},\n{CHECKED}\nSELECT line, reasons FROM checked WHERE reasons <> ''",
+})

@@ -145,6 +145,16 @@ def monetary_quantile(df: DataFrame, q: float = 0.75, relative_error: float = 0.
     return df.select(F.percentile_approx("Monetary", q, accuracy).alias("Monetary_quantile"))
 
 
+def quantile_audit(df: DataFrame, q: float = 0.75, relative_error: float = 0.01) -> DataFrame:
+    """A10 audited: the rows, and whether the true rank of ``monetary_quantile``'s answer is
+    within ``relative_error`` of q, counted exactly in one pass over the rows."""
+    found = monetary_quantile(df, q, relative_error).scalar()
+    at = df.filter(F.col("Monetary").isNotNull()).select("Monetary", found.alias("_found"))
+    n = F.count(F.lit(1))
+    lowest, highest = F.count_if(F.col("Monetary") < F.col("_found")), F.count_if(F.col("Monetary") <= F.col("_found"))
+    return at.agg(n.alias("n_rows"), ((lowest <= n * (q + relative_error)) & (highest >= n * (q - relative_error))).alias("within_error"))
+
+
 def approx_quantile(df: DataFrame, column: str, q: float = 0.75,
                     relative_error: float = 0.01) -> float:
     """A10 as a driver-side number (DataFrame.approxQuantile, one small job)."""

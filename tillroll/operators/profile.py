@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.columns import is_cancelled, null_count
 from tillroll.operators import clean
+from tillroll.operators.duplicates import duplicate_rows, key_counts
 from tillroll.schemas import COLUMN_ROLES, EXCLUDED_STOCKCODES, INVOICE_DATE_FORMAT, PRICE, RAW
 
 
@@ -66,9 +67,9 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 
 
 def profile_duplicates(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row = Σ (group size − 1) over equal rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    """Rows that repeat an earlier row = Σ (group size − 1) over equal rows,
+    counted on 128-bit row keys: no whole row is shuffled."""
+    return duplicate_rows(df)
 
 
 def profile_cancelled(df: DataFrame) -> DataFrame:
@@ -117,24 +118,28 @@ def cleaning_report(raw: DataFrame, codes: Sequence[str] = EXCLUDED_STOCKCODES)
     """P10: rows left after each cleaning step, plus what the filters drop
     silently (zero Quantity / UnitPrice) and dates that did not parse.
 
-    One shuffle: the parsed, id-filled lines are grouped on all columns (that
-    grouping is the deduplication), and every step's count is a conditional
-    sum or count over the groups.
+    One narrow shuffle: the parsed, id-filled lines are counted by their 128-bit
+    row key (that grouping is the deduplication) with what the steps ask of a line
+    as flags, and every step's count is a conditional sum or count over the groups.
     """
     prepared = raw.transform(clean.parse_invoice_date).transform(clean.fill_customer)
-    g = prepared.groupBy(*prepared.columns).agg(F.count(F.lit(1)).alias("_n"))
-    has_desc = F.col("Description").isNotNull()
-    positive = (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0)
-    product = ~F.col("StockCode").isin(list(codes))
+    g = key_counts(prepared, {
+        "_desc": F.col("Description").isNotNull(),
+        "_positive": (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0),
+        "_product": ~F.col("StockCode").isin(list(codes)),
+        "_no_quantity": F.col("Quantity") == 0,
+        "_no_price": F.col("UnitPrice") == 0,
+        "_no_date": F.col("InvoiceDate").isNull()})
+    has_desc, positive, product = F.col("_desc"), F.col("_positive"), F.col("_product")
     row = g.agg(
         F.sum("_n").alias("raw"),
         F.sum(F.when(has_desc, F.col("_n"))).alias("drop_missing_description"),
         F.count_if(has_desc).alias("deduplicate"),
         F.count_if(has_desc & positive).alias("positive"),
         F.count_if(has_desc & positive & product).alias("exclude_codes"),
-        F.count_if(has_desc & (F.col("Quantity") == 0)).alias("zero_quantity_after_dedup"),
-        F.count_if(has_desc & (F.col("UnitPrice") == 0)).alias("zero_price_after_dedup"),
-        F.sum(F.when(F.col("InvoiceDate").isNull(), F.col("_n"))).alias("unparsed_dates"),
+        F.count_if(has_desc & F.col("_no_quantity")).alias("zero_quantity_after_dedup"),
+        F.count_if(has_desc & F.col("_no_price")).alias("zero_price_after_dedup"),
+        F.sum(F.when(F.col("_no_date"), F.col("_n"))).alias("unparsed_dates"),
     )
     steps = ["raw", "drop_missing_description", "deduplicate", "positive", "exclude_codes",
              "zero_quantity_after_dedup", "zero_price_after_dedup", "unparsed_dates"]

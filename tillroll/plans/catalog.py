@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import analysis as A
 from tillroll.operators import clean as C
@@ -44,6 +45,31 @@ def _through_csv(spark: SparkSession, sf_dir: str, text: bool) -> DataFrame:
     return files.load_text(spark, path) if text else files.load_transactions(spark, path)
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> files.CheckedLines:
+    """CSV lines, some malformed, written to the shared checkpoint folder and read back with their quarantine."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}.csv"
+    testdata.csv_lines(spark, sf_dir).write.text(path)
+    return files.load_checked(spark, path, header=False)
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bad lines, written and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex}"
+    _checked(spark, sf_dir).write_quarantine(path)
+    return spark.read.parquet(path).select("line", F.concat_ws("+", "reasons").alias("reasons"))
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 on revenue by country: rows collected within the bound, and whether one row less is refused."""
+    revenue = A.revenue_by_country(_t(spark, sf_dir).features_in)
+    n = len(files.collect_bounded(revenue, 1_000))
+    try:
+        refused = files.collect_bounded(revenue, n - 1) is None
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(n, refused)], "countries long, refused boolean")
+
+
 def _through_prepared(spark: SparkSession, sf_dir: str) -> RetailTables:
     """Tables read back from the prepared files that ``RetailTables.write`` leaves."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepared-{uuid.uuid4().hex}"
@@ -57,6 +83,10 @@ SOURCES: dict[str, Query] = {
     "prepared_rfm_churn": lambda s, d: _through_prepared(s, d).rfm_churn(),
     "prepared_churn_by_country": lambda s, d: (lambda t: A.churn_by_country(t.features_in, t.rfm_churn()))(_through_prepared(s, d)),
     "prepared_country_yoy": lambda s, d: A.country_yoy(_through_prepared(s, d).features_in),
+    "load_checked": lambda s, d: _checked(s, d).good,
+    "quarantine_counts": lambda s, d: _checked(s, d).counts(),
+    "quarantine_lines": _quarantined,
+    "collect_bounded": _bounded,
     "load_transactions": _on(lambda t: t.raw),
     "preview": _on(lambda t: files.preview(t.raw, 5)),
 }
@@ -90,9 +120,11 @@ CLEANING: dict[str, Query] = {
     "clean_drop_missing_description": _on(lambda t: C.clean_upto(t.raw, "drop_missing_description")),
     "clean_fill_customer": _on(lambda t: C.clean_upto(t.raw, "fill_customer")),
     "clean_deduplicate": _on(lambda t: C.clean_upto(t.raw, "deduplicate")),
+    "clean_deduplicate_narrow": _on(lambda t: C.deduplicate_narrow(C.clean_upto(t.raw, "fill_customer"))),
     "clean_positive": _on(lambda t: C.clean_upto(t.raw, "positive")),
     "clean_exclude_codes": _on(lambda t: C.clean_upto(t.raw, "exclude_codes")),
     "clean_transactions": _on(lambda t: t.cleaned),
+    "clean_transactions_narrow": _on(lambda t: C.clean_transactions(t.raw, narrow=True)),
 }
 
 FEATURES: dict[str, Query] = {
@@ -146,6 +178,7 @@ ANALYSIS: dict[str, Query] = {
         _on(lambda t: A.stock_top_n(_recency_products(t, True, False), 5, ascending=True)),
     "churn_by_country": _on(lambda t: A.churn_by_country(t.features_in, t.rfm_churn())),
     "monetary_quantile": _on(lambda t: A.monetary_quantile(t.rfm_churn())),
+    "monetary_quantile_audit": _on(lambda t: A.quantile_audit(t.rfm_churn())),
     "high_value_churned": _on(lambda t: A.high_value_churned(t.rfm_churn())),
     "high_value_churned_as_written": _on(lambda t: A.high_value_churned(t.final, customers=t.weighted())),
     "revenue_by_country": _on(lambda t: A.revenue_by_country(t.features_in)),

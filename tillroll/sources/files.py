@@ -7,13 +7,14 @@ data and types never drift between runs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.schemas import RAW
+from tillroll.schemas import INVOICE_DATE_FORMAT, RAW
 
 # Largest result ``collect_bounded`` will bring to the driver.
 DEFAULT_COLLECT_LIMIT = 10_000
@@ -24,9 +25,10 @@ def load_transactions(spark: SparkSession, path: str, fmt: str = "csv",
     """Read raw invoice lines (header CSV by default) with a declared schema.
 
     A malformed CSV field becomes null (PERMISSIVE mode) rather than failing
-    the job. ``corrupt_column`` keeps the whole text of such a line; to count
-    malformed fields column by column, read with ``load_text`` and use
-    ``profile.profile_schema`` and ``profile.cleaning_report_text``.
+    the job. ``corrupt_column`` keeps the whole text of such a line; ``load_checked``
+    sets such lines aside with their reasons; to count malformed fields column by
+    column, read with ``load_text`` and use ``profile.profile_schema`` and
+    ``profile.cleaning_report_text``.
     """
     if fmt != "csv":
         return spark.read.schema(schema).format(fmt).load(path)
@@ -43,6 +45,56 @@ def load_text(spark: SparkSession, path: str, schema: T.StructType = RAW) -> Dat
     return spark.read.schema(text).option("header", True).csv(path)
 
 
+@dataclass
+class CheckedLines:
+    """Invoice lines of a file, parted: ``good`` with the columns of the schema, ``bad`` as
+    (line, reasons), the whole line as it stood in the file and why it was set aside."""
+
+    good: DataFrame
+    bad: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(reason, lines); a line counts once for each of its reasons."""
+        return self.bad.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).orderBy("reason")
+
+    def write_quarantine(self, path: str) -> None:
+        """Write the bad lines (Parquet), to be mended and loaded again."""
+        self.bad.write.mode("overwrite").parquet(path)
+
+
+#: Reasons of quarantine: the number of fields, and the columns whose text does not convert.
+WRONG_FIELDS = "fields"
+
+
+def load_checked(spark: SparkSession, path: str, schema: T.StructType = RAW, header: bool = True,
+                 date_format: str = INVOICE_DATE_FORMAT) -> CheckedLines:
+    """Read CSV lines and set those aside that do not fit the schema, whole, with their reasons.
+
+    A line is bad if it has too few or too many fields, or a field that is not null and
+    does not convert to its column's type (InvoiceDate stays text but must parse). Blank
+    lines and header lines are skipped. Each line is parsed where it is read, in one pass
+    and without a shuffle; a quoted field cannot run over the end of a line.
+    """
+    names = [f.name for f in schema.fields]
+    fields = ", ".join(f"`{n}` string" for n in names) + ", _corrupt string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if header:
+        lines = lines.filter(F.col("value") != ",".join(names))
+    parsed = lines.select(F.col("value").alias("line"), F.from_csv("value", fields, options).alias("f"))
+
+    def misfit(f: T.StructField) -> Column:
+        text = F.col(f"f.{f.name}")
+        kept = F.try_to_timestamp(text, F.lit(date_format)) if f.name == "InvoiceDate" else text.try_cast(f.dataType)
+        return text.isNotNull() & kept.isNull()
+
+    checks = [F.when(misfit(f), F.lit(f.name)) for f in schema.fields if f.name == "InvoiceDate" or not isinstance(f.dataType, T.StringType)]
+    reasons = F.when(F.col("f._corrupt").isNotNull(), F.array(F.lit(WRONG_FIELDS))).otherwise(F.array_compact(F.array(*checks)))
+    judged = parsed.withColumn("reasons", reasons)
+    good = judged.filter(F.size("reasons") == 0).select(*[F.col(f"f.{f.name}").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return CheckedLines(good, judged.filter(F.size("reasons") > 0).select("line", "reasons"))
+
+
 def load_prepared(spark: SparkSession, path: str, schema: T.StructType | None = None,
                   fmt: str = "parquet") -> DataFrame:
     """Read a table written by ``write_prepared`` (parquet by default).

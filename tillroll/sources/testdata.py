@@ -135,3 +135,23 @@ def raw_text_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN {k} % {BAD_DATE_INVOICE[0]} = 0 THEN '{BAD_DATE_INVOICE[1]}' ELSE InvoiceDate END AS InvoiceDate",
         f"CASE WHEN {k} % {BAD_PRICE_INVOICE[0]} = 0 THEN '{BAD_PRICE_INVOICE[1]}' ELSE CAST(UnitPrice AS STRING) END AS UnitPrice",
         "CustomerID", "Country")
+
+
+# --- Fixed values: lines of the file form that lost or gained fields, by invoice number ---
+SHORT_LINE_INVOICE = (601, 5)  # only the first five fields are left
+LONG_LINE_INVOICE = (701, "extra")  # one more field at the end
+# ---------------------------------------------------------------------------
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The all-text lines as CSV text (column ``value``), some of them cut off or too long."""
+    k = F.expr("CAST(replace(InvoiceNo, 'C', '') AS BIGINT)")
+    line = F.to_csv(F.struct("*"))
+    lines = raw_text_retail(spark, sf_dir).select(k.alias("k"), line.alias("line"))
+    short, long = k_is(SHORT_LINE_INVOICE[0]), k_is(LONG_LINE_INVOICE[0])
+    return lines.select(F.when(short, F.substring_index("line", ",", SHORT_LINE_INVOICE[1]))
+                        .when(long, F.concat("line", F.lit("," + LONG_LINE_INVOICE[1]))).otherwise(F.col("line")).alias("value"))
+
+
+def k_is(every: int):
+    return F.col("k") % every == 0
