@@ -29,10 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard_join.keep_one_per_group(docs)
 
 
+#: The repeated passages that are cut: of so many words, whose bytes are at least so many (50 words of two letters have
+#: 149), or of 400 bytes with any number of words.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 160
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that start elsewhere too."""
+    """All documents, without the passages of 50 words and more, or of 400 bytes, that stand elsewhere too."""
     ship_package(spark)
-    return suffix_dedup.remove_repeats(docs)
+    return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

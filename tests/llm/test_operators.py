@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import helpers as H
 import numpy as np
 import public_tokenizers
@@ -126,6 +127,28 @@ def test_hot_anchors_give_the_same_rows(spark):
         H.same_rows(suffix_dedup.cut_repeats(own, hot=hot).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), H.repeats(rows))
 
 
+def test_planted_passages_of_over_fifty_words_go(spark):
+    """Passages of 51 to 70 words, also short ones, go from all documents that share them; clean documents and shorter quotations stay."""
+    rng = random.Random(12)
+    word = lambda a, z: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(a, z)))
+    prose = lambda n, a=2, z=9: " ".join(word(a, z) for _ in range(n))
+    passages = [prose(rng.randrange(51, 71), 2, 3 + i % 6) for i in range(40)]
+    quotes = [prose(40, 2, 8) for _ in range(10)]
+    rows, planted, quoted = [], [], []
+    for i in range(120):
+        p = passages[i % 40]
+        rows.append((i, f"{prose(60)} {p} {prose(50)}"))
+        planted.append(p)
+    for i in range(20):
+        rows.append((200 + i, f"{prose(60)} {quotes[i % 10]} {prose(50)}"))
+        quoted.append(quotes[i % 10])
+    rows += [(300 + i, prose(150)) for i in range(40)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, H.docs(spark, rows).repartition(3), "").collect()}
+    assert not [i for i, p in enumerate(planted) if any(p[k:k + 100] in got[i] for k in range(0, len(p) - 100, 20))]
+    assert all(len(got[i]) >= len(rows[i][1]) - len(p) - 6 for i, p in enumerate(planted))  # what is around a passage stays
+    assert all(got[i] == t for i, t in rows if i >= 200)
+
+
 def test_remove_repeats_keeps_rows_and_columns(spark, docs, none):
     out = suffix_dedup.remove_repeats(docs)
     assert out.schema.names == docs.schema.names and out.count() == len(ROWS)

@@ -210,8 +210,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 2 << 20) -> DataFrame:
-    """Per document: doc (a struct of all its columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and kept_text (their whole characters)."""
+def count_words(data: bytes) -> int:
+    """Runs of bytes that are not ASCII white space."""
+    return len(data.split())
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4096, block: int = 48, group_bytes: int = 2 << 20,
+                least_words: int = 0, long_bytes: int = 400) -> DataFrame:
+    """Per document: doc (a struct of all its columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and kept_text (their whole characters).
+
+    ``least_words``: repeated runs of fewer words and of less than ``long_bytes`` bytes stay.
+    """
     chunks = ch.make_chunks(docs)
     ranges = repeated_ranges(chunks.select("chunk", "n_bytes", "payload"), length, gram, hot, block, group_bytes)
     back = ranges.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "spans")).alias("found"))
@@ -227,7 +236,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
                 out = []
                 for i, t in enumerate(rows.column("text")):
                     data = bytes(t.as_buffer()) if t.is_valid else b""
-                    runs = merged(spans.get(i, []))
+                    runs = [(a, z) for a, z in merged(spans.get(i, [])) if not least_words or z - a >= long_bytes or count_words(data[a:z]) >= least_words]
                     kept = b"".join(data[a:z] for a, z in zip([0, *(z for _, z in runs)], [*(a for a, _ in runs), len(data)]))
                     out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
                 added = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())))
@@ -240,13 +249,15 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
             .mapInArrow(apply, schema))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, least_words: int = 0, long_bytes: int = 400) -> DataFrame:
     """The documents, all columns, with their texts cut; ``n_chars``, if there, counts what is left.
 
+    With ``least_words``, a repeated passage goes if it has that many words (and ``length`` bytes)
+    or, with fewer or no words, ``long_bytes`` bytes: shorter repetitions are ordinary prose.
     A cut can fall inside a character; what is left of such a character goes too.
     A text that repeats whole becomes empty; its row stays.
     """
-    cut_docs = cut_repeats(docs, length)
+    cut_docs = cut_repeats(docs, length, least_words=least_words, long_bytes=long_bytes)
     kept = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
     out = {"text": kept} | ({"n_chars": F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return cut_docs.select(*[out[c].alias(c) if c in out else F.col("doc").getField(c).alias(c) for c in docs.columns])
