@@ -5,6 +5,7 @@ import random
 import helpers as H
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,24 +53,48 @@ def test_codecs_round_trip():
         assert (ch.unpack(ch.pack(ch.small_ints(v))).astype(np.int64) == v).all()
 
 
-def test_tally_equals_a_plain_count(spark):
-    rng = random.Random(3)
-    rows = [(i, H.prose(rng, 200, 50)) for i in range(40)] + [(99, None)]
-    chunks = ch.make_chunks(H.docs(spark, rows).select("doc_id", "text").repartition(3), chunk_bytes=3000)
-    assert chunks.count() > 5
+def test_pieces_grow_in_proportion(spark, monkeypatch):
+    """Four times the input: about four times the pieces that chunks and ranges exchange, once chunks grow."""
+    pieces = lambda n: n / ch.chunk_size(n) * n * ch.CHUNK / (4 << 20) / ch.chunk_size(n)
+    for n in (10**11, 10**13):
+        assert 3.9 < pieces(4 * n) / pieces(n) < 4.1
+    monkeypatch.setattr(ch, "CHUNK", 6_000)
+    monkeypatch.setattr(ch, "PIECE", 400)
+    rng, found = random.Random(4), []
+    for n in (150, 600):
+        docs = H.docs(spark, [(i, H.prose(rng, 600, 10**6)) for i in range(n)]).select("doc_id", "text").coalesce(1)
+        chunks = ch.make_chunks(docs)
+        found.append(ch.tally(chunks, word_counts(), ch.bucket_count(chunks, 6_000)).count())
+    assert found[0] > 1_000 and 3 < found[1] / found[0] < 5
+
 
-    def keys_of(b):
+def word_counts():
+    def prepare(b):  # not known by name, so it travels to the tasks as a whole
         batch = TextBatch(b.column("text"))
         starts, ends = batch.words()
-        return np.unique(batch.hashes(starts, ends), return_counts=True)
+        keys, n = np.unique(batch.hashes(starts, ends), return_counts=True)
+        return keys, n, keys
 
-    def check(chunk, b, total):
-        keys, own = keys_of(b)
-        assert len(keys) == len(total)
-        return pa.table({"k": keys.view(np.int64), "n": total[:, 0], "first": total[:, 1]})
+    return prepare
 
-    totals = ch.tally(chunks, keys_of, 5, answer=lambda sums, own, first: np.stack([sums[:, 0], first], axis=1))
-    got = ch.with_totals(chunks, totals, check, "k long, n long, first long", 2)
+
+@pytest.mark.parametrize("strips", [1, 3])
+@pytest.mark.parametrize("chunk_bytes", [3_000, 5 << 20])
+def test_tally_equals_a_plain_count(spark, strips, chunk_bytes):
+    rng = random.Random(3)
+    rows = [(i, H.prose(rng, 200, 50)) for i in range(40)] + [(99, None)]
+    if chunk_bytes > ch.BLOCK:  # a chunk of several blocks
+        rows += [(100 + i, H.prose(rng, 60_000, 50)) for i in range(36)]
+    chunks = ch.make_chunks(H.docs(spark, rows).select("doc_id", "text").repartition(3), chunk_bytes=chunk_bytes)
+    assert chunks.count() > 5 or chunk_bytes > 3_000
+
+    def check(block):
+        assert len(block.own) == len(block.total) == len(block.fresh)
+        return pa.table({"k": block.own.view(np.int64), "n": block.total[:, 0], "first": block.total[:, 1] * block.fresh, "row": np.full(len(block.own), block.first_row)})
+
+    totals = ch.tally(chunks, word_counts(), 5, answer=lambda sums, own, first: np.stack([sums[:, 0], first], axis=1), strips=strips)
+    got = ch.with_totals(chunks, totals, word_counts(), check, "k long, n long, first long, row long", 2)
+    assert chunk_bytes <= ch.BLOCK or got.filter("row > 0").count()
     flat = {}
     for _, t in rows:
         for w in (t or "").split():

@@ -1,8 +1,8 @@
 """Exact global counts for the keys of each chunk of rows.
 
-A chunk is about a MB of rows packed into one compressed record, written once to
-the checkpoint folder. ``tally`` answers, for every key of every chunk, the sum
-of the key's values over all chunks:
+A chunk is some MB of rows packed into one compressed record, written once to the
+checkpoint folder. ``tally`` answers, for every key of every chunk, the sum of the
+key's values over all chunks:
 
 1. each chunk gives its distinct 64-bit keys with values, already summed over the
    chunk's rows (the map-side combine), cut into ranges of the key space;
@@ -11,14 +11,22 @@ of the key's values over all chunks:
 3. each chunk gets its own keys' totals back, in its own key order.
 
 Keys travel as sorted deltas, numbers as compressed byte planes: a key costs
-about six bytes on its way instead of a Spark row. Group size is bounded by
-``bucket_bytes`` through the number of ranges, which follows the input's size.
+about six bytes on its way instead of a Spark row.
+
+Sizes. The pieces that chunks and ranges exchange number chunks x ranges. Both are
+made larger with the square root of the input (``chunk_size``, ``bucket_count``), so
+their number grows in proportion to the input and a piece keeps holding hundreds of
+keys. Inside, chunks and ranges are worked off in blocks and strips of fixed size,
+so what a task holds beside the compressed pieces is a chunk's distinct keys:
+about ten times the square root of the input's bytes times ``PIECE`` (100 MB at
+100 GB, 3 GB at 100 TB).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,8 @@ from tillroll.llm.common import cut, task_partition
 from tillroll.llm.words import give_back, slices
 
 CHUNKS = "chunk long, n_rows long, n_bytes long, payload binary"
+#: Least bytes of a chunk and of the blocks it is worked off in, and the bytes of a chunk that a piece stands for.
+CHUNK, BLOCK, PIECE = 4 << 20, 1 << 20, 1 << 10
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -72,13 +82,25 @@ def unpack_rows(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(b))).read_next_batch()
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int = 1 << 20, write: bool = True) -> DataFrame:
-    """All rows in chunks of about chunk_bytes of ``size_col``, written to the checkpoint folder.
+def chunk_size(n_bytes: int) -> int:
+    """Bytes of a chunk for an input of so many bytes: constant first, then with its square root."""
+    return max(CHUNK, math.isqrt(n_bytes * PIECE))
+
+
+def text_bytes(rows: DataFrame, size_col: str = "text") -> int:
+    """Bytes of a column, summed in one pass."""
+    return rows.agg(F.sum(F.octet_length(size_col)).alias("n")).first().n or 0
+
+
+def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int | None = None, write: bool = True) -> DataFrame:
+    """All rows in chunks of about chunk_bytes of ``size_col`` (by default ``chunk_size`` of all), written to the checkpoint folder.
 
     ``write=False`` only if the rows come straight from files written before, so
     that a repeated task packs the same rows into the same chunks.
     """
 
+    chunk_bytes = chunk_bytes or chunk_size(text_bytes(rows, size_col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, i = task_partition(), 0
         for b in _regroup(batches, size_col, chunk_bytes):
@@ -106,67 +128,127 @@ def _regroup(batches, size_col: str, chunk_bytes: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def blocks(rows: pa.RecordBatch, size_col: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A chunk's rows in blocks of about ``BLOCK`` bytes, with the index of each block's first row."""
+    at = 0
+    for b in _regroup([rows], size_col, BLOCK):
+        yield at, b
+        at += b.num_rows
+
+
 def bucket_count(chunks: DataFrame, bytes_per_bucket: int) -> int:
+    """Number of key ranges: one for so many bytes of chunks, fewer where the chunks outgrow ``CHUNK``."""
     size = chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0
-    return max(1, math.ceil(size / bytes_per_bucket))
+    return max(1, math.ceil(size * CHUNK / bytes_per_bucket / chunk_size(size)))
+
+
+def strip_count(chunks_bytes: int) -> int:
+    return max(1, round(chunk_size(chunks_bytes) / CHUNK))
+
 
+def edges_of(n: int) -> np.ndarray:
+    """Lower bounds of n equal parts of the key space."""
+    return np.array([(k << 64) // n for k in range(n)], dtype=np.uint64)
 
-def edges_of(n_buckets: int) -> np.ndarray:
-    """Lower bounds of the key ranges."""
-    return np.array([(k << 64) // n_buckets for k in range(n_buckets)], dtype=np.uint64)
 
+@dataclass
+class Block:
+    """A block of a chunk's rows and what is known of its keys.
 
-def tally(chunks: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n_buckets: int,
-          answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, summary: Callable | None = None) -> DataFrame:
+    ``own``: what ``prepare`` made of the rows; ``total``: one row for each of its keys;
+    ``fresh``: whether no earlier block of the chunk has the key; ``first_row``: index in the chunk.
+    """
+
+    chunk: int
+    first_row: int
+    rows: pa.RecordBatch
+    own: object
+    total: np.ndarray
+    fresh: np.ndarray
+
+
+Prepare = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, object]]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several blocks and their summed values."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    values = np.concatenate([v for _, v in parts])
+    return keys, np.stack([np.bincount(where, weights=values[:, j], minlength=len(keys)).astype(np.int64) for j in range(values.shape[1])], axis=1)
+
+
+def tally(chunks: DataFrame, prepare: Prepare, n_buckets: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
+          summary: Callable | None = None, size_col: str = "text", strips: int | None = None) -> DataFrame:
     """Rows (chunk, bucket, totals): ``answer`` (by default the sum) for each key of the chunk in that range.
 
-    ``keys_of``: a chunk's rows -> ascending distinct keys and their non-negative
-    integer values, one row of values for each key. ``answer(sums, own, first)``:
-    what a chunk gets back for its keys, given the global sums, its own values and
-    whether it is the first chunk that has the key.
-    ``summary(keys, sums)``: extra bytes for a range, in a row with chunk -1.
+    ``prepare``: a block of rows -> ascending distinct keys, their non-negative integer
+    values (one row of values for each key), and anything that ``with_totals`` needs.
+    ``answer(sums, own, first)``: what a chunk gets back for its keys, given the global
+    sums, its own values and whether it is the first chunk that has the key.
+    ``summary(keys, sums)``: extra bytes for a strip of a range, in a row with chunk -1.
+    ``strips``: in how many parts a range is summed, one after the other.
     """
-    lower = edges_of(n_buckets)
+    if strips is None:
+        strips = strip_count(chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0)
+    lower = edges_of(n_buckets * strips)
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
-                keys, values = keys_of(unpack_rows(payload.as_buffer()))
-                values = values.reshape(len(keys), -1)
-                cuts = np.append(np.searchsorted(keys, lower), len(keys))
-                rows = [(k, chunk, pack_sorted(keys[a:z]), [pack(small_ints(values[a:z, j])) for j in range(values.shape[1])])
-                        for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if z > a]
+                parts = []
+                for _, rows in blocks(unpack_rows(payload.as_buffer()), size_col):
+                    keys, values, _ = prepare(rows)
+                    parts.append((keys, values.reshape(len(keys), -1)))
+                if not parts:
+                    continue
+                keys, values = _merged(parts)
+                cuts = np.append(np.searchsorted(keys, lower), len(keys)).tolist()
+                rows = []
+                for k in range(n_buckets):
+                    ends = cuts[k * strips:(k + 1) * strips + 1]
+                    if ends[-1] > ends[0]:
+                        own = list(zip(ends[:-1], ends[1:]))
+                        rows.append((k, chunk, [pack_sorted(keys[a:z]) for a, z in own], [pack(small_ints(values[a:z, j])) for a, z in own for j in range(values.shape[1])]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                                                  pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
+                                                  pa.array([r[2] for r in rows], pa.list_(pa.binary())), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
                                                  names=["bucket", "chunk", "keys", "vals"])
         give_back()
 
     def combine(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         bucket, chunk = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-        keys = [unpack_sorted(k.as_py()) for k in t.column("keys")]
-        size = [len(k) for k in keys]
-        every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        del keys
-        is_first = np.zeros(len(where), bool)
-        is_first[first] = True
-        packed = t.column("vals").to_pylist()
-        sums = np.stack([np.bincount(where, weights=np.concatenate([unpack(row[j]) for row in packed]), minlength=len(every)).astype(np.int64)
-                         for j in range(len(packed[0]))], axis=1)
-        out, at = [], 0
-        for n, row in zip(size, packed):
-            part = slice(at, at + n)
-            got = sums[where[part]]
-            if answer:
-                got = answer(got, np.stack([unpack(v).astype(np.int64) for v in row], axis=1), is_first[part]).reshape(n, -1)
-            out.append(b"".join(len(x).to_bytes(4, "little") + x for x in (pack(small_ints(got[:, j])) for j in range(got.shape[1]))))
-            at += n
+        all_keys, all_vals = t.column("keys"), t.column("vals")
+        width = len(all_vals[0]) // strips
+        out, said = [[] for _ in chunk], []
+        for strip in range(strips):
+            keys = [unpack_sorted(k[strip].as_py()) for k in all_keys]
+            packed = [[v[strip * width + j].as_py() for j in range(width)] for v in all_vals]
+            size = [len(k) for k in keys]
+            every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            del keys
+            is_first = np.zeros(len(where), bool)
+            is_first[first] = True
+            sums = np.stack([np.bincount(where, weights=np.concatenate([unpack(row[j]) for row in packed]), minlength=len(every)).astype(np.int64) for j in range(width)], axis=1)
+            at = 0
+            for n, row, blob in zip(size, packed, out):
+                part = slice(at, at + n)
+                got = sums[where[part]]
+                if answer:
+                    got = answer(got, np.stack([unpack(v).astype(np.int64) for v in row], axis=1), is_first[part])
+                    got = got if got.ndim > 1 else got[:, None]
+                blob += [len(x).to_bytes(4, "little") + x for x in (pack(small_ints(got[:, j])) for j in range(got.shape[1]))]
+                at += n
+            if summary:
+                said.append(summary(every, sums))
         give_back()
+        totals = [b"".join(blob) for blob in out]
         if summary:
-            chunk, out = [*chunk, -1], [*out, summary(every, sums)]
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "totals": pa.array(out, pa.binary())})
+            chunk, totals = [*chunk, *[-1] * len(said)], [*totals, *said]
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "totals": pa.array(totals, pa.binary())})
 
-    sent = chunks.mapInArrow(up, "bucket int, chunk long, keys binary, vals array<binary>")
+    sent = chunks.mapInArrow(up, "bucket int, chunk long, keys array<binary>, vals array<binary>")
     return sent.groupBy("bucket").applyInArrow(combine, "chunk long, bucket int, totals binary")
 
 
@@ -179,22 +261,35 @@ def read_totals(parts: list[tuple[int, bytes]], columns: int = 1) -> np.ndarray:
             n = int.from_bytes(blob[at:at + 4], "little")
             cols.append(unpack(blob[at + 4:at + 4 + n]).astype(np.int64))
             at += 4 + n
-        out.append(np.stack(cols, axis=1))
+        out += [np.stack(cols[i:i + columns], axis=1) for i in range(0, len(cols), columns)]
     return np.concatenate(out) if out else np.zeros((0, columns), np.int64)
 
 
-def with_totals(chunks: DataFrame, totals: DataFrame, run: Callable[[int, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch] | pa.Table | None], schema: str, columns: int = 1) -> DataFrame:
-    """``run(chunk, rows, totals)`` for every chunk; it returns a table in ``schema``."""
+def with_totals(chunks: DataFrame, totals: DataFrame, prepare: Prepare, run: Callable[[Block], pa.Table | None], schema: str, columns: int = 1, size_col: str = "text") -> DataFrame:
+    """``run(block)`` for every block of every chunk; it returns a table in ``schema``.
+
+    ``prepare`` as in ``tally``; ``columns``: how many numbers ``answer`` gave for each key.
+    """
     back = totals.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))
     joined = chunks.select("chunk", "payload").join(back, "chunk", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, payload, parts in zip(b.column("chunk").to_pylist(), b.column("payload"), b.column("parts")):
-                found = [(x["bucket"], x["totals"]) for x in parts.as_py() or []]
-                table = run(chunk, unpack_rows(payload.as_buffer()), read_totals(found, columns))
-                if table is not None:
-                    yield from table.combine_chunks().to_batches()
+                total = read_totals([(x["bucket"], x["totals"]) for x in parts.as_py() or []], columns)
+                held = []
+                for at, rows in blocks(unpack_rows(payload.as_buffer()), size_col):
+                    keys, _, own = prepare(rows)
+                    held.append((at, rows, keys, own))
+                every = held[0][2] if len(held) == 1 else np.unique(np.concatenate([h[2] for h in held])) if held else np.zeros(0, np.uint64)
+                seen = np.zeros(len(every), bool)
+                for i, (at, rows, keys, own) in enumerate(held):
+                    held[i] = None
+                    place = np.searchsorted(every, keys)
+                    table = run(Block(chunk, at, rows, own, total[place], ~seen[place]))
+                    seen[place] = True
+                    if table is not None:
+                        yield from table.combine_chunks().to_batches()
         give_back()
 
     return joined.mapInArrow(work, schema)

@@ -18,16 +18,19 @@ before a pair is verified.
 3. Candidate pairs share a prefix shingle under the first rarity order, meet the
    size and positional bounds there, and must share one under the second; then the
    sets are compared.
-   In the first rounds each shingle's classes are compared with one pivot class
-   only, and verified links are merged into components. The last round compares
-   every remaining pair of classes with a common prefix shingle that are still in
-   different components. A group of m near-copies thus costs about m comparisons
-   a round instead of m * m, and no link between different components is missed.
+   First each shingle's classes are compared with up to three pivot classes only, and
+   verified links are merged into components. The last round compares every remaining
+   pair of classes with a common prefix shingle that are still in different components.
+   A group of m near-copies thus costs about m comparisons instead of m * m, and no
+   link between different components is missed. A shingle that many classes share is
+   dealt out in pieces, each with the pivots.
 
 Edge cases. A text of 1 to 4 words is one shingle, its whole sequence. Null text
 or no words: empty set, linked with nothing. Repeated rows and repeated doc_ids
-are rows of their own; component_id is the smallest doc_id that links reach.
-Shingles are compared by 64-bit hashes, equal sets by 128 bits.
+are rows of their own; component_id is the smallest doc_id that links reach (null
+if none of them has one). Very long texts have large sets like any others. Empty
+tables give no rows; other columns are ignored, or kept by ``keep_one_per_group``,
+whatever their names. Shingles are compared by 64-bit hashes, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -38,7 +41,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import chunks as ch
@@ -47,7 +49,7 @@ from tillroll.llm.components import components
 from tillroll.llm.words import NOT_SPACE, TextBatch, mix, ngrams_by_text, ramp
 
 SECOND = np.uint64(0xA24BAED4963EE407)
-_ACTIVE = "doc_id long, n_shingles long, key binary, shingles binary"
+_ACTIVE = "doc_id long, chunk long, row int, n_shingles long, key binary, shingles binary"
 
 
 class Similarity:
@@ -110,25 +112,25 @@ class _Prefixes:
 def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
     """All documents with the size of their set; active ones have a key, and the first of each class carries the set."""
 
-    def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _Prefixes]:
         p = _Prefixes(rows.column("text"), sim, n)
-        return p.keys, np.minimum(p.found, 2)
+        return p.keys, np.minimum(p.found, 2), p
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 6 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
+    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 6 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
 
-    def mark(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
-        p = _Prefixes(rows.column("text"), sim, n)
-        total = total if len(p.keys) else np.zeros((0, 2), np.int64)
+    def mark(block: ch.Block) -> pa.Table:
+        p, total, rows = block.own, block.total, block.rows
         shared = np.bincount(p.text[total[p.prefix_at, 0] > 0], minlength=len(p.counts))
         active = (p.counts > 0) & (shared >= p.least)
         carries = np.zeros(len(p.counts), bool)
-        carries[p.with_set] = (total[p.set_at, 1] > 0) & (p.one[p.set_at] == len(p.text) + np.arange(len(p.with_set)))
+        carries[p.with_set] = (total[p.set_at, 1] > 0) & block.fresh[p.set_at] & (p.one[p.set_at] == len(p.text) + np.arange(len(p.with_set)))
         stop = np.cumsum(p.counts).tolist()
         sets = [p.shingles[z - c:z].tobytes() if on else None for on, c, z in zip((active & carries).tolist(), p.counts.tolist(), stop)]
-        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(p.counts), "shingles": pa.array(sets, pa.binary()),
-                         "key": pa.array([k if on else None for k, on in zip(p.set_keys, active.tolist())], pa.binary())}).select(["doc_id", "n_shingles", "key", "shingles"])
+        place = np.arange(rows.num_rows, dtype=np.int32) + np.int32(block.first_row)
+        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "chunk": np.full(len(place), block.chunk), "row": place, "n_shingles": p.counts,
+                         "key": pa.array([k if on else None for k, on in zip(p.set_keys, active.tolist())], pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return cut(ch.with_totals(chunks, totals, mark, _ACTIVE, 2))
+    return cut(ch.with_totals(chunks, totals, prepare, mark, _ACTIVE, 2))
 
 
 def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -139,14 +141,15 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
     """
     chunks = ch.make_chunks(classes.select("key", "shingles"), "shingles", write=False)
 
-    def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]), return_counts=True)
+    def prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]), return_counts=True)
+        return every, counts, every
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 6 << 20))
+    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 6 << 20), size_col="shingles")
 
-    def choose(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
+    def choose(block: ch.Block) -> pa.Table:
+        rows, every, total = block.rows, block.own, block.total
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
-        every = np.unique(np.concatenate(sets))
         out = []
         for key, own, raw in zip(rows.column("key").to_pylist(), sets, rows.column("shingles").to_pylist()):
             df = total[np.searchsorted(every, own), 0]
@@ -155,15 +158,15 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
             for tie in (own, mix(own ^ SECOND)):
                 p = np.lexsort((tie, df))[:take]
                 at = np.flatnonzero(df[p] > 1)
-                parts.append((own[p[at]], at))
-            if all(len(p) for p, _ in parts):
-                (first, at), (second, _) = parts
-                out.append((key, len(own), [{"shingle": int(x), "at": int(i)} for x, i in zip(first.view(np.int64).tolist(), at.tolist())], np.sort(second).tobytes(), raw))
+                parts.append((own[p[at]], at, df[p[at]]))
+            if all(len(p) for p, _, _ in parts):
+                (first, at, found), (second, _, _) = parts
+                out.append((key, len(own), [{"shingle": x, "at": i, "df": f} for x, i, f in zip(first.view(np.int64).tolist(), at.tolist(), found.tolist())], np.sort(second).tobytes(), raw))
         cols = list(zip(*out)) or [()] * 5
-        return pa.table({"key": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32())]))),
+        return pa.table({"key": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("df", pa.int64())]))),
                          "second": pa.array(cols[3], pa.binary()), "shingles": pa.array(cols[4], pa.binary())})
 
-    return cut(ch.with_totals(chunks, totals, choose, "key binary, n long, first array<struct<shingle: long, at: int>>, second binary, shingles binary"))
+    return cut(ch.with_totals(chunks, totals, prepare, choose, "key binary, n long, first array<struct<shingle: long, at: int, df: long>>, second binary, shingles binary", size_col="shingles"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -194,64 +197,98 @@ def _fit(sim: Similarity):
             & (F.lit(100) * F.least("na", "nb") >= F.lit(sim.percent) * F.greatest("na", "nb")))
 
 
-def links(classes: DataFrame, sim: Similarity, rounds: int = 3) -> DataFrame:
-    """(node, root) of the classes' components."""
+def _indexed(classes: DataFrame, parts: DataFrame | None, hot: int) -> DataFrame:
+    """One row for each class and shared prefix shingle, with the class's component so far. A shingle that more
+    than ``hot`` classes share is dealt out: its rows carry the piece that a hash of their class puts them in."""
     base = classes.select("key", "n", "first")
+    # components join whole classes; shingles are exploded behind the join
+    own = base.withColumn("part", F.col("key")) if parts is None else base.join(parts, "key")
+    own = own.select("key", "n", "part", F.posexplode("first").alias("i", "x"))
+    return own.select("key", "n", "part", "i", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at"), F.col("x.df").alias("df"),
+                      F.pmod(F.xxhash64("key"), F.ceil(F.col("x.df") / hot)).cast("int").alias("piece"))
+
+
+def _pivot_pairs(own: DataFrame, sim: Similarity, salts: int, hot: int) -> DataFrame:
+    """Pairs of each class with the pivots of its shingles: for each salt the class whose salted hash is smallest, the
+    same one for all shingles that the same classes share. At most ``salts`` pairs for each index row."""
+    order = lambda s: F.min(F.struct(F.xxhash64("key", F.lit(s)).alias("h"), "key", "n", "at", "part")).alias(f"p{s}")
+    pivots = (own.groupBy("shingle").agg(*[order(s) for s in range(salts)], F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("df").alias("df"))
+              .filter("lo <> hi").select("shingle", F.array(*[f"p{s}" for s in range(salts)]).alias("pivots"),
+                                         F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / hot).cast("int") - 1)).alias("piece")))
+    met = own.select("shingle", "piece", "key", "n", "at", "part").join(pivots, ["shingle", "piece"]).select("*", F.explode(F.array_distinct("pivots")).alias("p"))
+    return (met.filter("part <> p.part").select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"),
+                                                F.col("p.at").alias("ia"), F.col("at").alias("ib")).filter(_fit(sim)))
+
+
+def _open_pairs(classes: DataFrame, own: DataFrame, sim: Similarity) -> DataFrame:
+    """All pairs with a common prefix shingle whose classes are in different components."""
+    # a shingle whose classes are all in one component has no open pair
+    open_ = own.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
+    rest = own.join(open_, "shingle").join(classes.select("key", "first"), "key")
+    rest = cut(rest.select("key", "n", "part", "shingle", "at", F.slice("first.shingle", F.lit(1), F.col("i")).alias("before")))
+    x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}"), F.col("at").alias(f"i{c}"),
+                        F.col("before").alias(f"before{c}")) for c in "ab")
+    # a pair comes out once, at its first common shingle
+    return x.join(y, "shingle").filter("parta < partb").filter(_fit(sim)).filter(~F.arrays_overlap("beforea", "beforeb"))
+
+
+def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 3, hot: int = 8_192) -> DataFrame:
+    """(node, root) of the classes' components: ``rounds`` with pivots, then one with all open pairs."""
     found, parts = None, None
     for r in range(rounds + 1):
-        # components join whole classes; shingles are exploded behind the join
-        own = base.withColumn("part", F.col("key")).withColumn("alone", F.lit(True)) if parts is None else base.join(parts, "key")
-        own = (own.select("key", "n", "part", "alone", F.posexplode("first").alias("i", "x"))
-               .select("key", "n", "part", "alone", "i", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at")))
-        by_shingle = own.groupBy("shingle")
-        if r < rounds:
-            # pivot of a shingle: the class whose hash is smallest, first one for all its shingles, later (of the classes in components, if any)
-            # another for each shingle; there is one pair for each index row at most
-            salt = F.xxhash64("key", "shingle", F.lit(r)) if r else F.xxhash64("key")
-            order = F.struct("alone", salt.alias("h"), "key", "n", "at", "part")
-            pivot = by_shingle.agg(F.min(order).alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
-            pairs = (own.join(pivot.select("shingle", "p"), "shingle").filter("part <> p.part")
-                     .select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.at").alias("ia"), F.col("at").alias("ib"))
-                     .filter(_fit(sim)))
-        else:
-            # a shingle whose classes are all in one component has no open pair
-            open_ = by_shingle.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
-            rest = own.join(open_, "shingle").join(base.select("key", "first"), "key")
-            rest = cut(rest.select("key", "n", "part", "shingle", "at", F.slice("first.shingle", F.lit(1), F.col("i")).alias("before")))
-            x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}"), F.col("at").alias(f"i{c}"),
-                                F.col("before").alias(f"before{c}")) for c in "ab")
-            # a pair comes out once, at its first common shingle
-            pairs = x.join(y, "shingle").filter("parta < partb").filter(_fit(sim)).filter(~F.arrays_overlap("beforea", "beforeb"))
-        checked = _verify(pairs.select("a", "b").distinct(), classes, sim)
-        found = cut(checked if found is None else found.unionByName(checked))
+        own = _indexed(classes, parts, hot)
+        pairs = _pivot_pairs(own, sim, salts, hot) if r < rounds else _open_pairs(classes, own, sim)
+        checked = cut(_verify(pairs.select("a", "b").distinct(), classes, sim))
+        found = checked if found is None else found.unionByName(checked)
         roots = components(found)
         parts = (classes.select("key").join(roots, F.col("key") == F.col("node"), "left")
-                 .select("key", F.coalesce("root", "key").alias("part"), F.col("root").isNull().alias("alone")))
+                 .select("key", F.coalesce("root", "key").alias("part")))
     return roots
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 3) -> DataFrame:
+def _members(active: DataFrame, sim: Similarity, rounds: int, first) -> DataFrame:
+    """(key, found): for every class the smallest ``first`` (an aggregate over rows) of its component."""
+    classes = active.filter("key is not null").groupBy("key").agg(first.alias("first"))
+    roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds)
+    # both sides of the last join are written: AQE splits a component that a third of all classes are in
+    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")))
+    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")))
+    return member.select("key", "root").join(smallest, "root").select("key", "found")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 1) -> DataFrame:
     """One row per document: size of its shingle set and the smallest doc_id that similarity links reach."""
     sim = Similarity(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     active = active_documents(ch.make_chunks(rows), sim, n)
-    classes = active.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds)
-    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root")))
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_key = member.select("key", "root").join(smallest, "root").select("key", "component_id")
+    of_key = _members(active, sim, rounds, F.min("doc_id"))
     return (active.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id")))
 
 
-def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
-    """The documents, all columns, without those that links join to a smaller doc_id.
+def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 1) -> DataFrame:
+    """The documents, all columns, one of each group of linked rows: the one with the smallest doc_id (null last).
 
-    Of rows with equal doc_id and text one stays. Rows without an id cannot stand
-    for a group: they are compared with nothing and stay.
+    Rows are told apart by their place in the written chunks, not by doc_id: rows that share an id, or have none, are
+    compared like any others, and of equal rows one stays. Rows without words are linked with nothing and stay.
+    Links are found and rows chosen on ids and keys alone; the rows themselves stay in their chunks until then.
     """
-    named = docs.filter("doc_id is not null")
-    first = jaccard_components(named, percent, n).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = named.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    twin = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return kept.withColumn("_twin", twin).filter("_twin = 1").drop("_twin").unionByName(docs.filter("doc_id is null"))
+    sim = Similarity(percent)
+    chunks = ch.make_chunks(docs)
+    active = active_documents(chunks.select("chunk", "n_bytes", "payload"), sim, n)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "chunk", "row")
+    of_key = _members(active, sim, rounds, F.min(place))
+    dropped = (active.filter("key is not null").select("key", place.alias("own")).join(of_key, "key").filter("own <> found")
+               .groupBy("own.chunk").agg(F.collect_list("own.row").alias("rows")))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload, rows in zip(b.column("payload"), b.column("rows").to_pylist()):
+                kept = ch.unpack_rows(payload.as_buffer())
+                if rows:
+                    stay = np.ones(kept.num_rows, bool)
+                    stay[rows] = False
+                    kept = kept.filter(pa.array(stay))
+                yield kept
+
+    return chunks.select("chunk", "payload").join(dropped, "chunk", "left").select("payload", "rows").mapInArrow(rest, docs.schema)

@@ -112,12 +112,12 @@ def learn_weights(events: list[tuple[int, int, int, int]], uniform: float, round
     return weights
 
 
-def _keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Tokens]:
     t = Tokens(rows)
     role = np.asarray(rows.column("role"))[t.doc]
     at = np.concatenate([t.token, t.pair])
     role = np.concatenate([role, role])
-    return t.keys, np.stack([np.bincount(at[role == r], minlength=len(t.keys)) for r in (RETAINED, DELETED)], axis=1)
+    return t.keys, np.stack([np.bincount(at[role == r], minlength=len(t.keys)) for r in (RETAINED, DELETED)], axis=1), t
 
 
 def _summary(keys: np.ndarray, sums: np.ndarray) -> bytes:
@@ -132,23 +132,24 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
             .when(F.pmod(F.xxhash64("doc_id"), F.lit(deleted)) == 0, DELETED).otherwise(RETAINED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), role.alias("role"))
     # held-out documents have chunks of their own: the weights need only these
-    held = ch.make_chunks(rows.filter(F.col("role") == DELETED))
-    rest = ch.make_chunks(rows.filter(F.col("role") != DELETED)).withColumn("chunk", F.col("chunk") + F.lit(1 << 62))
+    size = ch.chunk_size(ch.text_bytes(rows))
+    held = ch.make_chunks(rows.filter(F.col("role") == DELETED), chunk_bytes=size)
+    rest = ch.make_chunks(rows.filter(F.col("role") != DELETED), chunk_bytes=size).withColumn("chunk", F.col("chunk") + F.lit(1 << 62))
     chunks = held.unionByName(rest)
-    totals = cut(ch.tally(chunks, _keys_of, ch.bucket_count(chunks, 4 << 20), summary=_summary))
+    totals = cut(ch.tally(chunks, _prepare, ch.bucket_count(chunks, 4 << 20), summary=_summary))
     parts = [np.frombuffer(r.totals, "<i8") for r in totals.filter("chunk = -1").select("totals").collect()]  # four numbers for each key range
     retained, dropped, vocabulary, seen = np.sum(parts, axis=0).tolist() if parts else (0, 0, 0, 0)
     n_docs = {r.role: r.n for r in rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
     uniform = 1 / (seen + 1)
 
-    def observe(chunk: int, batch: pa.RecordBatch, total: np.ndarray) -> pa.Table:
-        _, bucket, p2, p1 = estimates(Tokens(batch), total[:, 0], n_docs.get(RETAINED, 0), retained)
+    def observe(block: ch.Block) -> pa.Table:
+        _, bucket, p2, p1 = estimates(block.own, block.total[:, 0], n_docs.get(RETAINED, 0), retained)
         grid = [np.where(x > 0, np.round(np.log10(np.maximum(x, 1e-98)) * _STEP), _ZERO).astype(np.int64) for x in (p2, p1)]
         event, n = np.unique(np.stack([bucket, *grid], axis=1), axis=0, return_counts=True)
         return pa.table({"bucket": event[:, 0], "p2": event[:, 1], "p1": event[:, 2], "n": n})
 
     # at most as many rows as the grid has points, whatever the corpus
-    events = (ch.with_totals(held, totals, observe, "bucket long, p2 long, p1 long, n long", 2)
+    events = (ch.with_totals(held, totals, _prepare, observe, "bucket long, p2 long, p1 long, n long", 2)
               .groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect())
     weights = learn_weights([tuple(r) for r in events], uniform)
     if not retained + dropped:
@@ -156,9 +157,9 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
     model = Model(retained + dropped, vocabulary, n_docs.get(RETAINED, 0) + n_docs.get(DELETED, 0), weights)
     smooth = math.log10(model.tokens + 0.5 * (model.vocabulary + 1))
 
-    def apply(chunk: int, batch: pa.RecordBatch, total: np.ndarray) -> pa.Table:
-        t = Tokens(batch)
-        c, bucket, p2, p1 = estimates(t, total.sum(axis=1), model.documents, model.tokens)
+    def apply(block: ch.Block) -> pa.Table:
+        t, batch = block.own, block.rows
+        c, bucket, p2, p1 = estimates(t, block.total.sum(axis=1), model.documents, model.tokens)
         w = model.weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (model.vocabulary + 1)
         size = batch.num_rows
@@ -167,4 +168,4 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
                          "base_score": np.bincount(t.doc, weights=np.log10(c + 0.5) - smooth, minlength=size),
                          "score": np.bincount(t.doc, weights=np.log10(np.maximum(p, 1e-300)), minlength=size)})
 
-    return ch.with_totals(chunks, totals, apply, SCORES, 2), model
+    return ch.with_totals(chunks, totals, _prepare, apply, SCORES, 2), model

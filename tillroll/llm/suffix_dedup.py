@@ -125,24 +125,23 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
     """(chunk, row, start, spans): byte ranges of the chunked texts that repeat, as (offset, size) pairs from start; they may overlap."""
     odd = U64(1)
 
-    def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tuple]:
         batch = TextBatch(rows.column("text"))
         c = Contexts(batch, length, gram)
-        return np.unique(np.concatenate([c.key & ~odd, _context_keys(batch, c, length) | odd]), return_counts=True)
+        whole = _context_keys(batch, c, length) | odd
+        keys, one, where, n = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True, return_counts=True)
+        return keys, n, (c, whole, one, where)
 
-    totals = ch.tally(chunks, keys_of, ch.bucket_count(chunks, 64 << 20),
+    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 64 << 20),
                       answer=lambda sums, own, first: np.concatenate([np.where(sums > 1, sums, 0), first[:, None]], axis=1))
 
-    def candidates(chunk: int, rows: pa.RecordBatch, total: np.ndarray) -> pa.Table:
-        batch = TextBatch(rows.column("text"))
-        c = Contexts(batch, length, gram)
-        whole = _context_keys(batch, c, length) | odd
-        keys, one, where = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True)
+    def candidates(block_: ch.Block) -> pa.Table:
+        batch = TextBatch(block_.rows.column("text"))
+        (c, whole, one, where), total = block_.own, block_.total
         n = len(whole)
-        total = total if len(keys) else np.zeros((0, 2), np.int64)
         seen, copies = total[where[:n], 0], total[where[n:], 0]
         # of equal contexts, the first one in the first chunk that has it brings the bytes
-        brings = (total[where[n:], 1] > 0) & (one[where[n:]] == np.arange(n, 2 * n))
+        brings = (total[where[n:], 1] > 0) & block_.fresh[where[n:]] & (one[where[n:]] == np.arange(n, 2 * n))
         warm = np.flatnonzero((seen > 1) & (seen <= hot))
         row, first, count, key = _split_hot(batch, c, np.flatnonzero(seen > hot), length, gram, block)
         row, first, count, key = np.concatenate([warm, row]), np.concatenate([c.first[warm], first]), np.concatenate([c.count[warm], count]), np.concatenate([c.key[warm], key])
@@ -150,10 +149,10 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
         data = batch.buf.tobytes()
         data = [data[a:a + k + length - 1] if b else None for a, k, b in zip(first.tolist(), count.tolist(), brings[row].tolist())]
         return pa.table({"grp": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "data": pa.array(data, pa.binary()),
-                         "windows": pa.array(count), "copies": pa.array(copies[row]), "chunk": pa.array(np.full(len(row), chunk)),
-                         "row": pa.array(c.text[row]), "start": pa.array(first - batch.starts[c.text[row]])})
+                         "windows": pa.array(count), "copies": pa.array(copies[row]), "chunk": pa.array(np.full(len(row), block_.chunk)),
+                         "row": pa.array(c.text[row] + block_.first_row), "start": pa.array(first - batch.starts[c.text[row]])})
 
-    found = cut(ch.with_totals(chunks, totals, candidates, "grp long, digest long, data binary, windows long, copies long, chunk long, row long, start long", 2))
+    found = cut(ch.with_totals(chunks, totals, prepare, candidates, "grp long, digest long, data binary, windows long, copies long, chunk long, row long, start long", 2))
     contexts = found.filter("data is not null").select("grp", "digest", "data")
     size = contexts.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
     groups = max(1, math.ceil(size / group_bytes))
