@@ -4,6 +4,12 @@ Each stage takes what its predecessor kept and returns the columns of documents
 (the last: packed pieces). ``run`` writes every stage's rows as Parquet under the
 cluster's checkpoint folder and reads them again, so a lost executor costs a
 reread and stages do not replay each other.
+
+Edge cases. Null and empty texts pass the first four stages and become one piece that
+holds the end token alone; very long texts are worked on whole. Of rows that repeat,
+with one id or none, near_duplicates keeps one if they have words. Rows without an id
+are treated like any others. Extra columns come along to the last stage, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -56,9 +56,13 @@ def fold(doc_id, n: int):
 DRAWS = 1 << 62
 
 
-def draw(doc_id):
-    """62 bits of the id's hash: ids below ``share_of_draws(wanted, n)`` are about ``wanted`` of n."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(DRAWS))
+def draw(*values):
+    """62 bits of the values' hash: rows below ``share_of_draws(wanted, n)`` are about ``wanted`` of n different ones.
+
+    Rows with the same values are drawn together, and a null does not change the hash: give
+    what tells rows apart (an id that may be null with the text), and bound repeated rows.
+    """
+    return F.pmod(F.xxhash64(*values), F.lit(DRAWS))
 
 
 def share_of_draws(wanted: int, n: int) -> int:

@@ -9,22 +9,26 @@ Pass 2 joins document shingles with the windows' rarest shingles, bounds the
 window's place by the shingle's position and the document's length, and
 verifies the window word by word.
 
-Benchmark items are processed in blocks of about ``block_bytes`` of text, each
-sent whole to the tasks; a benchmark of one block needs no shuffle at all, more
-blocks are merged per document by a grouped union of the hits.
+A benchmark of at most ``block_bytes`` of text (it is measured first) is indexed as
+a whole and sent to the tasks; documents are then read twice and nothing of them is
+shuffled. A larger one stays in Spark rows: windows are made in tasks, their shingles
+counted and the rarest chosen by aggregates, and candidates joined and verified as
+rows. Two bit tables of at most ``FILTER_BITS`` bits keep the shingles of documents
+that no window has from being shuffled; they only save work. Documents are read
+three times then, however large the benchmark is, and it never reaches the driver.
 
 Edge cases. Null or empty text: no words, nothing hit. An item without words is
 never found. Rows that repeat an item_id are one item with the windows of all; so
 are the rows with a null item_id, which count in n_hit and n_items but have no
 name in items_sha256 (as in the SQL).
 Repeated documents: each row has its result. Empty tables: no rows, or no hits.
-A text is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
+Very long texts are read whole. Other columns are ignored, or kept by
+``drop_contaminated``, whatever their names. A text is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import cut
 from tillroll.llm.words import ALNUM, TextBatch, ngrams, ngrams_by_text, ramp, slices
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_HITS = "doc_id long, digest string, block int, spans array<int>, items array<string>"
+#: Most bits of a table of shingles (128 MB); fewer for fewer shingles.
+FILTER_BITS = 1 << 30
+_WINDOWS = "item string, words array<long>, grams array<long>"
+_FOUND = "doc_id long, digest string, n_words long, gram long, at long, around array<long>"
 
 
 class WindowIndex:
@@ -167,63 +175,138 @@ def shingle_counts(docs: DataFrame, index: WindowIndex, text_col: str) -> dict[i
     return {r.gram % (1 << 64): r.n for r in rows}
 
 
-def item_blocks(items: DataFrame, block_bytes: int, id_col: str, text_col: str):
-    """The items as lists of about block_bytes of text; one block is on the driver at a time."""
-    size = items.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    own = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    for k in range(blocks):
-        part = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        yield blocks, [(r.id, r.t) for r in part.collect()]
-
-
-def _scan(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_bytes: int, item_col: str, item_text_col: str):
-    """Yield (number of blocks, block number, broadcast index) for each block of items."""
-    own = docs.select("text")
-    for k, (blocks, items_of) in enumerate(item_blocks(items, block_bytes, item_col, item_text_col)):
-        index = WindowIndex(items_of, window, shingle)
-        index.order_by_rarity(shingle_counts(own, index, "text"))
-        yield blocks, k, docs.sparkSession.sparkContext.broadcast(index)
-
-
-def _merged(docs: DataFrame, scans) -> DataFrame:
-    """Results over several blocks of items: (doc_id, digest, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    own = docs.select("doc_id", "text").withColumn("digest", F.sha2("text", 256))
-    hits = None
-    for _, k, sent in scans:
-        def part(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                _, spans, found = _hits(sent.value, b, "text")
-                hit = sorted(spans)
-                at = pa.array(hit, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("digest").take(at), pa.array([k] * len(hit), pa.int32()),
-                     pa.array([[x for s in sorted(spans[i]) for x in s] for i in hit], pa.list_(pa.int32())),
-                     pa.array([list(found[i]) for i in hit], pa.list_(pa.string()))],
-                    names=["doc_id", "digest", "block", "spans", "items"])
-
-        own_hits = own.mapInArrow(part, _HITS)
-        hits = own_hits if hits is None else hits.unionByName(own_hits)
-    hits = (hits.dropDuplicates(["doc_id", "digest", "block"]).groupBy("doc_id", "digest")
-            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")))
-
-    def n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_size(items: DataFrame, text_col: str) -> int:
+    """Bytes of all item texts."""
+    return items.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first().n or 0
+
+
+def small_index(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_col: str, item_text_col: str):
+    """Broadcast index of a benchmark whose size was measured before."""
+    index = WindowIndex([(r.id, r.t) for r in items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("t")).collect()], window, shingle)
+    index.order_by_rarity(shingle_counts(docs.select("text"), index, "text"))
+    return docs.sparkSession.sparkContext.broadcast(index)
+
+
+# --- a benchmark of any size, as rows ----------------------------------------------
+
+
+def window_rows(items: DataFrame, window: int, shingle: int, item_col: str, item_text_col: str) -> DataFrame:
+    """(item, words, grams) of every window of every item; item is its id after an n, or empty without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t", 1 << 20):
+            batch = TextBatch(b.column("t"), lower=True)
+            starts, ends = batch.words(ALNUM)
+            hashes, counts = batch.hashes(starts, ends), batch.counts_per_text(starts)
+            first = np.cumsum(counts) - counts
+            for item, a, n in zip(b.column("id").to_pylist(), first.tolist(), counts.tolist()):
+                length = min(n, window)
+                if not n:
+                    continue
+                size = min(shingle, length)
+                own, grams = hashes[a:a + n], ngrams(hashes[a:a + n], size)
+                words = np.lib.stride_tricks.sliding_window_view(own, length)
+                gram = np.lib.stride_tricks.sliding_window_view(grams, length - size + 1)
+                for lo in range(0, len(words), 20_000):
+                    w, g = (np.ascontiguousarray(x[lo:lo + 20_000]).view(np.int64) for x in (words, gram))
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (w, g)]
+                    yield pa.RecordBatch.from_arrays([pa.array(["" if item is None else "n" + item] * len(w), pa.string()), *lists], names=["item", "words", "grams"])
+
+    own = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("t"))
+    return own.mapInArrow(run, _WINDOWS)
+
+
+class Filter:
+    """A bit table of 64-bit hashes: says no only for hashes that are not in it."""
+
+    def __init__(self, hashes: DataFrame, column: str, most_bits: int = FILTER_BITS):
+        bits = min(most_bits, 1 << max(16, (8 * hashes.count()).bit_length()))
+        at = F.col(column).bitwiseAND(F.lit(bits - 1))
+        rows = (hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b"))
+                .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most bits / 64 rows
+        self.mask, self.table = np.uint64(bits - 1), np.zeros(bits // 64, np.uint64)
+        self.table[np.asarray(rows.column("w"))] = np.asarray(rows.column("b")).view(np.uint64)
+
+    def may_have(self, g: np.ndarray) -> np.ndarray:
+        return (self.table[((g & self.mask) >> np.uint64(6)).astype(np.int64)] >> (g & np.uint64(63))) & np.uint64(1) > 0
+
+
+def prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(gram, offset, words, items): every different window whose shingles all occur in documents, under its rarest one."""
+    grams = cut(windows.select(F.explode("grams").alias("gram")).distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(grams, "gram"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             batch = TextBatch(b.column("text"), lower=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(batch.counts_per_text(batch.words(ALNUM)[0]))],
-                                             names=["doc_id", "digest", "n_words"])
+            starts, ends = batch.words(ALNUM)
+            hashes, counts = batch.hashes(starts, ends), batch.counts_per_text(starts)
+            for n in sizes:
+                g, _, _ = ngrams_by_text(hashes, counts, n)
+                g, k = np.unique(g[sent.value.may_have(g)], return_counts=True)  # summed before they travel
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k)], names=["gram", "n"])
+
+    seen = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    known = cut(seen.join(grams, "gram", "left_semi"))
+    whole = cut(windows.groupBy("words", "grams").agg(F.collect_set("item").alias("items")))
+    places = whole.select("words", F.posexplode("grams").alias("offset", "gram"))
+    rarest = (places.join(known, "gram").groupBy("words").agg(F.min(F.struct("n", "gram", "offset")).alias("p"), F.count(F.lit(1)).alias("found")))
+    return cut(whole.join(rarest, "words").filter(F.col("found") == F.size("grams")).select("p.gram", "p.offset", "words", "items"))
+
+
+def found_windows(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, digest, n_words), and the verified ranges in them: (doc_id, digest, a, z, items)."""
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(prefix.select("gram").distinct(), "gram"))
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_words", pa.int64()), ("gram", pa.int64()), ("at", pa.int64()), ("around", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            batch = TextBatch(b.column("text"), lower=True)
+            starts, ends = batch.words(ALNUM)
+            hashes, counts = batch.hashes(starts, ends), batch.counts_per_text(starts)
+            begin = np.cumsum(counts) - counts
+            padded = np.concatenate([np.zeros(window - 1, np.uint64), hashes, np.zeros(window, np.uint64)]).view(np.int64)
+            around = np.lib.stride_tricks.sliding_window_view(padded, 2 * window - 1)
+            none = pa.nulls(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(counts, pa.int64()), *(none.cast(t) for t in schema.types[3:])], schema=schema)
+            for n in sizes:
+                g, text, first = ngrams_by_text(hashes, counts, n)
+                hit = np.flatnonzero(sent.value.may_have(g))
+                for lo in range(0, len(hit), 10_000):
+                    i = hit[lo:lo + 10_000]
+                    t, words = pa.array(text[i]), np.ascontiguousarray(around[first[i]])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(t), b.column("digest").take(t), pa.array(counts[text[i]], pa.int64()), pa.array(g[i].view(np.int64)),
+                                                      pa.array(first[i] - begin[text[i]], pa.int64()), lists], schema=schema)
+
+    rows = cut(docs.mapInArrow(run, _FOUND))
+    place, length = F.col("at") - F.col("offset"), F.size("words")
+    hits = (rows.filter("gram is not null").join(prefix, "gram")
+            .filter((place >= 0) & (place + length <= F.col("n_words")))  # positional and length bounds
+            .filter(F.slice("around", F.lit(window) - F.col("offset"), length) == F.col("words")))
+    return rows.filter("gram is null").select("doc_id", "digest", "n_words"), hits.select("doc_id", "digest", place.alias("a"), (place + length).alias("z"), "items")
+
+
+def by_rows(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_col: str, item_text_col: str) -> DataFrame:
+    """Results with digest for a benchmark of any size; ``docs``: (doc_id, text)."""
+    own = docs.withColumn("digest", F.sha2("text", 256))
+    windows = cut(window_rows(items, window, shingle, item_col, item_text_col).distinct())
+    sizes = sorted(r.n for r in windows.select(F.least(F.size("words"), F.lit(shingle)).alias("n")).distinct().collect())  # at most ``shingle`` numbers
+    every, hits = found_windows(own, prefixes(own, windows, sizes), sizes, window)
+    hits = cut(hits.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "z")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
                             ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
         for b in batches:
-            rows = [(d, g, n, *_row(n, list(zip((s or [])[::2], (s or [])[1::2])), set(i or ())))
-                    for d, g, n, s, i in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "n_words", "spans", "items")))]
+            rows = []
+            for doc, digest, n, spans, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "n_words", "spans", "items"))):
+                names = {i[1:] if i else None for i in found or ()}
+                rows.append((doc, digest, n, *_row(n, {(s["a"], s["z"]) for s in spans or ()}, names)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
-    every = own.mapInArrow(n_words, "doc_id long, digest string, n_words long").alias("e")
     same = F.col("e.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("e.digest").eqNullSafe(F.col("h.digest"))
-    return (every.join(hits.alias("h"), same, "left").select("e.doc_id", "e.digest", "n_words", "spans", "items")
+    return (every.alias("e").join(hits.alias("h"), same, "left").select("e.doc_id", "e.digest", "n_words", "spans", "items")
             .mapInArrow(merge, RESULT.replace("n_words", "digest string, n_words")))
 
 
@@ -231,10 +314,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: hit words, items found and the contamination decision."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scans = list(_scan(own, items, window, shingle, block_bytes, item_col, item_text_col))
-    if scans[0][0] > 1:
-        return _merged(own, scans).drop("digest")
-    sent = scans[0][2]
+    if text_size(items, item_text_col) > block_bytes:
+        return by_rows(own, items, window, shingle, item_col, item_text_col).drop("digest")
+    sent = small_index(own, items, window, shingle, item_col, item_text_col)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -249,11 +331,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
-    scans = list(_scan(docs, items, window, shingle, block_bytes, "item_id", "text"))
-    if scans[0][0] > 1:  # what a text holds decides, so texts are told apart by their digest
-        bad = _merged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scans).filter("contaminated").select("digest").distinct()
-        return docs.alias("d").join(bad, F.sha2(F.col("d.text"), 256) == F.col("digest"), "left_anti")
-    sent = scans[0][2]
+    if text_size(items, "text") > block_bytes:  # what a text holds decides, so texts are told apart by their digest
+        bad = by_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window, shingle, "item_id", "text").filter("contaminated").select("digest").distinct()
+        return docs.alias("d").join(bad.alias("bad"), F.sha2(F.col("d.text"), 256) == F.col("bad.digest"), "left_anti")
+    sent = small_index(docs, items, window, shingle, "item_id", "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

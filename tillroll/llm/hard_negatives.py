@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import DRAWS, cut, share_of_draws
+from tillroll.llm.common import DRAWS, cut, draw, share_of_draws
 from tillroll.llm.multi_index import codebook, distances
 from tillroll.llm.words import give_back
 
@@ -324,7 +324,7 @@ def mine(df: DataFrame, is_anchor: Column | str, label: Column | None = None, po
     if not n:
         return df.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     share = share_of_draws(max_sample, n)
-    drawn = rows if share == DRAWS else rows.filter(F.pmod(F.xxhash64("vec_id", "q"), F.lit(DRAWS)) < share)
+    drawn = rows if share == DRAWS else rows.filter(draw("vec_id", "q") < share)
     sample = drawn.select("q").toArrow().column("q")
     sample = sample if len(sample) else rows.select("q").limit(1).toArrow().column("q")
     index = Index(rows, int_matrix(sample), centroids, shard_rows, seed)

@@ -6,16 +6,18 @@ training did see add the mean of their log frequencies; only if none of length n
 is known are those of length n-1 tried, down to single characters. The sums give
 a posterior over the languages.
 
-Bounds: training reads at most about ``max_docs`` texts for each language, chosen
-by a hash of the id, and keeps every word and n-gram of them in every language.
-What is sent to the tasks is one number for each (word or n-gram, language) that
-occurs, so it grows with the languages, not with the input. Prediction reads
-whole texts.
+Bounds: training reads at most about ``max_docs`` texts for each language and
+``max_total`` in all, chosen by a hash of id and text, and keeps every word and
+n-gram of them in every language. What is sent to the tasks is one number for each
+(word or n-gram, language) that occurs in these. More than 10,000 languages are an
+error. Prediction reads whole texts.
 
 Edge cases. Text null or without a letter: ``und`` with score 0. No training
 rows: every other text is ``und`` too, score 0. A text whose words and n-grams
 are all unknown: the most frequent training language (first by name if equal).
-Repeated rows: each has its prediction.
+Repeated rows: each has its prediction; in training they count once. Very long
+texts are read whole. An empty table has no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -162,15 +164,24 @@ def _log_table(key: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int)
     return LogTable(key[edge], np.append(edge, len(key)), lang, np.log((n + 0.5) / total[lang]), np.log(0.5 / total))
 
 
-def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_000, longest: int = 4) -> LanguageModel:
-    """Model from the rows with a language, outside the held-out fold."""
+#: Most different values of ``lang``: one row for each comes to the driver.
+MAX_LANGUAGES = 10_000
+
+
+def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 2_000, longest: int = 4, max_total: int = 100_000) -> LanguageModel:
+    """Model from the rows with a language, outside the held-out fold: from about ``max_docs`` texts of each language, and
+    ``max_total`` of all (beyond 50 languages each has its share of these), which bounds the model that is broadcast."""
     own = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(F.coalesce(fold("doc_id", folds), F.lit(0)) != held_out)
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: lang holds something else")
+    max_docs = min(max_docs, max(1, max_total // max(1, len(languages))))
     if not languages:
         return LanguageModel([], np.zeros(0), _log_table(np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0), 0), {})
     share = F.create_map(*[x for v, n in sizes.items() for x in (F.lit(v), F.lit(share_of_draws(max_docs, n)))])
-    sample = own.filter(draw("doc_id") < share[F.col("lang")])
+    # rows without an id are told apart by their texts; equal rows count once, so no group of copies breaks the bound
+    sample = own.filter(draw("doc_id", "text") < share[F.col("lang")]).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -15,7 +15,9 @@ texts are scored. Tokens and bigrams are known by 64-bit hashes.
 Edge cases. Null or empty text: the end token alone. No training documents: the
 uniform estimate alone (one unseen token), score 0. Repeated rows count each.
 Weights of a context bucket that no held-out token falls in are those of all
-buckets together. A null id is in no test fold and so trains.
+buckets together. A null id is in no test fold and so trains. Very long texts are
+scored whole. An empty table has no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ every row is indexed. The driver holds codebooks and one count for each cell.
 reranked is the same at every size.
 
 Edge cases. Vectors that are null, empty, zero or hold null or non-finite numbers
-take no part, nor do vectors of another length than most; nor rows without an
-id. Rows that repeat id and vector are one entry. Ties go to the smaller id.
+take no part, nor do vectors of another length than most (the shorter length if equally many); nor rows without an
+id. Finite numbers of any size count exactly. Other columns are ignored. Rows that repeat id and vector are one entry. Ties go to the smaller id.
 Fewer than k other entries: all of them. No valid rows: no result.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import cut
+from tillroll.llm.common import DRAWS, cut, draw, share_of_draws
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -46,12 +46,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def balanced(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1: exact, and no square of it
+    overflows or vanishes. Cosines do not change."""
+    if not rows.shape[-1]:
+        return rows
+    _, exponent = np.frexp(np.abs(rows).max(axis=-1, keepdims=True))
+    return np.ldexp(rows, -exponent)
+
+
 def cosine(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of each row with q; equal rows give equal results."""
+    rows, q = balanced(rows), balanced(q)
     return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * math.sqrt(float((q * q).sum())))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = balanced(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -118,7 +129,7 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part, written to the checkpoint folder."""
     v = F.col("v")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 1)
+    rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
                        & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     rows = cut(rows.distinct())
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -134,8 +145,8 @@ def search(df: DataFrame, is_query, k: int = 5, centroids: int = 64, probe: floa
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    share = int(1_000_000 * min(1.0, max_sample / n)) or 1
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).orderBy("vec_id").toPandas() if share < 1_000_000 else rows.orderBy("vec_id").toPandas()
+    share = share_of_draws(max_sample, n)
+    sample = (rows if share == DRAWS else rows.filter(draw("vec_id", "v") < share)).orderBy("vec_id").toPandas()
     if not len(sample):
         sample = rows.orderBy("vec_id").limit(1).toPandas()
     books = Codebooks(np.stack(sample["v"].to_numpy()), centroids, seed)
@@ -174,7 +185,8 @@ def search(df: DataFrame, is_query, k: int = 5, centroids: int = 64, probe: floa
                                                   pa.array([np.packbits(visit, axis=1).tobytes()], pa.binary())], names=["q_ids", "q_vectors", "visit"])
 
     queries = rows.filter(F.expr(is_query) if isinstance(is_query, str) else is_query).select("vec_id", "v")
-    blocks = queries.coalesce(max(1, math.ceil(n / 50 / block_queries))).mapInArrow(plan, "q_ids binary, q_vectors binary, visit binary")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(queries.count() / block_queries))
+    blocks = queries.coalesce(tasks).mapInArrow(plan, "q_ids binary, q_vectors binary, visit binary")
     blocks = cut(blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

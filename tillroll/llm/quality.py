@@ -12,7 +12,8 @@ train the forest and the weights; only their statistics are kept.
 Edge cases. Null and empty texts have all statistics 0 and get the score the
 rules give those. Labels of one kind only: the constant 0 or 1 of that kind; no
 labels: 0.5. Several label rows for an id: the largest. Repeated documents: each
-row has its score.
+row has its score. Very long texts are read whole. Empty tables: no rows, or the
+constant 0.5. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

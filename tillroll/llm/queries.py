@@ -13,10 +13,15 @@ from tillroll.llm.common import fold, table
 from tillroll.llm.oracle import ORACLE
 
 
+def _in_fold(n: int, k: int):
+    """Whether a document is in the k-th of n folds; one without an id is in none."""
+    return F.coalesce(fold("doc_id", n) == k, F.lit(False)).alias("held_out")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _in_fold(5, 0), "score", "predicted")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _in_fold(5, 0), "score", "predicted")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _in_fold(4, 2), "lang_pred", "score")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

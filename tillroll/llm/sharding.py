@@ -14,7 +14,8 @@ one row count for each partition.
 Law ``rows``: shard counts differ by at most one; where rows go depends on the
 seed only. Edge cases: null or empty text has size 1 and crc32 0; repeated rows
 are rows of their own; fewer rows than shards leaves shards empty; an empty
-table gives no rows.
+table gives no rows; very long texts travel whole. Other columns travel along;
+``shuffle_into_shards`` raises where one has the name of a column that it adds.
 """
 
 from __future__ import annotations

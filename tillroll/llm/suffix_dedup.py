@@ -24,7 +24,9 @@ surroundings of the passage fall apart into groups of their own.
 
 Edge cases. Null text counts as empty: 0 bytes, nothing removed. Texts shorter
 than ``length`` keep all bytes. Repeated rows and ids: each row is a document of
-its own, and equal texts of at least ``length`` bytes are removed entirely.
+its own, and equal texts of at least ``length`` bytes are removed entirely. Very
+long texts are worked off in blocks. An empty table gives no rows. Other columns are
+ignored, or kept by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ as an insult if its distinct contexts (word before, word after) inside toxic
 texts are significantly many for its frequency in clean texts. Counting contexts,
 not texts, keeps words that only near-copies of one toxic text share out.
 
-Bounds: at most ``max_train`` labelled texts (chosen by a hash of the id, so the
-same at every run) train the lexicon, at most ``max_terms`` words are learnt.
+Bounds: at most about ``max_train`` labelled texts (chosen by a hash, so the same at
+every run) train the lexicon; every word of theirs with enough evidence is learnt.
 Scoring reads every whole text and calls Python only for texts with a trigger.
 
 Typographic quotes, apostrophes and clause ends count as their ASCII forms, all
@@ -26,6 +26,8 @@ apostrophe parts words (l'idiot, idiot's) except in n't.
 Edge cases. Null and empty texts have mass 0 and the lowest score. Without
 labels of both kinds the seed lexicon and a fixed logistic are used. Repeated
 label rows for an id: toxic if any says so. Repeated documents: each row has its score.
+Very long texts are read whole. Empty tables: no rows. Other columns are ignored, or
+kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,17 +208,28 @@ class ToxicityModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """(text, y) of labelled texts outside the held-out fold, at most about max_train, chosen by a hash of the id."""
+    """(text, y) of labelled texts outside the held-out fold, at most about max_train, chosen by a hash.
+
+    Where documents share ids, so that more rows than that carry a chosen label, equal rows
+    count once and the different ones are drawn by a hash of id and text.
+    """
     known = (labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("y")).filter("doc_id is not null and y is not null")
              .filter(fold("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("y").alias("y")))
     n = known.count()
     if n > max_train:
         known = known.filter(draw("doc_id") < share_of_draws(max_train, n))
     # the sample has a bounded number of (id, label) rows, so it can go to every task
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    sent = F.broadcast(known)
+    found = docs.select("doc_id", "text").join(sent, "doc_id")
+    rows = docs.select("doc_id").join(sent, "doc_id").count()
+    if rows > max_train + max_train // 2:
+        found = found.distinct()  # equal rows meet before they are shuffled
+        rows = found.count()
+        found = found.filter(draw("doc_id", "text") < share_of_draws(max_train, rows))
+    return found.select("text", "y")
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int, least_evidence: float = 25.0, least_contexts: int = 4) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, least_evidence: float = 25.0, least_contexts: int = 4) -> dict[str, float]:
     """Words with far more distinct contexts in toxic texts than their frequency in clean texts suggests, with log-odds weights."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +260,9 @@ def learn_lexicon(sample: DataFrame, max_terms: int, least_evidence: float = 25.
     n = a + b
     evidence = 2 * (a * F.log(a / (n * share)) + F.when(b > 0, b * F.log(b / (n * (1 - share)))).otherwise(0.0))
     kept = (by_word.filter((a >= least_contexts) & (a / n > max(0.5, min(0.9, 2 * share)))).withColumn("e", evidence)
-            .filter(F.col("e") >= least_evidence).orderBy(F.desc("e"), "word").limit(max_terms))
+            .filter(F.col("e") >= least_evidence).orderBy(F.desc("e"), "word"))
     out = {}
-    for r in kept.collect():
+    for r in kept.collect():  # every word that passes; at most those of the bounded sample's toxic texts
         odds = math.log((r.a + 0.5) / (r.b + 0.5)) - math.log(share / (1 - share))
         out[r.word] = min(3.0, max(0.2, odds / 3))
     return out
@@ -270,10 +283,10 @@ def fit_logistic(mass: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float =
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms: int = 2_000, label: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, label: str = "toxic") -> ToxicityModel:
     """Model from the labelled documents outside the held-out fold."""
     sample = training_sample(docs, labels, label, max_train)
-    learnt = learn_lexicon(sample, max_terms)
+    learnt = learn_lexicon(sample)
     insults = {w: 1.0 for w in SEED_INSULTS} | {w: v for w, v in learnt.items() if w not in TARGETS + NEGATIONS + REPORTS + SEED_THREATS}
     model = ToxicityModel(insults, {w: 1.0 for w in SEED_THREATS})
     blank = ToxicityModel(model.insults, model.threats)
