@@ -195,7 +195,7 @@ def test_one_row_of_each_group_whatever_its_id(spark):
 @pytest.mark.parametrize("hot", [2, 8_192])
 def test_hot_shingles_in_pieces_give_the_same_groups(spark, hot, monkeypatch):
     plain = jaccard_join.links
-    monkeypatch.setattr(jaccard_join, "links", lambda c, s, rounds=1: plain(c, s, rounds, hot=hot))
+    monkeypatch.setattr(jaccard_join, "links", lambda c, s, rounds=1, tasks=None: plain(c, s, rounds, hot=hot, tasks=tasks))
     rng = random.Random(8)
     base = H.prose(rng, 60)
     rows = [(i, " ".join([*base.split()[:50 + i % 9], *H.prose(rng, 8).split()])) for i in range(60)] + [(100 + i, H.prose(rng, 40)) for i in range(20)]

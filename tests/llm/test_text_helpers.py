@@ -63,8 +63,8 @@ def test_pieces_grow_in_proportion(spark, monkeypatch):
     rng, found = random.Random(4), []
     for n in (150, 600):
         docs = H.docs(spark, [(i, H.prose(rng, 600, 10**6)) for i in range(n)]).select("doc_id", "text").coalesce(1)
-        chunks = ch.make_chunks(docs)
-        found.append(ch.tally(chunks, word_counts(), ch.bucket_count(chunks, 6_000)).count())
+        size = ch.text_bytes(docs)
+        found.append(ch.tally(ch.make_chunks(docs, size), word_counts(), ch.bucket_count(size, 6_000), strips=ch.strip_count(size)).count())
     assert found[0] > 1_000 and 3 < found[1] / found[0] < 5
 
 
@@ -85,7 +85,7 @@ def test_tally_equals_a_plain_count(spark, strips, chunk_bytes):
     rows = [(i, H.prose(rng, 200, 50)) for i in range(40)] + [(99, None)]
     if chunk_bytes > ch.BLOCK:  # a chunk of several blocks
         rows += [(100 + i, H.prose(rng, 60_000, 50)) for i in range(36)]
-    chunks = ch.make_chunks(H.docs(spark, rows).select("doc_id", "text").repartition(3), chunk_bytes=chunk_bytes)
+    chunks = ch.make_chunks(H.docs(spark, rows).select("doc_id", "text").repartition(3), 10**6, chunk_bytes=chunk_bytes)
     assert chunks.count() > 5 or chunk_bytes > 3_000
 
     def check(block):

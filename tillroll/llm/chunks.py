@@ -87,19 +87,26 @@ def chunk_size(n_bytes: int) -> int:
     return max(CHUNK, math.isqrt(n_bytes * PIECE))
 
 
+def task_count(rows: DataFrame, n_bytes: int) -> int:
+    """Tasks that some bytes of input are worth, one for each core at least: the most files of what is written of them."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / (4 * CHUNK)))
+
+
 def text_bytes(rows: DataFrame, size_col: str = "text") -> int:
     """Bytes of a column, summed in one pass."""
     return rows.agg(F.sum(F.octet_length(size_col)).alias("n")).first().n or 0
 
 
-def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int | None = None, write: bool = True) -> DataFrame:
-    """All rows in chunks of about chunk_bytes of ``size_col`` (by default ``chunk_size`` of all), written to the checkpoint folder.
+def make_chunks(rows: DataFrame, n_bytes: int, size_col: str = "text", chunk_bytes: int | None = None, write: bool = True) -> DataFrame:
+    """All rows in chunks of about ``chunk_size(n_bytes)`` bytes of ``size_col``, written to the checkpoint folder.
+
+    ``n_bytes``: bytes of that column in all (``text_bytes``).
 
     ``write=False`` only if the rows come straight from files written before, so
     that a repeated task packs the same rows into the same chunks.
     """
 
-    chunk_bytes = chunk_bytes or chunk_size(text_bytes(rows, size_col))
+    chunk_bytes = chunk_bytes or chunk_size(n_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, i = task_partition(), 0
@@ -109,15 +116,16 @@ def make_chunks(rows: DataFrame, size_col: str = "text", chunk_bytes: int | None
                 [pa.array([(p << 32) + i]), pa.array([b.num_rows]), pa.array([col.nbytes]), pa.array([pack_rows(b)], pa.binary())],
                 names=["chunk", "n_rows", "n_bytes", "payload"])
             i += 1
+        give_back()
 
-    packed = rows.mapInArrow(run, CHUNKS)
+    packed = rows.coalesce(max(task_count(rows, n_bytes), math.ceil(n_bytes / chunk_bytes))).mapInArrow(run, CHUNKS)
     return cut(packed) if write else packed
 
 
 def _regroup(batches, size_col: str, chunk_bytes: int):
     """Join small batches up to the chunk size; large ones are cut."""
     held, size = [], 0
-    for b in slices(batches, size_col, chunk_bytes):
+    for b in slices(batches, size_col, chunk_bytes, last=False):
         n = b.column(b.schema.get_field_index(size_col)).nbytes
         if held and size + n > chunk_bytes:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -136,14 +144,14 @@ def blocks(rows: pa.RecordBatch, size_col: str) -> Iterator[tuple[int, pa.Record
         at += b.num_rows
 
 
-def bucket_count(chunks: DataFrame, bytes_per_bucket: int) -> int:
-    """Number of key ranges: one for so many bytes of chunks, fewer where the chunks outgrow ``CHUNK``."""
-    size = chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0
-    return max(1, math.ceil(size * CHUNK / bytes_per_bucket / chunk_size(size)))
+def bucket_count(n_bytes: int, bytes_per_bucket: int) -> int:
+    """Number of key ranges: one for so many bytes of the chunks, fewer where the chunks outgrow ``CHUNK``."""
+    return max(1, math.ceil(n_bytes * CHUNK / bytes_per_bucket / chunk_size(n_bytes)))
 
 
-def strip_count(chunks_bytes: int) -> int:
-    return max(1, round(chunk_size(chunks_bytes) / CHUNK))
+def strip_count(n_bytes: int) -> int:
+    """In how many parts a range is summed, one after the other."""
+    return max(1, round(chunk_size(n_bytes) / CHUNK))
 
 
 def edges_of(n: int) -> np.ndarray:
@@ -180,7 +188,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def tally(chunks: DataFrame, prepare: Prepare, n_buckets: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
-          summary: Callable | None = None, size_col: str = "text", strips: int | None = None) -> DataFrame:
+          summary: Callable | None = None, size_col: str = "text", strips: int = 1) -> DataFrame:
     """Rows (chunk, bucket, totals): ``answer`` (by default the sum) for each key of the chunk in that range.
 
     ``prepare``: a block of rows -> ascending distinct keys, their non-negative integer
@@ -188,10 +196,8 @@ def tally(chunks: DataFrame, prepare: Prepare, n_buckets: int, answer: Callable[
     ``answer(sums, own, first)``: what a chunk gets back for its keys, given the global
     sums, its own values and whether it is the first chunk that has the key.
     ``summary(keys, sums)``: extra bytes for a strip of a range, in a row with chunk -1.
-    ``strips``: in how many parts a range is summed, one after the other.
+    ``strips``: in how many parts a range is summed (``strip_count``).
     """
-    if strips is None:
-        strips = strip_count(chunks.agg(F.sum("n_bytes").alias("n")).first().n or 0)
     lower = edges_of(n_buckets * strips)
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,13 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Write the rows to the cluster's checkpoint folder and read them back.
 
     Later jobs read the files; a lost executor costs a reread, not a recompute.
+    ``tasks``: the most files, for tables that are small for their number of shuffle partitions.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(tasks) if tasks else df).checkpoint(eager=True)
 
 
 def fold(doc_id, n: int):

@@ -109,14 +109,14 @@ class _Prefixes:
         self.found = np.bincount(where, minlength=len(self.keys))
 
 
-def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
+def active_documents(chunks: DataFrame, n_bytes: int, sim: Similarity, n: int) -> DataFrame:
     """All documents with the size of their set; active ones have a key, and the first of each class carries the set."""
 
     def prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _Prefixes]:
         p = _Prefixes(rows.column("text"), sim, n)
         return p.keys, np.minimum(p.found, 2), p
 
-    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 6 << 20), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
+    totals = ch.tally(chunks, prepare, ch.bucket_count(n_bytes, 6 << 20), strips=ch.strip_count(n_bytes), answer=lambda sums, own, first: np.concatenate([sums > 1, first[:, None]], axis=1).astype(np.int64))
 
     def mark(block: ch.Block) -> pa.Table:
         p, total, rows = block.own, block.total, block.rows
@@ -130,7 +130,7 @@ def active_documents(chunks: DataFrame, sim: Similarity, n: int) -> DataFrame:
         return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "chunk": np.full(len(place), block.chunk), "row": place, "n_shingles": p.counts,
                          "key": pa.array([k if on else None for k, on in zip(p.set_keys, active.tolist())], pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return cut(ch.with_totals(chunks, totals, prepare, mark, _ACTIVE, 2))
+    return cut(ch.with_totals(chunks, totals, prepare, mark, _ACTIVE, 2), ch.task_count(chunks, n_bytes))
 
 
 def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -139,13 +139,14 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
     ``first``/``second``: the shared shingles of the prefix under two rarity
     orders, the first with their places in the whole ordered set.
     """
-    chunks = ch.make_chunks(classes.select("key", "shingles"), "shingles", write=False)
+    n_bytes = ch.text_bytes(classes, "shingles")
+    chunks = ch.make_chunks(classes.select("key", "shingles"), n_bytes, "shingles", write=False)
 
     def prepare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         every, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]), return_counts=True)
         return every, counts, every
 
-    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 6 << 20), size_col="shingles")
+    totals = ch.tally(chunks, prepare, ch.bucket_count(n_bytes, 6 << 20), strips=ch.strip_count(n_bytes), size_col="shingles")
 
     def choose(block: ch.Block) -> pa.Table:
         rows, every, total = block.rows, block.own, block.total
@@ -166,7 +167,8 @@ def class_prefixes(classes: DataFrame, sim: Similarity) -> DataFrame:
         return pa.table({"key": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("df", pa.int64())]))),
                          "second": pa.array(cols[3], pa.binary()), "shingles": pa.array(cols[4], pa.binary())})
 
-    return cut(ch.with_totals(chunks, totals, prepare, choose, "key binary, n long, first array<struct<shingle: long, at: int, df: long>>, second binary, shingles binary", size_col="shingles"))
+    return cut(ch.with_totals(chunks, totals, prepare, choose, "key binary, n long, first array<struct<shingle: long, at: int, df: long>>, second binary, shingles binary", size_col="shingles"),
+               ch.task_count(chunks, n_bytes))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
@@ -220,25 +222,26 @@ def _pivot_pairs(own: DataFrame, sim: Similarity, salts: int, hot: int) -> DataF
                                                 F.col("p.at").alias("ia"), F.col("at").alias("ib")).filter(_fit(sim)))
 
 
-def _open_pairs(classes: DataFrame, own: DataFrame, sim: Similarity) -> DataFrame:
+def _open_pairs(classes: DataFrame, own: DataFrame, sim: Similarity, tasks: int | None) -> DataFrame:
     """All pairs with a common prefix shingle whose classes are in different components."""
     # a shingle whose classes are all in one component has no open pair
     open_ = own.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("shingle")
     rest = own.join(open_, "shingle").join(classes.select("key", "first"), "key")
-    rest = cut(rest.select("key", "n", "part", "shingle", "at", F.slice("first.shingle", F.lit(1), F.col("i")).alias("before")))
+    rest = cut(rest.select("key", "n", "part", "shingle", "at", F.slice("first.shingle", F.lit(1), F.col("i")).alias("before")), tasks)
     x, y = (rest.select("shingle", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"part{c}"), F.col("at").alias(f"i{c}"),
                         F.col("before").alias(f"before{c}")) for c in "ab")
     # a pair comes out once, at its first common shingle
     return x.join(y, "shingle").filter("parta < partb").filter(_fit(sim)).filter(~F.arrays_overlap("beforea", "beforeb"))
 
 
-def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 3, hot: int = 8_192) -> DataFrame:
-    """(node, root) of the classes' components: ``rounds`` with pivots, then one with all open pairs."""
+def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 3, hot: int = 8_192, tasks: int | None = None) -> DataFrame:
+    """(node, root) of the classes' components: ``rounds`` with pivots, then one with all open pairs.
+    ``tasks``: the most files of each table that is written on the way."""
     found, parts = None, None
     for r in range(rounds + 1):
         own = _indexed(classes, parts, hot)
-        pairs = _pivot_pairs(own, sim, salts, hot) if r < rounds else _open_pairs(classes, own, sim)
-        checked = cut(_verify(pairs.select("a", "b").distinct(), classes, sim))
+        pairs = _pivot_pairs(own, sim, salts, hot) if r < rounds else _open_pairs(classes, own, sim, tasks)
+        checked = cut(_verify(pairs.select("a", "b").distinct(), classes, sim), tasks)
         found = checked if found is None else found.unionByName(checked)
         roots = components(found)
         parts = (classes.select("key").join(roots, F.col("key") == F.col("node"), "left")
@@ -246,13 +249,13 @@ def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 3,
     return roots
 
 
-def _members(active: DataFrame, sim: Similarity, rounds: int, first) -> DataFrame:
+def _members(active: DataFrame, sim: Similarity, rounds: int, first, tasks: int) -> DataFrame:
     """(key, found): for every class the smallest ``first`` (an aggregate over rows) of its component."""
     classes = active.filter("key is not null").groupBy("key").agg(first.alias("first"))
-    roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds)
+    roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds, tasks=tasks)
     # both sides of the last join are written: AQE splits a component that a third of all classes are in
-    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")))
-    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")))
+    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), tasks)
+    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")), tasks)
     return member.select("key", "root").join(smallest, "root").select("key", "found")
 
 
@@ -260,10 +263,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, rounds: i
     """One row per document: size of its shingle set and the smallest doc_id that similarity links reach."""
     sim = Similarity(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    active = active_documents(ch.make_chunks(rows), sim, n)
-    of_key = _members(active, sim, rounds, F.min("doc_id"))
+    n_bytes = ch.text_bytes(rows)
+    tasks = ch.task_count(rows, n_bytes)
+    active = active_documents(ch.make_chunks(rows, n_bytes), n_bytes, sim, n)
+    of_key = _members(active, sim, rounds, F.min("doc_id"), tasks)
     return (active.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id")).coalesce(tasks))
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5, rounds: int = 1) -> DataFrame:
@@ -274,10 +279,12 @@ def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5, rounds: i
     Links are found and rows chosen on ids and keys alone; the rows themselves stay in their chunks until then.
     """
     sim = Similarity(percent)
-    chunks = ch.make_chunks(docs)
-    active = active_documents(chunks.select("chunk", "n_bytes", "payload"), sim, n)
+    n_bytes = ch.text_bytes(docs)
+    tasks = ch.task_count(docs, n_bytes)
+    chunks = ch.make_chunks(docs, n_bytes)
+    active = active_documents(chunks.select("chunk", "payload"), n_bytes, sim, n)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "chunk", "row")
-    of_key = _members(active, sim, rounds, F.min(place))
+    of_key = _members(active, sim, rounds, F.min(place), tasks)
     dropped = (active.filter("key is not null").select("key", place.alias("own")).join(of_key, "key").filter("own <> found")
                .groupBy("own.chunk").agg(F.collect_list("own.row").alias("rows")))
 
@@ -291,4 +298,4 @@ def keep_one_per_group(docs: DataFrame, percent: int = 75, n: int = 5, rounds: i
                     kept = kept.filter(pa.array(stay))
                 yield kept
 
-    return chunks.select("chunk", "payload").join(dropped, "chunk", "left").select("payload", "rows").mapInArrow(rest, docs.schema)
+    return chunks.select("chunk", "payload").join(dropped, "chunk", "left").select("payload", "rows").coalesce(tasks).mapInArrow(rest, docs.schema)

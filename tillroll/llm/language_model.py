@@ -134,11 +134,11 @@ def score_corpus(docs: DataFrame, folds: int = 5, test: int = 1, deleted: int =
             .when(F.pmod(F.xxhash64("doc_id"), F.lit(deleted)) == 0, DELETED).otherwise(RETAINED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), role.alias("role"))
     # held-out documents have chunks of their own: the weights need only these
-    size = ch.chunk_size(ch.text_bytes(rows))
-    held = ch.make_chunks(rows.filter(F.col("role") == DELETED), chunk_bytes=size)
-    rest = ch.make_chunks(rows.filter(F.col("role") != DELETED), chunk_bytes=size).withColumn("chunk", F.col("chunk") + F.lit(1 << 62))
+    n_bytes = ch.text_bytes(rows)
+    held = ch.make_chunks(rows.filter(F.col("role") == DELETED), n_bytes)
+    rest = ch.make_chunks(rows.filter(F.col("role") != DELETED), n_bytes).withColumn("chunk", F.col("chunk") + F.lit(1 << 62))
     chunks = held.unionByName(rest)
-    totals = cut(ch.tally(chunks, _prepare, ch.bucket_count(chunks, 4 << 20), summary=_summary))
+    totals = cut(ch.tally(chunks, _prepare, ch.bucket_count(n_bytes, 4 << 20), summary=_summary, strips=ch.strip_count(n_bytes)), ch.task_count(rows, n_bytes))
     parts = [np.frombuffer(r.totals, "<i8") for r in totals.filter("chunk = -1").select("totals").collect()]  # four numbers for each key range
     retained, dropped, vocabulary, seen = np.sum(parts, axis=0).tolist() if parts else (0, 0, 0, 0)
     n_docs = {r.role: r.n for r in rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}

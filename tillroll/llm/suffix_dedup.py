@@ -46,7 +46,9 @@ from tillroll.llm.common import cut
 from tillroll.llm.run_index import RunIndex
 from tillroll.llm.words import TextBatch, U64, _power_tables, give_back, mix, ramp
 
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
+#: Bytes of contexts that are indexed together (an index takes about 100 times as much while it is made).
+INDEX_BYTES = 600_000
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
@@ -123,7 +125,7 @@ def _context_keys(batch: TextBatch, c: Contexts, length: int) -> np.ndarray:
     return mix(batch.hashes(c.first, c.first + c.count + length - 1) ^ mix(c.key ^ (c.anchor - c.first).astype(U64)))
 
 
-def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block: int, group_bytes: int) -> DataFrame:
+def repeated_ranges(chunks: DataFrame, n_bytes: int, length: int, gram: int, hot: int, block: int, group_bytes: int) -> DataFrame:
     """(chunk, row, start, spans): byte ranges of the chunked texts that repeat, as (offset, size) pairs from start; they may overlap."""
     odd = U64(1)
 
@@ -134,7 +136,7 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
         keys, one, where, n = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True, return_counts=True)
         return keys, n, (c, whole, one, where)
 
-    totals = ch.tally(chunks, prepare, ch.bucket_count(chunks, 64 << 20),
+    totals = ch.tally(chunks, prepare, ch.bucket_count(n_bytes, 64 << 20), strips=ch.strip_count(n_bytes),
                       answer=lambda sums, own, first: np.concatenate([np.where(sums > 1, sums, 0), first[:, None]], axis=1))
 
     def candidates(block_: ch.Block) -> pa.Table:
@@ -154,7 +156,7 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
                          "windows": pa.array(count), "copies": pa.array(copies[row]), "chunk": pa.array(np.full(len(row), block_.chunk)),
                          "row": pa.array(c.text[row] + block_.first_row), "start": pa.array(first - batch.starts[c.text[row]])})
 
-    found = cut(ch.with_totals(chunks, totals, prepare, candidates, "grp long, digest long, data binary, windows long, copies long, chunk long, row long, start long", 2))
+    found = cut(ch.with_totals(chunks, totals, prepare, candidates, "grp long, digest long, data binary, windows long, copies long, chunk long, row long, start long", 2), ch.task_count(chunks, n_bytes))
     contexts = found.filter("data is not null").select("grp", "digest", "data")
     size = contexts.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
     groups = max(1, math.ceil(size / group_bytes))
@@ -164,12 +166,12 @@ def repeated_ranges(chunks: DataFrame, length: int, gram: int, hot: int, block:
         data, group = t.column("data").to_pylist(), np.asarray(t.column("grp"))
         spans: list[list[int]] = [[] for _ in data]
         edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(data))
-        # whole groups together, about 1.5 MB an index; a context alone in its group has no match elsewhere
+        # whole groups together, about INDEX_BYTES an index; a context alone in its group has no match elsewhere
         several = [(a, z) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()) if z - a > 1]
         held: list[int] = []
         size = 0
         for a, z in [*several, (None, None)]:
-            if held and (a is None or size > 1_500_000):
+            if held and (a is None or size > INDEX_BYTES):
                 _mark(held, data, spans, length)
                 held, size = [], 0
             if a is not None:
@@ -222,8 +224,9 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
 
     ``least_words``: repeated runs of fewer words and of less than ``long_bytes`` bytes stay.
     """
-    chunks = ch.make_chunks(docs)
-    ranges = repeated_ranges(chunks.select("chunk", "n_bytes", "payload"), length, gram, hot, block, group_bytes)
+    n_bytes = ch.text_bytes(docs)
+    chunks = ch.make_chunks(docs, n_bytes)
+    ranges = repeated_ranges(chunks.select("chunk", "payload"), n_bytes, length, gram, hot, block, group_bytes)
     back = ranges.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "spans")).alias("found"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +246,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int = 4
                 added = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())))
                 doc = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
                 yield pa.RecordBatch.from_arrays([doc, *added], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+        give_back()
 
     schema = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(k, t) for k, t in (
         ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType()), ("kept_text", T.StringType())))])

@@ -188,7 +188,9 @@ ramp = _ramp
 
 
 def give_back() -> None:
-    """Return freed memory to the system: Python workers outlive their tasks."""
+    """Return memory to the system at a task's end, tables of powers too: Python workers outlive their tasks."""
+    for tables in (_powers, _prime_powers):
+        tables.update(n=0, pow=None, inv=None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -196,8 +198,11 @@ def give_back() -> None:
         pass
 
 
-def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20):
-    """Cut an iterator of record batches so that each holds about max_bytes of text (one row at least)."""
+def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20, last: bool = True):
+    """Cut an iterator of record batches so that each holds about max_bytes of text (one row at least).
+
+    ``last``: the task has nothing else to do with texts afterwards.
+    """
     for b in batches:
         n = b.num_rows
         if not n:
@@ -207,4 +212,5 @@ def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20):
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, z in zip(np.append(0, cuts), np.append(cuts, n)):
             yield b.slice(int(a), int(z - a))
-    give_back()
+    if last:
+        give_back()
