@@ -7,8 +7,8 @@ Settings that matter at scale, and why:
   shuffle partition holding a hot key is split across tasks.
 - Python call-site capture off: it costs a JVM round trip per API call
   while a plan is built; errors still carry the JVM-side context.
-- ``spark.checkpoint.dir``: respected when the cluster sets it; only a local
-  run without one gets a fresh scratch folder.
+- ``spark.checkpoint.dir``: respected when the cluster sets it; only a session of
+  this process alone (``local[n]``) gets a fresh scratch folder without one.
 """
 
 from __future__ import annotations
@@ -42,13 +42,17 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint dir; set a fresh local one only when unset."""
+    """The configured checkpoint folder. A session that runs in this process alone gets a fresh
+    scratch folder where none is set; on a cluster that is an error, as executors and driver
+    have to share the folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
