@@ -65,6 +65,8 @@ def clause_mass(model, text):
                 continue
             weight = model.threats[w] if threat else weight
             is_n, is_t, is_r = (lambda v: v in toxicity.NEGATIONS), (lambda v: v in toxicity.TARGETS), (lambda v: v in toxicity.REPORTS or v == '"')
+            if not threat and any(v in model.insults for v in words[:i]):
+                weight *= 0.5
             if any(map(is_n, near)):
                 weight *= 0.1
             if any(map(is_r, words[:i])):
@@ -89,7 +91,7 @@ def test_toxicity_scores_equal_plain_ones(spark, documents, toxic_model):
     for d, text in [*documents]:
         assert got[d].score == pytest.approx(plain_score(toxic_model, text), abs=1e-9)
         assert got[d].predicted == (got[d].score >= 0.5) and got[d].held_out == (H.fold(d, 5) == 0)
-    rude = ["you idiot", "he said you are an idiot", "not an idiot", "kill you. you kill", "they will not kill time", 'the "idiot" of them', "idiots idiot IDIOT!"]
+    rude = ["you idiot", "he said you are an idiot", "not an idiot", "kill you. you kill", "they will not kill time", 'the "idiot" of them', "idiots idiot IDIOT!", "Du Trottel", "tu n'es pas un crétin", "él dijo basura", "nicht dumb idiot"]
     for t, (m, _) in zip(rude, [toxic_model.masses(pa.array([t])) for t in rude]):
         assert m[0] == pytest.approx(clause_mass(toxic_model, t))
 

@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon maps words to symbols: insult (I), threat (H), target (T), negation
-(N), reported speech (R); everything else is a filler (o). Four weighted
+(N), reported speech (R); everything else is a filler (o). Five weighted
 transducers each read a clause's symbols and put a factor on every insult or
-threat: ``negation`` (a negation shortly before), ``report`` (a reporting verb
-or a quotation mark earlier in the clause), ``target`` (a target shortly
-before), ``threat`` (a threat word counts in full only after a target or before
-one). Their composition runs all four at once; the weight of a matched clause is
-the sum over its insults and threats of word weight times factors. A text's mass
-is the sum of its clauses' weights; its score is a logistic of the mass.
-
-Word weights come from a seed lexicon and from labelled texts: a word is learnt
+threat: ``insult`` (the first insult of a clause counts in full, further ones by
+half), ``threat`` (a threat word counts in full only shortly after a target),
+``target`` (a target shortly before), ``negation`` (a negation shortly before) and
+``report`` (a reporting verb or a quotation mark earlier in the clause). Their
+composition runs all five at once; the weight of a matched clause is the sum over
+its insults and threats of word weight times factors. A text's mass is the sum of
+its clauses' weights; its score is a logistic of the mass.
+
+The grammar's words and the seed lexicon are English, German, French and Spanish;
+words of insult in any language are learnt from labelled texts: a word is learnt
 as an insult if its distinct contexts (word before, word after) inside toxic
 texts are significantly many for its frequency in clean texts. Counting contexts,
 not texts, keeps words that only near-copies of one toxic text share out.
@@ -46,13 +48,33 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import draw, fold, share_of_draws
 from tillroll.llm.words import TextBatch, byte_class, slices
 
-#: Seed lexicon (fixed values), English.
-SEED_INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless",
-                "disgusting", "clown", "dumb", "fool", "imbecile", "vermin", "filth")
-SEED_THREATS = ("kill", "hurt", "destroy", "beat", "stab", "shoot", "burn", "strangle")
-TARGETS = ("you", "your", "he", "she", "they", "them", "him", "her", "this", "that", "these", "those")
-NEGATIONS = ("not", "never", "no", "without", "isn't", "aren't", "wasn't", "don't", "doesn't", "didn't")
-REPORTS = ("said", "says", "claimed", "claims", "reported", "quoted", "alleged", "accused", "called", "wrote")
+#: The seed lexicon and the grammar's words, by language.
+SEED_INSULTS = (
+    "idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless",
+    "disgusting", "clown", "dumb", "fool", "imbecile", "vermin", "filth",
+    "idioten", "dummkopf", "trottel", "abschaum", "versager",
+    "imbécile", "crétin", "abruti", "ordure",
+    "imbécil", "estúpido", "estúpida", "escoria", "basura")
+SEED_THREATS = (
+    "kill", "hurt", "destroy", "beat", "stab", "shoot", "burn", "strangle",
+    "töte", "umbringen", "erschießen", "verprügeln",
+    "tuer", "frapper", "brûler", "étrangler",
+    "matar", "golpear", "quemar", "estrangular")
+TARGETS = (
+    "you", "your", "he", "she", "they", "them", "him", "her", "this", "that", "these", "those",
+    "du", "dich", "dir", "euch", "ihr", "ihn", "ihm", "sie",
+    "tu", "te", "toi", "vous", "il", "elle", "ils", "elles", "eux",
+    "tú", "usted", "ustedes", "él", "ella", "ellos", "ellas")
+NEGATIONS = (
+    "not", "never", "no", "without", "isn't", "aren't", "wasn't", "don't", "doesn't", "didn't",
+    "nicht", "kein", "keine", "nie", "niemals", "ohne",
+    "pas", "jamais", "sans", "aucun", "aucune",
+    "nunca", "jamás", "sin", "tampoco")
+REPORTS = (
+    "said", "says", "claimed", "claims", "reported", "quoted", "alleged", "accused", "called", "wrote",
+    "sagte", "sagt", "behauptete", "behauptet", "nannte", "schrieb",
+    "dit", "disait", "affirme", "prétend", "écrit",
+    "dijo", "dice", "afirma", "afirmó", "escribió")
 
 #: What becomes of characters that are neither letters nor ASCII, in this order: invisible ones inside words go,
 #: apostrophes, quotation marks and clause ends get their ASCII form, others and marks without a letter are spaces.
@@ -136,13 +158,14 @@ def _after(trigger: str, on: str, factor: float) -> Transducer:
     return Transducer(False, lambda seen, s: (seen or s == trigger, factor if seen and s in on else 1.0))
 
 
-def grammar(negated: float = 0.1, reported: float = 0.5, targeted: float = 1.5, untargeted_threat: float = 0.3, reach: int = 3) -> Transducer:
+def grammar(negated: float = 0.1, reported: float = 0.5, targeted: float = 1.5, untargeted_threat: float = 0.3, repeated: float = 0.5, reach: int = 3) -> Transducer:
     """The composed clause grammar."""
+    insult = _after("I", "I", repeated)
     negation = _near("N", "IH", negated, reach)
     report = _after("R", "IH", reported)
     target = _near("T", "IH", targeted, reach)
     threat = Transducer(0, lambda left, s: (reach if s == "T" else max(0, left - 1), untargeted_threat if s == "H" and not left else 1.0))
-    return (negation @ report @ target @ threat).compiled()
+    return (insult @ threat @ target @ negation @ report).compiled()
 
 
 @dataclass
