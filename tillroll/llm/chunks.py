@@ -89,7 +89,7 @@ def chunk_size(n_bytes: int) -> int:
 
 def task_count(rows: DataFrame, n_bytes: int) -> int:
     """Tasks that some bytes of input are worth, one for each core at least: the most files of what is written of them."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / (4 * CHUNK)))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / (16 * CHUNK)))
 
 
 def text_bytes(rows: DataFrame, size_col: str = "text") -> int:

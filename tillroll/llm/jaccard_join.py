@@ -18,7 +18,7 @@ before a pair is verified.
 3. Candidate pairs share a prefix shingle under the first rarity order, meet the
    size and positional bounds there, and must share one under the second; then the
    sets are compared.
-   First each shingle's classes are compared with up to three pivot classes only, and
+   First each shingle's classes are compared with one or two pivot classes only, and
    verified links are merged into components. The last round compares every remaining
    pair of classes with a common prefix shingle that are still in different components.
    A group of m near-copies thus costs about m comparisons instead of m * m, and no
@@ -211,11 +211,13 @@ def _indexed(classes: DataFrame, parts: DataFrame | None, hot: int) -> DataFrame
 
 
 def _pivot_pairs(own: DataFrame, sim: Similarity, salts: int, hot: int) -> DataFrame:
-    """Pairs of each class with the pivots of its shingles: for each salt the class whose salted hash is smallest, the
-    same one for all shingles that the same classes share. At most ``salts`` pairs for each index row."""
-    order = lambda s: F.min(F.struct(F.xxhash64("key", F.lit(s)).alias("h"), "key", "n", "at", "part")).alias(f"p{s}")
+    """Pairs of each class with the pivots of its shingles: first the class with the fewest rarer shingles, which in a
+    group of near-copies has the fewest changes and is close to most of them; then, for each further salt, the one whose
+    salted hash is smallest, the same for all shingles that the same classes share. At most ``salts`` pairs for each index row."""
+    order = lambda s: F.min(F.struct(*([] if s else ["at"]), F.xxhash64("key", F.lit(s)).alias("h"), "key", "n", *(["at"] if s else []), "part")).alias(f"p{s}")
+    same = lambda s: F.struct(*(F.col(f"p{s}.{c}").alias(c) for c in ("key", "n", "at", "part")))
     pivots = (own.groupBy("shingle").agg(*[order(s) for s in range(salts)], F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("df").alias("df"))
-              .filter("lo <> hi").select("shingle", F.array(*[f"p{s}" for s in range(salts)]).alias("pivots"),
+              .filter("lo <> hi").select("shingle", F.array(*[same(s) for s in range(salts)]).alias("pivots"),
                                          F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / hot).cast("int") - 1)).alias("piece")))
     met = own.select("shingle", "piece", "key", "n", "at", "part").join(pivots, ["shingle", "piece"]).select("*", F.explode(F.array_distinct("pivots")).alias("p"))
     return (met.filter("part <> p.part").select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"),
@@ -234,10 +236,11 @@ def _open_pairs(classes: DataFrame, own: DataFrame, sim: Similarity, tasks: int
     return x.join(y, "shingle").filter("parta < partb").filter(_fit(sim)).filter(~F.arrays_overlap("beforea", "beforeb"))
 
 
-def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 3, hot: int = 8_192, tasks: int | None = None) -> DataFrame:
+def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 2, hot: int = 8_192, tasks: int | None = None) -> DataFrame:
     """(node, root) of the classes' components: ``rounds`` with pivots, then one with all open pairs.
-    ``tasks``: the most files of each table that is written on the way."""
+    ``tasks``: the most files of each table that is written on the way; pairs and links are narrow and take fewer."""
     found, parts = None, None
+    tasks = tasks and max(1, tasks // 4)
     for r in range(rounds + 1):
         own = _indexed(classes, parts, hot)
         pairs = _pivot_pairs(own, sim, salts, hot) if r < rounds else _open_pairs(classes, own, sim, tasks)
@@ -254,8 +257,8 @@ def _members(active: DataFrame, sim: Similarity, rounds: int, first, tasks: int)
     classes = active.filter("key is not null").groupBy("key").agg(first.alias("first"))
     roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds, tasks=tasks)
     # both sides of the last join are written: AQE splits a component that a third of all classes are in
-    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), tasks)
-    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")), tasks)
+    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), max(1, tasks // 4))
+    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")), max(1, tasks // 4))
     return member.select("key", "root").join(smallest, "root").select("key", "found")
 
 

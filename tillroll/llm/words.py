@@ -2,9 +2,9 @@
 
 A ``TextBatch`` holds whole texts as one byte array; words and n-grams are found
 and hashed for all texts of the batch at once. Hashes are 64-bit, equal on every
-machine, and depend only on the bytes. They mix two polynomials of the bytes, one
-modulo 2**64 and one modulo the prime 2**31 - 1: the first alone gives some regular
-strings of a thousand bytes the same value whatever its base, the second does not.
+machine, and depend only on the bytes: a polynomial of them modulo 2**64. That alone
+gives some regular strings of a thousand bytes the same value whatever its base, so
+long strings are told apart by a second one, modulo the prime 2**31 - 1.
 Null texts count as empty.
 """
 
@@ -22,6 +22,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _NGRAM = U64(0xD6E8FEB86659FD93)
 _PRIME = (1 << 31) - 1
 _PRIME_BASE = 0x3C6EF35F
+_LONG = 128  # bytes of a string beyond which the second polynomial counts
 _PRIME_INV = pow(_PRIME_BASE, -1, _PRIME)
 
 #: ASCII white space, upper-case letters, and the bytes that are in no benchmark word.
@@ -79,6 +80,16 @@ def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _prime_powers["pow"], _prime_powers["inv"]
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, by adding the digits to the base 2**31 (in place)."""
+    for _ in range(3):
+        high = x >> U64(31)
+        x &= U64(_PRIME)
+        x += high
+    x[x == U64(_PRIME)] = 0
+    return x
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser: spreads every input bit over the word."""
     h = h ^ (h >> U64(30))
@@ -127,17 +138,36 @@ class TextBatch:
         """64-bit hash of each byte range; equal for equal bytes."""
         power, inverse = _power_tables(len(self.buf) + 1)
         if self._sums is None:
-            self._sums = np.zeros(len(self.buf) + 1, dtype=U64)
-            np.cumsum((self.buf.astype(U64) + U64(1)) * power[:len(self.buf)], out=self._sums[1:])
+            self._sums = self._running_sums(power)
+        size = ends - starts
         h = (self._sums[ends] - self._sums[starts]) * inverse[starts]
-        prime, back = _prime_tables(len(self.buf) + 1)
-        if self._prime_sums is None:
-            term = (self.buf.astype(U64) + U64(1)) * prime[:len(self.buf)]
-            term = (term & U64(_PRIME)) + (term >> U64(31))  # below 2**32, so sums of 2**32 of them fit
-            self._prime_sums = np.zeros(len(self.buf) + 1, dtype=U64)
-            np.cumsum(term, out=self._prime_sums[1:])
-        other = (self._prime_sums[ends] - self._prime_sums[starts]) % U64(_PRIME) * back[starts] % U64(_PRIME)
-        return mix(mix(h ^ (mix((ends - starts).astype(U64)) * U64(3))) ^ (other * U64(0x9FB21C651E98DF25)))
+        h = mix(h ^ (mix(size.astype(U64)) * U64(3)))
+        long = np.flatnonzero(size > _LONG)
+        if len(long):
+            power, inverse = _prime_tables(len(self.buf) + 1)
+            if self._prime_sums is None:
+                self._prime_sums = self._running_sums(power, prime=True)
+            other = _modulo(_modulo(self._prime_sums[ends[long]] - self._prime_sums[starts[long]]) * inverse[starts[long]])
+            h[long] = mix(h[long] ^ mix(other + U64(1)))
+        return h
+
+    def _running_sums(self, power: np.ndarray, prime: bool = False) -> np.ndarray:
+        """Sums of byte times power up to each position, in blocks that stay in the processor's cache;
+        for the prime each term is below 2**32, so sums of 2**32 of them fit."""
+        n = len(self.buf)
+        sums = np.zeros(n + 1, dtype=U64)
+        for a in range(0, n, 1 << 15):
+            z = min(n, a + (1 << 15))
+            term = self.buf[a:z].astype(U64)
+            term += U64(1)
+            term *= power[a:z]
+            if prime:
+                high = term >> U64(31)
+                term &= U64(_PRIME)
+                term += high
+            term[:1] += sums[a:a + 1]
+            np.cumsum(term, out=sums[a + 1:z + 1])
+        return sums
 
     def counts_per_text(self, starts: np.ndarray) -> np.ndarray:
         """How many of the (ascending) positions lie in each text."""
