@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import DRAWS, cut, draw, share_of_draws
-from tillroll.llm.multi_index import codebook, distances
+from tillroll.llm.multi_index import codebook, deal_cells, distances
 from tillroll.llm.words import give_back
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -204,16 +204,10 @@ class Index:
         entries = cut(rows.select("vec_id", "label", "q").mapInArrow(assign, "cell int, far1 double, far2 double, vec_id long, label long, q array<long>"))
         cells = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2")).orderBy("cell").collect()  # at most centroids ** 2
         self.radii = [np.zeros(len(b)) for b in books.books]
-        dealt, at, filled = [], -1, shard_rows
         for c in cells:
             i, j = divmod(c.cell, books.width)
             self.radii[0][i], self.radii[1][j] = max(self.radii[0][i], c.far1), max(self.radii[1][j], c.far2)
-            parts = math.ceil(c.n / shard_rows)
-            if parts > 1 or filled + c.n > shard_rows:
-                at, filled = at + 1, 0
-            dealt.append((c.cell, at, parts, c.n))
-            at, filled = at + parts - 1, shard_rows if parts > 1 else filled + c.n
-        self.shards = at + 1
+        dealt = deal_cells([(c.cell, c.n) for c in cells], shard_rows)
         self.dealt = dealt
         where = rows.sparkSession.createDataFrame([d[:3] for d in dealt], "cell int, first int, parts int")
         shard = (F.col("first") + F.pmod(F.xxhash64("vec_id", "q"), F.col("parts"))).cast("int").alias("shard")

@@ -6,12 +6,13 @@ distance and a heap walks the pairs by summed distance until the cells seen hold
 ``probe`` of all entries. The entries of those cells are reranked by the exact
 cosine of the original vectors.
 
-The index is dealt out over shards by a hash of the id, ``shard_rows`` entries
-each, every shard with its own lists for all cells, so a cell that holds a third
-of all entries is as even as any other. Queries travel in blocks of
-``block_queries`` to every shard; a shard returns each query's best k. Codebooks
-are fitted on at most about ``max_sample`` rows (chosen by a hash of the id);
-every row is indexed. The driver holds codebooks and one count for each cell.
+The index is dealt out over shards of whole cells that are neighbours, about
+``shard_rows`` entries each; a cell with more is split over several by a hash of the
+id, so a cell that holds a third of all entries is as even as any other. Queries
+travel in blocks of ``block_queries`` to the shards that hold a cell they visit; a
+shard returns each query's best k. Codebooks are fitted on at most about
+``max_sample`` rows (chosen by a hash); every row is indexed. The driver holds
+codebooks and one count for each cell.
 
 ``probe`` and ``centroids`` decide the recall: the share of entries that are
 reranked is the same at every size.
@@ -55,10 +56,14 @@ def balanced(rows: np.ndarray) -> np.ndarray:
     return np.ldexp(rows, -exponent)
 
 
+def norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=-1))
+
+
 def cosine(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of each row with q; equal rows give equal results."""
     rows, q = balanced(rows), balanced(q)
-    return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * math.sqrt(float((q * q).sum())))
+    return (rows * q).sum(axis=1) / (norms(rows) * norms(q))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -125,6 +130,19 @@ class Codebooks:
         return np.array(out, dtype=np.int64)
 
 
+def deal_cells(counts: list[tuple[int, int]], shard_rows: int) -> list[tuple[int, int, int, int]]:
+    """(cell, first shard, shards, entries) for cells with their numbers of entries, in the order of the cells: whole
+    cells share a shard up to ``shard_rows`` entries, a larger cell has several shards of its own."""
+    dealt, at, filled = [], -1, shard_rows
+    for cell, n in counts:
+        parts = math.ceil(n / shard_rows)
+        if parts > 1 or filled + n > shard_rows:
+            at, filled = at + 1, 0
+        dealt.append((cell, at, parts, n))
+        at, filled = at + parts - 1, shard_rows if parts > 1 else filled + n
+    return dealt
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part, written to the checkpoint folder."""
     v = F.col("v")
@@ -150,19 +168,23 @@ def search(df: DataFrame, is_query, k: int = 5, centroids: int = 64, probe: floa
     if not len(sample):
         sample = rows.orderBy("vec_id").limit(1).toPandas()
     books = Codebooks(np.stack(sample["v"].to_numpy()), centroids, seed)
-    shards = max(1, math.ceil(n / shard_rows))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(books.cell(matrix(b.column("v"))).astype(np.int32)), b.column("vec_id"), b.column("v")],
-                                                 names=["shard", "cell", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(books.cell(matrix(b.column("v"))).astype(np.int32)), b.column("vec_id"), b.column("v")], names=["cell", "vec_id", "v"])
 
-    entries = cut(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(shards)).cast("int"))
-                  .select("shard", "vec_id", "v").mapInArrow(assign, "shard int, cell int, vec_id long, v array<double>"))
+    entries = cut(rows.select("vec_id", "v").mapInArrow(assign, "cell int, vec_id long, v array<double>"))
     sizes = np.zeros(books.cells, np.int64)
     for r in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # at most centroids ** 2 rows
         sizes[r.cell] = r.n
+    dealt = deal_cells([(int(c), int(sizes[c])) for c in np.flatnonzero(sizes)], shard_rows)
+    where = F.broadcast(spark.createDataFrame([d[:3] for d in dealt], "cell int, first int, parts int"))  # at most centroids ** 2 rows
+    shard = (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("parts"))).cast("int").alias("shard")
+    entries = entries.join(where, "cell").select(shard, "cell", "vec_id", "v")
+    cell_of = np.repeat([d[0] for d in dealt], [d[2] for d in dealt])
+    shard_of = np.concatenate([np.arange(d[1], d[1] + d[2]) for d in dealt])
+    begin = np.flatnonzero(np.diff(shard_of, prepend=-1))  # shards are numbered without gaps, in the order of their cells
     wanted = min(n, math.ceil(probe * n) + k + 1)
 
     def lists(t: pa.Table) -> pa.Table:
@@ -181,26 +203,30 @@ def search(df: DataFrame, is_query, k: int = 5, centroids: int = 64, probe: floa
                 visit = np.zeros((len(v), books.cells), bool)
                 for i, q in enumerate(v):
                     visit[i, books.traverse(q, sizes, wanted)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column("vec_id")).astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary()),
-                                                  pa.array([np.packbits(visit, axis=1).tobytes()], pa.binary())], names=["q_ids", "q_vectors", "visit"])
+                ids = np.asarray(part.column("vec_id"))
+                needs = np.logical_or.reduceat(visit[:, cell_of], begin, axis=1)
+                for s in np.flatnonzero(needs.any(axis=0)).tolist():
+                    own = np.flatnonzero(needs[:, s])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (
+                        ids[own].astype("<i8"), v[own].astype("<f8"), np.packbits(visit[own], axis=1)))], names=["shard", "q_ids", "q_vectors", "visit"])
 
     queries = rows.filter(F.expr(is_query) if isinstance(is_query, str) else is_query).select("vec_id", "v")
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(queries.count() / block_queries))
-    blocks = queries.coalesce(tasks).mapInArrow(plan, "q_ids binary, q_vectors binary, visit binary")
-    blocks = cut(blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocks = queries.coalesce(tasks).mapInArrow(plan, "shard int, q_ids binary, q_vectors binary, visit binary")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 cells, ids = np.frombuffer(r["cells"], "<i4"), np.frombuffer(r["ids"], "<i8")
-                vectors = np.frombuffer(r["vectors"], "<f8").reshape(len(ids), -1)
+                vectors = balanced(np.frombuffer(r["vectors"], "<f8").reshape(len(ids), -1))
+                size = norms(vectors)
                 q_ids = np.frombuffer(r["q_ids"], "<i8")
-                q_vectors = np.frombuffer(r["q_vectors"], "<f8").reshape(len(q_ids), -1)
+                q_vectors = balanced(np.frombuffer(r["q_vectors"], "<f8").reshape(len(q_ids), -1))
                 visit = np.unpackbits(np.frombuffer(r["visit"], np.uint8).reshape(len(q_ids), -1), axis=1, count=books.cells).astype(bool)
                 out = []
                 for q, v, seen in zip(q_ids.tolist(), q_vectors, visit):
                     own = np.flatnonzero(seen[cells] & (ids != q))
-                    score = cosine(vectors[own], v)
+                    score = (vectors[own] * v).sum(axis=1) / (size[own] * norms(v))
                     if len(own) > k:
                         best = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                         own, score = own[best], score[best]
