@@ -39,7 +39,7 @@ from tillroll.llm.words import give_back, slices
 
 CHUNKS = "chunk long, n_rows long, n_bytes long, payload binary"
 #: Least bytes of a chunk and of the blocks it is worked off in, and the bytes of a chunk that a piece stands for.
-CHUNK, BLOCK, PIECE = 4 << 20, 1 << 20, 1 << 10
+CHUNK, BLOCK, PIECE = 4 << 20, 1 << 19, 1 << 10
 
 
 def pack(a: np.ndarray) -> bytes:

@@ -194,7 +194,7 @@ def window_rows(items: DataFrame, window: int, shingle: int, item_col: str, item
     """(item, words, grams) of every window of every item; item is its id after an n, or empty without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 1 << 20):
+        for b in slices(batches, "t"):
             batch = TextBatch(b.column("t"), lower=True)
             starts, ends = batch.words(ALNUM)
             hashes, counts = batch.hashes(starts, ends), batch.counts_per_text(starts)

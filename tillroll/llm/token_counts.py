@@ -152,7 +152,7 @@ def frequent_lengths(docs: DataFrame, path: str, max_docs: int, max_entries: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = PreTokens(path, {}), Counter()
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             for text in pc.fill_null(b.column("text"), "").to_pylist():
                 for tokens in words.cut(text) or ():
                     seen.update(tokens)
@@ -173,7 +173,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, max_do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, tokens = table.value
         words = PreTokens(tokenizer_path, dict(zip(pieces, tokens.tolist())))
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             text = pc.fill_null(b.column("text"), "")
             yield pa.RecordBatch.from_arrays([b.column("id"), pc.binary_length(text).cast(pa.int64()), pa.array(words.counts(text.to_pylist()), pa.int64())],
                                              names=["id", "n_bytes", "n_tokens"])

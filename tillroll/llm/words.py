@@ -228,7 +228,7 @@ def give_back() -> None:
         pass
 
 
-def slices(batches, text_col: str = "text", max_bytes: int = 2 << 20, last: bool = True):
+def slices(batches, text_col: str = "text", max_bytes: int = 1 << 19, last: bool = True):
     """Cut an iterator of record batches so that each holds about max_bytes of text (one row at least).
 
     ``last``: the task has nothing else to do with texts afterwards.
