@@ -107,7 +107,6 @@ def stable_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
     alone: the same rows give the same fit in any session, and a task holds a bounded
     share of them. Fits with exact sums (``exact_kmeans``) need none of this."""
     if partitions is None:
-        df = written(df)
         partitions = max(FIT_PARTITIONS, -(-df.count() // FIT_ROWS))
     return written(df.repartition(partitions, "CustomerID").sortWithinPartitions("CustomerID"))
 
