@@ -240,7 +240,7 @@ def links(classes: DataFrame, sim: Similarity, rounds: int = 1, salts: int = 2,
     """(node, root) of the classes' components: ``rounds`` with pivots, then one with all open pairs.
     ``tasks``: the most files of each table that is written on the way; pairs and links are narrow and take fewer."""
     found, parts = None, None
-    tasks = tasks and max(1, tasks // 4)
+    tasks = tasks and max(1, tasks // 16)
     for r in range(rounds + 1):
         own = _indexed(classes, parts, hot)
         pairs = _pivot_pairs(own, sim, salts, hot) if r < rounds else _open_pairs(classes, own, sim, tasks)
@@ -257,8 +257,8 @@ def _members(active: DataFrame, sim: Similarity, rounds: int, first, tasks: int)
     classes = active.filter("key is not null").groupBy("key").agg(first.alias("first"))
     roots = links(class_prefixes(active.filter("shingles is not null"), sim), sim, rounds, tasks=tasks)
     # both sides of the last join are written: AQE splits a component that a third of all classes are in
-    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), max(1, tasks // 4))
-    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")), max(1, tasks // 4))
+    member = cut(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), max(1, tasks // 16))
+    smallest = cut(member.groupBy("root").agg(F.min("first").alias("found")), max(1, tasks // 16))
     return member.select("key", "root").join(smallest, "root").select("key", "found")
 
 

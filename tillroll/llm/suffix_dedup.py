@@ -136,7 +136,8 @@ def repeated_ranges(chunks: DataFrame, n_bytes: int, length: int, gram: int, hot
         keys, one, where, n = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True, return_counts=True)
         return keys, n, (c, whole, one, where)
 
-    totals = ch.tally(chunks, prepare, ch.bucket_count(n_bytes, 64 << 20), strips=ch.strip_count(n_bytes),
+    # a key range sums about 800,000 keys: two for each context, which has about half as many windows as its anchor allows
+    totals = ch.tally(chunks, prepare, ch.bucket_count(n_bytes, 200_000 * (length - gram + 1)), strips=ch.strip_count(n_bytes),
                       answer=lambda sums, own, first: np.concatenate([np.where(sums > 1, sums, 0), first[:, None]], axis=1))
 
     def candidates(block_: ch.Block) -> pa.Table:
