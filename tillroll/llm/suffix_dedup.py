@@ -133,7 +133,8 @@ def repeated_ranges(chunks: DataFrame, n_bytes: int, length: int, gram: int, hot
         batch = TextBatch(rows.column("text"))
         c = Contexts(batch, length, gram)
         whole = _context_keys(batch, c, length) | odd
-        keys, one, where, n = np.unique(np.concatenate([c.key & ~odd, whole]), return_index=True, return_inverse=True, return_counts=True)
+        # an anchor is the smallest hash of its window: mixed, it falls into any key range
+        keys, one, where, n = np.unique(np.concatenate([mix(c.key) & ~odd, whole]), return_index=True, return_inverse=True, return_counts=True)
         return keys, n, (c, whole, one, where)
 
     # a key range sums about 800,000 keys: two for each context, which has about half as many windows as its anchor allows
