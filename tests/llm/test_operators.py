@@ -204,7 +204,6 @@ def test_packing_equals_the_tokenizer(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     pieces = packing.pack(docs, TOKENIZER, window=64).collect()
     ids = lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
     seen = {}
