@@ -137,3 +137,51 @@ def test_ml_fit_input_grows_with_the_rows(rows, monkeypatch):
     assert S.stable_input(rows).rdd.getNumPartitions() == 30
     monkeypatch.undo()
     assert S.stable_input(rows).rdd.getNumPartitions() == S.FIT_PARTITIONS
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_cluster_sums_are_exact_fractions(spark, weight):
+    """Sums and squared norms keep every decimal, beyond what doubles or 38 digits hold; rows that lack a metric are counted apart."""
+    from fractions import Fraction
+
+    rnd = random.Random(5)
+    points = [(rnd.choice([-1, 1]) * rnd.random() * 10 ** rnd.randrange(9), round(rnd.random(), 9), float(rnd.randrange(5)), rnd.randrange(1, 10 ** 11)) for _ in range(500)]
+    points = [(round(a, 9), b, c, w) for a, b, c, w in points]
+    df = spark.createDataFrame([*points, (None, 1.0, 1.0, 7)], "a double, b double, c double, w long").repartition(7)
+    centers = {k: [list(p[:3]) for p in points[:k]] for k in (2, 5)}
+    got = X._cluster_sums(df, centers, weight, ["a", "b", "c"], norms=True)
+    for k, cs in centers.items():
+        want = {}
+        for *p, w in points:
+            d = [(p[0] - c[0]) * (p[0] - c[0]) + (p[1] - c[1]) * (p[1] - c[1]) + (p[2] - c[2]) * (p[2] - c[2]) for c in cs]
+            x, n = [Fraction(repr(v)) for v in p], w if weight else 1
+            x = [round(v * 10 ** 9) / Fraction(10 ** 9) for v in x]
+            old = want.setdefault(d.index(min(d)), [0] * 5)
+            want[d.index(min(d))] = [s + n * t for s, t in zip(old, (1, *x, sum(v * v for v in x)))]
+        assert {j: list(v) for (kk, j), v in got.items() if kk == k and j is not None} == want
+        assert got[k, None][0] == (7 if weight else 1)
+
+
+def test_row_silhouettes_over_arrays():
+    import numpy as np
+
+    xs = [np.array([0.0, 1.0, 10.0, 11.0, 30.0])]
+    own = X._nearest(xs, [[0.5], [10.5], [30.0]])
+    assert own.tolist() == [0, 0, 1, 1, 2]
+    clusters = [([0.5], 0.5, 2.0), ([10.5], 110.5, 2.0), ([30.0], 900.0, None)]
+    want = [1 - 1 / 110.5, 1 - 1 / 90.5, 1 - 1 / 90.5, 1 - 1 / 110.5, 0]
+    assert X._row_silhouettes(xs, own, clusters).tolist() == pytest.approx([w * 1e12 for w in want], abs=100)
+
+
+def test_quantiles_of_one_range_are_binned_once(rows, monkeypatch):
+    """Thirty quantiles put a row into one bin, not into thirty, while they share a range."""
+    from tillroll.operators import quantiles as Q
+
+    monkeypatch.setattr(Q.F, "array", lambda *c, array=F.array: widths.append(len(c)) or array(*c))
+    widths, qs = [], [i / 31 for i in range(1, 31)]
+    want = sorted(r.Lines for r in rows.select("Lines").collect())
+    got = Q.exact_quantiles(rows, "Lines", qs)
+    assert widths == [1] and got == [want[max(1, math.ceil(q * len(want))) - 1] for q in qs]
+    for longs in (1 << 62, 1):  # as 64-bit integers and as decimals
+        monkeypatch.setattr(Q, "LONGS", longs)
+        assert Q.exact_quantiles(rows, "Recency", [0.25, 0.5]) == [sorted(r.Recency for r in rows.select("Recency").collect())[n - 1] for n in (150, 300)]

@@ -6,8 +6,8 @@ deviations come from exact sums too. Start centres are exact quantiles (or given
 a fixed number of Lloyd's rounds follows, so the same rows give the same centres, bit by
 bit, with 16 partitions or 200, and SQL engines can repeat the fit.
 
-Each round is one pass over the written rows for all k at once: a row is assigned for
-every k by one built-in expression, and (k, cluster) sums are combined map-side; as many
+Each round is one pass over the written rows for all k at once: tasks assign batches of rows
+for every k and sum them as whole numbers, one row a centre leaves a task, and as many
 rows as there are centres reach the driver. Rounds stop early where no centre moves.
 
 ``weight``: a column of whole numbers; a row then stands for that many equal rows.
@@ -15,27 +15,30 @@ rows as there are centres reach the driver. Rounds stop early where no centre mo
 Edge cases. A metric that never varies is 0 for all rows. A centre that no row is nearest to
 stays where it is. Of equally near centres the first is taken. No rows: no centres move,
 deviations are 0 and silhouettes null. Squares beyond 10**32 in total fail rather than round.
+A silhouette between two distances of 0 is 0.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.operators.quantiles import exact_quantiles
 from tillroll.schemas import RFM_COLUMNS
-from tillroll.session import written
+from tillroll.session import ship_package, written
 
 DIGITS = 9  # decimals of scaled metrics
 UNIT = T.DecimalType(18, DIGITS)
-# silhouettes, and squared norms that a weight multiplies: with a weight of 12 digits their products keep all decimals
-SCORE = T.DecimalType(25, 12)
+SCORE_DIGITS = 12  # decimals of a row's silhouette
 WEIGHT = T.DecimalType(12, 0)
 ROUNDS = 10
 CLUSTER = "cluster"
@@ -98,21 +101,87 @@ def nearest(centers: Sequence[Sequence[float | Column]], cols: Sequence[str] = S
     return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
 
 
-def _times(x: Column, weight: str | None) -> Column:
-    return x * F.col(weight).cast(WEIGHT) if weight else x
+_PIECE = 20  # bits of a piece: sums of products of two pieces over a batch fit 64-bit integers
+_LOW = (1 << _PIECE) - 1
+
+
+def _pieces(whole: np.ndarray) -> list[np.ndarray]:
+    """A whole number below 2**60 in pieces, the lowest first: x = sum(piece i << 20 i)."""
+    return [whole & _LOW, (whole >> _PIECE) & _LOW, whole >> 2 * _PIECE]
+
+
+def _narrow(scaled: DataFrame, cols: Sequence[str], weight: str | None) -> DataFrame:
+    """Of each row the metrics as doubles (x0, x1, ..), as whole numbers of 10**-9 (u0, u1, ..) and its weight (w)."""
+    ship_package(scaled.sparkSession)
+    units = [(F.col(c).cast(UNIT) * F.lit(10 ** DIGITS).cast(T.DecimalType(10, 0))).cast("long").alias(f"u{i}") for i, c in enumerate(cols)]
+    return scaled.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *units, *([F.col(weight).cast(WEIGHT).cast("long").alias("w")] if weight else []))
+
+
+def _arrays(batch: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray | None, np.ndarray]:
+    """Metrics (null: NaN), units and weights (null: 0) of a batch of ``_narrow``, and which rows have every metric."""
+    xs = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+    us = [pc.fill_null(batch.column(width + i), 0).to_numpy(zero_copy_only=False) for i in range(width)]
+    w = pc.fill_null(batch.column(2 * width), 0).to_numpy(zero_copy_only=False) if batch.num_columns > 2 * width else None
+    return xs, us, w, ~np.isnan(sum(xs))
+
+
+def _nearest(xs: Sequence[np.ndarray], centers: Centers) -> np.ndarray:
+    """``nearest`` over arrays: the same operations in the same order, so the same index."""
+    dists = []
+    for c in centers:
+        d = None
+        for x, v in zip(xs, c):
+            diff = x - v
+            d = diff * diff if d is None else d + diff * diff
+        dists.append(d)
+    return np.argmin(dists, axis=0)
 
 
 def _cluster_sums(scaled: DataFrame, centers: Mapping[int, Centers], weight: str | None, cols: Sequence[str], norms: bool = False) -> dict:
-    """(k, cluster) -> (rows, sum of each column, sum of squared norms); as many rows as centres are collected."""
-    places = F.array(*[F.struct(F.lit(k).alias("k"), nearest(c, cols).alias("j")) for k, c in centers.items()])
-    aggs = [F.sum(F.col(weight)) if weight else F.count(F.lit(1))] + [F.sum(_times(F.col(c).cast(UNIT), weight)) for c in cols]
-    if norms:
-        squares = [F.col(c).cast(UNIT) * F.col(c).cast(UNIT) for c in cols]
-        norm = sum(squares[1:], squares[0])
-        aggs.append(F.sum(_times(norm.cast(SCORE), weight) if weight else norm))
-    rows = (scaled.select(*cols, *([weight] if weight else []), F.explode(places).alias("p")).groupBy("p.k", "p.j")
-            .agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).collect())
-    return {(r.k, r.j): tuple(r)[2:] for r in rows}
+    """(k, cluster) -> (rows, sum of each column, sum of squared norms) as exact fractions; rows that lack a metric have cluster None.
+
+    One pass for every k: each task sums its batches as whole numbers and gives one row a
+    centre; Spark adds these, and as many rows as there are centres are collected.
+    """
+    width, ks = len(cols), sorted(centers)
+    names = [*(f"s{i}" for i in range(width)), "hi", "lo"]
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list[int]] = {}
+        for b in batches:
+            xs, us, w, known = _arrays(b, width)
+            weights = [np.ones(len(known), np.int64)] if w is None else _pieces(w)
+            pieces = [_pieces(u) for u in us]
+            parts = [p * v for ps in pieces for p in ps for v in weights] + weights
+            if norms:  # the squares' digits in base 2**20
+                square = [sum(c * c for c, _, _ in pieces), sum(2 * m * c for c, m, _ in pieces), sum(2 * h * c + m * m for c, m, h in pieces),
+                          sum(2 * h * m for _, m, h in pieces), sum(h * h for _, _, h in pieces)]
+                parts += square if w is None else [q.astype(object) * w for q in square]
+            for k in ks:
+                own = np.where(known, _nearest(xs, centers[k]), -1)
+                order = np.argsort(own, kind="stable")
+                js, at = np.unique(own[order], return_index=True)
+                sums = [np.add.reduceat(p[order], at) for p in parts]
+                for i, j in enumerate(js.tolist()):
+                    old = total.setdefault((k, j), [0] * len(parts))
+                    total[k, j] = [x + int(s[i]) for x, s in zip(old, sums)]
+        several = 3 if weight else 1
+        rows = []
+        for (k, j), t in total.items():
+            def whole(digits: Sequence[int]) -> int:
+                return sum(d << _PIECE * i for i, d in enumerate(digits))
+            metrics = [whole([whole(t[(3 * i + p) * several:(3 * i + p + 1) * several]) for p in range(3)]) for i in range(width)]
+            n, square = whole(t[3 * width * several:(3 * width + 1) * several]), whole(t[(3 * width + 1) * several:])
+            rows.append((k, j, n, *[str(v) for v in (*metrics, *divmod(square, 10 ** (2 * DIGITS)))]))
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["k", "j", "n", *names])
+
+    found = (_narrow(scaled, cols, weight).mapInArrow(sums_of, "k int, j int, n long, " + ", ".join(f"{c} string" for c in names)).groupBy("k", "j")
+             .agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast(T.DecimalType(38, 0))).alias(c) for c in names]).collect())
+    unit = 10 ** DIGITS
+    return {(r.k, None if r.j < 0 else r.j): (int(r.n), *[Fraction(int(r[c]), unit) for c in names[:width]], int(r.hi) + Fraction(int(r.lo), unit * unit))
+            for r in found if r.n}
 
 
 def lloyd(scaled: DataFrame, starts: Mapping[int, Centers], rounds: int = ROUNDS, weight: str | None = None, cols: Sequence[str] = SCALED_COLUMNS) -> dict[int, Centers]:
@@ -123,7 +192,7 @@ def lloyd(scaled: DataFrame, starts: Mapping[int, Centers], rounds: int = ROUNDS
             break
         sums = _cluster_sums(scaled, {k: centers[k] for k in sorted(moving)}, weight, cols)
         for k in sorted(moving):
-            new = [[float(s) / float(own[0]) for s in own[1:]] if (own := sums.get((k, j))) else list(old) for j, old in enumerate(centers[k])]
+            new = [[float(s) / own[0] for s in own[1:-1]] if (own := sums.get((k, j))) else list(old) for j, old in enumerate(centers[k])]
             if new == centers[k]:
                 moving = moving - {k}
             centers[k] = new
@@ -173,40 +242,52 @@ def silhouettes(scaled: DataFrame, centers: Mapping[int, Centers], weight: str |
     it, so no pairs of rows are formed. A row alone in its cluster scores 0. With rows in one
     cluster only (or none): None.
     """
-    sums = _cluster_sums(scaled, centers, weight, cols, norms=True)
-    norm = None
-    for c in cols:
-        norm = F.col(c) * F.col(c) if norm is None else norm + F.col(c) * F.col(c)
-    scores, total = {}, sum(v[0] for (k, _), v in sums.items() if k == min(centers, default=0))
+    sums, width = _cluster_sums(scaled, centers, weight, cols, norms=True), len(cols)
+    total, clusters = sum(v[0] for (k, _), v in sums.items() if k == min(centers, default=0)), {}
     for k, own in centers.items():
         known = [sums.get((k, j)) for j in range(len(own))]
-        if sum(bool(v) for v in known) < 2:
-            continue
-        mean, rest = [], []
-        for v in known:
-            if v is None:
-                mean.append(F.lit(None).cast("double"))
-                rest.append(F.lit(None).cast("double"))
-                continue
-            n, dot = float(v[0]), None
-            for c, s in zip(cols, v[1:-1]):
-                term = F.col(c) * F.lit(float(s) / n)
-                dot = term if dot is None else dot + term
-            mean.append((norm + F.lit(float(v[-1]) / n)) - F.lit(2.0) * dot)
-            rest.append(F.lit(n / (n - 1.0) if v[0] > 1 else None).cast("double"))
-        scores[k] = _row_silhouette(nearest(own, cols), F.array(*mean), F.array(*rest))
-    if not scores:
+        if sum(bool(v) for v in known) >= 2:  # of every cluster its mean, its mean squared norm and n / (n - 1)
+            clusters[k] = [v and ([float(s) / v[0] for s in v[1:-1]], float(v[-1]) / v[0], v[0] / (v[0] - 1.0) if v[0] > 1 else None) for v in known]
+    if not clusters:
         return dict.fromkeys(centers)
-    sums = scaled.agg(*[F.sum(_times(s.cast(SCORE), weight)).alias(f"k{k}") for k, s in scores.items()]).first()
-    return {k: round(float(sums[f"k{k}"]) / float(total), DIGITS) if k in scores else None for k in centers}
 
+    def scores_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = dict.fromkeys(clusters, 0)
+        for b in batches:
+            xs, _, w, known = _arrays(b, width)
+            xs = [x[known] for x in xs]
+            for k, stats in clusters.items():
+                units = _row_silhouettes(xs, _nearest(xs, centers[k]), stats)
+                found[k] += int(units.sum() if w is None else (units.astype(object) * w[known]).sum())
+        rows = [(k, str(v)) for k, v in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.string()))], names=["k", "score"])
+
+    rows = _narrow(scaled, cols, weight).mapInArrow(scores_of, "k int, score string").groupBy("k").agg(F.sum(F.col("score").cast(T.DecimalType(38, 0))).alias("score")).collect()
+    scores = {r.k: int(r.score) / 10 ** SCORE_DIGITS for r in rows}
+    return {k: round(scores[k] / float(total), DIGITS) if k in scores else None for k in centers}
 
-def _row_silhouette(own: Column, mean: Column, rest: Column) -> Column:
-    """Silhouette of a row from its mean squared distance to every cluster; ``rest``: n / (n - 1) for each cluster, null if n is 1."""
-    a = F.element_at(mean, own + 1) * F.element_at(rest, own + 1)
-    b = F.array_min(F.transform(mean, lambda d, j: F.when(j != own, d)))
-    s = F.when(a < b, 1.0 - a / b).when(a > b, b / a - 1.0).otherwise(0.0)
-    return F.round(F.when(a.isNull(), 0.0).otherwise(s), 12)
+
+def _row_silhouettes(xs: Sequence[np.ndarray], own: np.ndarray, clusters: Sequence) -> np.ndarray:
+    """Silhouettes of rows in units of 10**-12; ``clusters``: (mean, mean squared norm, n / (n - 1), None if n is 1), None without rows."""
+    norm = None
+    for x in xs:
+        norm = x * x if norm is None else norm + x * x
+    mean = np.full((len(clusters), len(own)), np.inf)
+    for j, stats in enumerate(clusters):
+        if stats:
+            dot = None
+            for x, v in zip(xs, stats[0]):
+                dot = x * v if dot is None else dot + x * v
+            mean[j] = (norm + stats[1]) - 2.0 * dot
+    at = np.arange(len(own))
+    rest = np.array([stats[2] if stats and stats[2] else np.nan for stats in clusters])[own]
+    a = mean[own, at] * rest
+    mean[own, at] = np.inf
+    b = mean.min(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(a < b, 1.0 - a / b, np.where(a > b, b / a - 1.0, 0.0))
+    s = np.where(np.isfinite(s), s, 0.0) * 10 ** SCORE_DIGITS
+    return (np.sign(s) * np.floor(np.abs(s) + 0.5)).astype(np.int64)
 
 
 def silhouette(scaled: DataFrame, centers: Centers, weight: str | None = None) -> float | None:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BINS = 4096
+#: Widest range of values that is worked in 64-bit integers.
+LONGS = 1 << 62
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], weight: str | None = None, scale: int | None = None) -> list:
@@ -37,24 +39,27 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], weight: str
     ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n")).first()
     if not ends.n:
         return [None] * len(qs)
-    whole_type = T.DecimalType(38, 0)
     rank = [max(1, math.ceil((q if isinstance(q, Fraction) else Fraction(str(q))) * ends.n)) for q in qs]
+    # values count from the lowest one; as 64-bit integers where these suffice
+    first, kind_of_v = int(ends.lo), "bigint" if int(ends.hi) - int(ends.lo) < LONGS else "decimal(38,0)"
+    rows = rows.select((F.col("v") - F.lit(first).cast(T.DecimalType(38, 0))).cast(kind_of_v).alias("v"), "w")
     # of each q: the range its value lies in, and the weight below the range
-    lo, hi, below = [int(ends.lo)] * len(qs), [int(ends.hi)] * len(qs), [0] * len(qs)
+    lo, hi, below = [0] * len(qs), [int(ends.hi) - first] * len(qs), [0] * len(qs)
     while open_ := [i for i in range(len(qs)) if lo[i] < hi[i]]:
         step = {i: -(-(hi[i] - lo[i] + 1) // BINS) for i in open_}
-        bins = [F.when(F.col("v").between(lo[i], hi[i]), F.struct(F.lit(i).alias("i"), F.floor(
-            (F.col("v") - F.lit(lo[i]).cast(whole_type)) / F.lit(step[i]).cast(T.DecimalType(20, 0))).cast("long").alias("b"))) for i in open_]
+        ranges = {(lo[i], hi[i]): i for i in open_}  # quantiles in one range share its bins
+        bins = [F.expr(f"CASE WHEN v BETWEEN {z} AND {y} THEN struct({i} AS i, CAST((v - CAST({z} AS {kind_of_v})) DIV CAST({step[i]} AS {kind_of_v}) AS BIGINT) AS b) END")
+                for (z, y), i in ranges.items()]
         counts = (rows.select("w", F.explode(F.array_compact(F.array(*bins))).alias("x")).groupBy("x.i", "x.b")
                   .agg(F.sum("w").alias("w")).collect())
         for i in open_:
-            for b, w in sorted((r.b, r.w) for r in counts if r.i == i):
+            for b, w in sorted((r.b, r.w) for r in counts if r.i == ranges[lo[i], hi[i]]):
                 if below[i] + w >= rank[i]:
                     lo[i], hi[i] = lo[i] + b * step[i], min(hi[i], lo[i] + b * step[i] + step[i] - 1)
                     break
                 below[i] += w
     out = []
     for v in lo:
-        value = Decimal(v).scaleb(-digits)
+        value = Decimal(v + first).scaleb(-digits)
         out.append(value if isinstance(kind, T.DecimalType) else float(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else int(value))
     return out
