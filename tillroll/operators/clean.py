@@ -5,10 +5,9 @@ They work with ANSI mode on or off: parsing uses ``try_to_timestamp`` and the
 customer id is text before it is filled.
 
 Catalyst moves the row filters of C5/C6 below the deduplication of C4 (they
-only read grouping columns), so they reach the scan and shrink the shuffle.
-The dedup itself is an aggregate with map-side partial aggregation, so one
-row repeated millions of times collapses inside each map task before any
-shuffle.
+only read grouping columns), so they reach the scan and shrink the shuffles.
+The dedup is an aggregate over rows shuffled once, in partitions sized by these rows
+(``duplicates.distinct_rows``); all copies of a row are read by one task, which keeps one.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ def fill_customer(df: DataFrame, unknown: str = UNKNOWN_CUSTOMER) -> DataFrame:
 
 def deduplicate(df: DataFrame) -> DataFrame:
     """C4: drop lines equal in every column."""
-    return df.dropDuplicates()
+    return duplicates.distinct_rows(df)
 
 
 def deduplicate_narrow(df: DataFrame) -> DataFrame:

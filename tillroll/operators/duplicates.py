@@ -10,8 +10,7 @@ map task, whatever the row's width; rows that repeat often collapse before the s
   occurs twice; all other rows pass through in place.
 
 The repeated keys are broadcast if there are at most ``MAX_KEYS`` of them (they are
-written and counted first); beyond that, whole rows are grouped as ``dropDuplicates``
-does. Null equals null, and -0.0 equals 0.0, as in any grouping.
+written and counted first); beyond that, whole rows are grouped (``distinct_rows``). Null equals null, and -0.0 equals 0.0, as in any grouping.
 """
 
 from __future__ import annotations
@@ -59,7 +58,18 @@ def deduplicate(df: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
     if not n:
         return df
     if n > max_keys:
-        return df.dropDuplicates()
+        return distinct_rows(df)
     marked = with_key(df).join(F.broadcast(again.withColumn("_again", F.lit(True))), list(KEYS), "left")  # at most max_keys rows
     once = marked.filter(F.col("_again").isNull()).select(*df.columns)
     return once.unionByName(marked.filter(F.col("_again")).select(*df.columns).dropDuplicates())
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Rows without repeats, whole rows compared, in tasks of even size.
+
+    A hash table of whole rows takes many times the bytes that a join's input shuffles, so
+    rows are not grouped in the tasks that made them but after one shuffle of whole rows,
+    in partitions that AQE sizes by these rows. The copies of a row meet in one task, which
+    holds one of them: a row repeated very often costs that task time, not memory.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in df.columns]).dropDuplicates()

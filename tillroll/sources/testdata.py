@@ -16,7 +16,7 @@ left to AQE, which checks the runtime size of each side against
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.schemas import INVOICE_DATE_FORMAT, PRICE
@@ -51,8 +51,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame
     return df if list(cols) == df.columns else df.select(*cols)
 
 
-def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line-grain join of the five tables, only the columns the adapters use."""
+def star_lines(spark: SparkSession, sf_dir: str, order_date: Column | None = None) -> DataFrame:
+    """Line-grain join of the five tables, only the columns the adapters use; ``order_date``: what
+    stands for o_orderdate, worked out once an order, not once a line."""
     nation = _table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
@@ -62,7 +63,7 @@ def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     invoices = (orders
                 .join(customer, orders.o_custkey == customer.c_custkey)
                 .join(nation, customer.c_nationkey == nation.n_nationkey)
-                .select("o_orderkey", "o_orderdate", "c_custkey", "n_name"))
+                .select("o_orderkey", (F.col("o_orderdate") if order_date is None else order_date).alias("o_orderdate"), "c_custkey", "n_name"))
     return (lineitem
             .join(invoices, lineitem.l_orderkey == invoices.o_orderkey)
             .join(part, lineitem.l_partkey == part.p_partkey)
@@ -91,7 +92,7 @@ def raw_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     The projection is written as SQL expressions: one parse per column instead
     of one JVM round trip per expression node while the plan is built.
     """
-    s = star_lines(spark, sf_dir)
+    s = star_lines(spark, sf_dir, F.date_format("o_orderdate", INVOICE_DATE_FORMAT))
     cancelled = f"(l_returnflag = 'R' AND l_orderkey % {CANCEL_EVERY_ORDER} = 0)"
     kl = "(l_orderkey + l_linenumber)"
     price = f"CAST(p_retailprice AS {PRICE.simpleString()})"
@@ -106,7 +107,7 @@ def raw_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"ELSE p_name END AS Description",
         f"CASE WHEN {cancelled} THEN -CAST(l_quantity AS INT) "
         f"WHEN {kl} % {NEGATIVE_ONE_LINE} = 0 THEN -1 ELSE CAST(l_quantity AS INT) END AS Quantity",
-        f"date_format(o_orderdate, '{INVOICE_DATE_FORMAT}') AS InvoiceDate",
+        "o_orderdate AS InvoiceDate",
         f"CAST(CASE WHEN {kl} % {ZERO_PRICE_LINE} = 0 THEN CAST(0 AS {PRICE.simpleString()}) "
         f"WHEN {kl} % {NEGATIVE_PRICE_LINE} = 0 THEN -{price} ELSE {price} END "
         f"AS {PRICE.simpleString()}) AS UnitPrice",
