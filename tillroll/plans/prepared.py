@@ -15,6 +15,7 @@ wrote, and reads no raw lines at all.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import clean, features
 from tillroll.schemas import UNKNOWN_CUSTOMER
-from tillroll.session import written
+from tillroll.session import ensure_checkpoint_dir, written
 from tillroll.sources import files, testdata
 
 
@@ -43,9 +44,26 @@ class RetailTables:
         return cls(None, files.load_prepared(spark, lines_path).drop("Year"), files.load_prepared(spark, customers_path))
 
     def write(self, lines_path: str, customers_path: str) -> None:
-        """Write the two prepared tables to paths that all executors share."""
+        """Write the two prepared tables to paths that all executors share; the customers are
+        made from the lines as written, so the raw lines are cleaned once."""
         files.write_prepared(self.cleaned, lines_path)
-        files.write_prepared(self.customers, customers_path, partition_by=None)
+        customers = self.prepared_customers
+        if customers is None:
+            lines = files.load_prepared(self.cleaned.sparkSession, lines_path).drop("Year")
+            customers = features.per_customer(features.to_invoice_date(lines))
+        files.write_prepared(customers, customers_path, partition_by=None)
+
+    def kept(self, *columns: str) -> "RetailTables":
+        """Tables for reports that need the customers first and then the lines again: the lines, with
+        these columns and those that customers are made of, are cleaned and written once (as
+        Parquet in the checkpoint folder) and read there. Tables from prepared files stay as they are."""
+        if self.raw is None:
+            return self
+        spark = self.raw.sparkSession
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        self.cleaned.select(*dict.fromkeys([*features.CUSTOMER_INPUT, *columns])).write.parquet(path)
+        lines = files.load_prepared(spark, path)
+        return RetailTables(None, lines, written(features.per_customer(features.to_invoice_date(lines))))
 
     @cached_property
     def parsed(self) -> DataFrame:
