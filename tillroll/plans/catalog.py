@@ -142,12 +142,14 @@ FEATURES: dict[str, Query] = {
 
 
 def _recency_products(t: RetailTables, high: bool, as_written: bool) -> DataFrame:
+    t = t.kept("StockCode")
     if as_written:
         return A.recency_products_as_written(t.features_in, high=high, customers=t.weighted())
     return A.recency_products(t.features_in, t.rfm_churn(), high=high)
 
 
 def _described(t: RetailTables, high: bool, as_written: bool, n: int | None = 20) -> DataFrame:
+    t = t.kept("StockCode", "Description")
     return A.products_described(_recency_products(t, high, as_written),
                                 A.product_descriptions(t.features_in), n)
 
