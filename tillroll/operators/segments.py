@@ -131,7 +131,8 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int] = KMEANS_K_RANGE, seed: int =
                  partitions: int | None = None) -> DataFrame:
     """M4: fit k-means for each k over one stable scaled input; (k, silhouette)."""
     spark = df.sparkSession
-    scaled = scale_features(stable_input(df, partitions))
+    # written with its vectors: every fit and every evaluation reads the rows several times
+    scaled = written(scale_features(stable_input(df, partitions)))
     rows = []
     for k in ks:
         model = kmeans(k, seed).fit(scaled)
