@@ -137,7 +137,7 @@ FEATURES: dict[str, Query] = {
     "churn_label": _on(lambda t: t.rfm_churn()),
     "transactions_with_churn": _on(lambda t: t.final_v1),
     "transactions_with_rfm_churn": _on(lambda t: t.final),
-    "rfm_with_transactions": _on(lambda t: t.final_v3),
+    "rfm_with_transactions": _on(lambda t: t.kept().final_v3),
 }
 
 

@@ -9,34 +9,53 @@ Lines stay a lazy plan, so column pruning and filter pushdown reach the scan
 for each query separately. The per-customer rows (one for each customer) are
 aggregated once per ``RetailTables`` and written to the checkpoint folder: RFM,
 churn, thresholds and joins read them there, so a report reads the lines at most
-twice. ``from_prepared`` starts from tables that ``sources.files.write_prepared``
-wrote, and reads no raw lines at all.
+twice. Reports that return whole lines keep the cleaned lines as well (``kept``): a
+second pass over the raw lines would shuffle all of them again. ``from_prepared``
+starts from tables that ``sources.files.write_prepared`` wrote, and reads no raw
+lines at all.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import clean, features
 from tillroll.schemas import UNKNOWN_CUSTOMER
-from tillroll.session import ensure_checkpoint_dir, written
+from tillroll.session import ensure_checkpoint_dir, release_shuffles, written
 from tillroll.sources import files, testdata
 
+#: Kept lines are cleaned in parts of about so many raw lines, but in at most so many parts: each part reads
+#: the raw tables again, and with three the shuffles of one part take no more disk than the reports' own join.
+PART_LINES = 2_000_000
+MAX_PARTS = 3
+
+
+def in_parts(raw: DataFrame, n: int) -> list[DataFrame]:
+    """The lines in ``n`` parts of whole invoices, so that the copies of a line are in one part."""
+    if n == 1:
+        return [raw]
+    return [raw.filter(F.pmod(F.xxhash64("InvoiceNo"), F.lit(n)) == i) for i in range(n)]
+
 
 @dataclass
 class RetailTables:
+    """``size``: gives about how many raw lines there are; it steers only in how many parts they are kept."""
+
     raw: DataFrame | None
     prepared_lines: DataFrame | None = None
     prepared_customers: DataFrame | None = None
+    size: Callable[[], int] | None = None
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "RetailTables":
         """Dirty lines over the star-schema test tables (exercises every cleaning rule)."""
-        return cls(testdata.raw_retail(spark, sf_dir))
+        return cls(testdata.raw_retail(spark, sf_dir), size=lambda: testdata.line_count(spark, sf_dir))
 
     @classmethod
     def from_prepared(cls, spark: SparkSession, lines_path: str, customers_path: str) -> "RetailTables":
@@ -55,15 +74,28 @@ class RetailTables:
 
     def kept(self, *columns: str) -> "RetailTables":
         """Tables for reports that need the customers first and then the lines again: the lines, with
-        these columns and those that customers are made of, are cleaned and written once (as
-        Parquet in the checkpoint folder) and read there. Tables from prepared files stay as they are."""
+        these columns and those that customers are made of (all columns if none is named), are cleaned
+        and written once (as Parquet in the checkpoint folder) and read there. Tables from prepared
+        files stay as they are.
+
+        Many lines are cleaned in parts: whole rows in a shuffle take several times the disk that they
+        take as Parquet, and only one part's shuffles are there at a time.
+        """
         if self.raw is None:
             return self
         spark = self.raw.sparkSession
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-        self.cleaned.select(*dict.fromkeys([*features.CUSTOMER_INPUT, *columns])).write.parquet(path)
+        names = [c for c in self.cleaned.columns if not columns or c in {*features.CUSTOMER_INPUT, *columns}]
+        parts = min(MAX_PARTS, max(1, -(-self.size() // PART_LINES))) if self.size else 1
+        for part in in_parts(self.raw, parts):
+            RetailTables(part).cleaned.select(*names).write.mode("append").parquet(path)
+            if parts > 1:
+                release_shuffles(spark)
         lines = files.load_prepared(spark, path)
-        return RetailTables(None, lines, written(features.per_customer(features.to_invoice_date(lines))))
+        customers = written(features.per_customer(features.to_invoice_date(lines)))
+        if parts > 1:
+            release_shuffles(spark)
+        return RetailTables(None, lines, customers)
 
     @cached_property
     def parsed(self) -> DataFrame:

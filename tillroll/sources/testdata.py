@@ -71,6 +71,11 @@ def star_lines(spark: SparkSession, sf_dir: str, order_date: Column | None = Non
                     "o_orderdate", "c_custkey", "n_name", "p_name", "p_retailprice"))
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Lines of the table, from the counts that its files carry."""
+    return _table(spark, sf_dir, "lineitem").count()
+
+
 def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid invoice lines with InvoiceDate already a timestamp."""
     s = star_lines(spark, sf_dir)
