@@ -11,7 +11,7 @@ from tillroll.plans import prepared
 from tillroll.plans.catalog import all_queries
 from tillroll.plans.prepared import RetailTables
 
-WHOLE_LINES = ["rfm_with_transactions"]
+WHOLE_LINES = ["rfm_with_transactions", "transactions_with_rfm_churn", "transactions_with_churn"]
 
 
 @pytest.fixture(scope="module")

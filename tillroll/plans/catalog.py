@@ -135,8 +135,8 @@ FEATURES: dict[str, Query] = {
     "rfm": _on(lambda t: t.rfm()),
     "rfm_means": _on(lambda t: Fe.rfm_means(t.rfm())),
     "churn_label": _on(lambda t: t.rfm_churn()),
-    "transactions_with_churn": _on(lambda t: t.final_v1),
-    "transactions_with_rfm_churn": _on(lambda t: t.final),
+    "transactions_with_churn": _on(lambda t: t.kept().final_v1),
+    "transactions_with_rfm_churn": _on(lambda t: t.kept().final),
     "rfm_with_transactions": _on(lambda t: t.kept().final_v3),
 }
 
